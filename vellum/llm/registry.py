@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from vellum.llm import pieces
+from vellum.llm import pieces, quality, urls
 
 
 def queries() -> dict:
-    return {"op8_sentencepiece": pieces.op8_sentencepiece}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op7_url_filters": urls.op7_url_filters,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op7_url_filters": urls.oracle()}
