@@ -98,3 +98,61 @@ def partitions_for(df: DataFrame, each: int, least: int = 8) -> int:
 
 def safe_name(text: str) -> str:
     return re.sub(r"\W+", "_", text)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers = {}
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64 for i < n."""
+    held = _powers.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 16), base, np.uint64)
+        held[0] = 1
+        _powers[int(base)] = held = np.multiply.accumulate(held)
+    return held[:n]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every input bit."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+class RangeHash:
+    """64-bit hashes of any ranges of a block of bytes, from one prefix sum."""
+
+    def __init__(self, raw: np.ndarray):
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(raw)), out=self.sums[1:])
+        self.inverse = _power(_INVERSE, len(raw) + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+
+
+def word_ranges(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text number) of every word of a block of texts laid end to end."""
+    n = len(raw)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    inside = ~SPACE[raw]
+    borders = np.zeros(n + 1, bool)
+    borders[offsets] = True
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1] | borders[1:n]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | borders[1:n]
+    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return s, e, np.searchsorted(offsets, s, side="right") - 1
+
+
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32

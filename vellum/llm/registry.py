@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import pieces, quality, urls
+from vellum.llm import minhash, pieces, quality, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality.op1_quality_rules,
         "op7_url_filters": urls.op7_url_filters,
         "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
