@@ -50,6 +50,18 @@ def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, folder: str = "", *names: str) -> None:
+    """Let go of what is no longer read: written tables by name, and shuffle files of finished frames."""
+    import gc
+
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def ascii_lower(column):
     """A-Z to a-z, every other character as it is."""
     return F.translate(column, UPPER, LOWER)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, minhash, pieces, quality, urls
+from vellum.llm import decontaminate, lines, minhash, pieces, quality, urls
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_line_dedup": lines.op2_line_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op7_url_filters": urls.op7_url_filters,
         "op8_sentencepiece": pieces.op8_sentencepiece,
