@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, lines, minhash, pieces, quality, urls
+from vellum.llm import chat, decontaminate, lines, minhash, pieces, quality, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_decontamination": decontaminate.op4_decontamination,
         "op7_url_filters": urls.op7_url_filters,
         "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_minhash": minhash.op10_minhash,
     }
 
