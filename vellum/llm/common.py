@@ -100,7 +100,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's size of a scan, from file sizes; decides partition counts only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, each: int, least: int = 8) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import chat, decontaminate, licenses, lines, minhash, pieces, quality, urls
+from vellum.llm import chat, decontaminate, licenses, lines, minhash, ngram, pieces, quality, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_line_dedup": lines.op2_line_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_license_scans": licenses.op5_license_scans,
+        "op6_lm_scoring": ngram.op6_lm_scoring,
         "op7_url_filters": urls.op7_url_filters,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_chat_formatting": chat.op9_chat_formatting,
