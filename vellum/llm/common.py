@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a kernel holds in working arrays at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,17 +98,12 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The planner's size of a scan, from file sizes; decides partition counts only."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The planner's size of a scan, from file sizes, or the texts' own size where it knows none.
 
-
-def partitions_for(df: DataFrame, each: int, least: int = 8) -> int:
-    """How many partitions of about `each` bytes a frame's files make."""
-    return max(least, -(-input_bytes(df) // each))
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"\W+", "_", text)
+    Decides numbers of shards only.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

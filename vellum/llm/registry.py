@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vellum.llm import chat, decontaminate, licenses, lines, minhash, ngram, pieces, quality, urls
+from vellum.llm import chat, decontaminate, licenses, lines, minhash, ngram, pieces, quality, suffix, urls
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_line_dedup": lines.op2_line_dedup,
+        "op3_suffix_dedup": suffix.op3_suffix_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_license_scans": licenses.op5_license_scans,
         "op6_lm_scoring": ngram.op6_lm_scoring,
