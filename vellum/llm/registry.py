@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from vellum.llm import chat, decontaminate, licenses, lines, minhash, ngram, pieces, quality, suffix, urls
 
 
@@ -17,8 +18,12 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_minhash": minhash.op10_minhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_url_filters": urls.oracle()}
+    found = {"op7_url_filters": urls.oracle()}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
