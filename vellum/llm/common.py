@@ -18,7 +18,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_BYTES = 2 << 20
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Texts may be long: what one Arrow batch holds is bounded by bytes, not by rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only where the session names none, as in tests, a folder of this machine is set.
     """
+    bound_batches(spark)
     context = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     held = context._jsc.sc().getCheckpointDir()

@@ -35,6 +35,8 @@ from vellum.llm.ngram import _blobs, _by_shard, _runs, merged
 
 SPAN, GRAM = 50, 20
 RUN = SPAN - GRAM + 1
+#: Bytes of segments that are compared at a time.
+PORTION = 3 << 20
 LAST = 9223372036854775807
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -188,7 +190,7 @@ _ROW = "shard int, kind int, blob binary"
 
 def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> DataFrame:
     """doc, tie, spans (start and end of each covered range as 64-bit integers) of each document with any."""
-    bits = max(4, min(14, (input_bytes(texts) // (8 << 20)).bit_length())) if shards is None else shards.bit_length() - 1
+    bits = max(4, min(17, (input_bytes(texts) // (2 << 20)).bit_length())) if shards is None else shards.bit_length() - 1
     n_shards = 1 << bits
 
     def collect_anchors(batches):
@@ -262,16 +264,24 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "kind", "blob"])
 
     def compare(blobs):
-        heads, bodies = [], []
+        parts = []
         for blob in blobs:
             size = int.from_bytes(blob[:8], "little")
-            heads.append(_unpack_columns(blob[8 : 8 + size], np.int64, np.int64, np.int64, np.uint8, np.uint8)[:5])
-            bodies.append(_unpack_columns(blob[8 + size :], np.uint8)[0])
-        docs, ties, at, delta, sizes = (np.concatenate(x) for x in zip(*heads, strict=True))
-        raw, sizes, delta = np.concatenate(bodies), sizes.astype(np.int64), delta.astype(np.int64)
+            docs, ties, at, delta, sizes = _unpack_columns(blob[8 : 8 + size], np.int64, np.int64, np.int64, np.uint8, np.uint8)[:5]
+            raw, sizes, delta = _unpack_columns(blob[8 + size :], np.uint8)[0], sizes.astype(np.int64), delta.astype(np.int64)
+            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            span = RangeHash(raw)
+            keys = span(first + delta, first + delta + GRAM)
+            parts.append((raw, first, sizes, docs, ties, at, span(first, first + sizes) + delta.astype(np.uint64), keys))
+        # strings meet under one anchor only: a few anchors at a time
+        rounds = -(-sum(len(p[0]) for p in parts) // PORTION)
+        for k in range(rounds):
+            picked = [np.flatnonzero(p[7] % np.uint64(rounds) == k) for p in parts]
+            raw = np.concatenate([_gather(p[0], p[1][i], p[2][i]) for p, i in zip(parts, picked, strict=True)])
+            yield compare_portion(raw, *(np.concatenate([p[c][i] for p, i in zip(parts, picked, strict=True)]) for c in range(2, 8)))
+
+    def compare_portion(raw, sizes, docs, ties, at, prints, keys):
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        span = RangeHash(raw)
-        prints, keys = span(first, first + sizes) + delta.astype(np.uint64), span(first + delta, first + delta + GRAM)
         covered, kind = _settled(prints, docs)
         out = [(docs[covered], ties[covered], at[covered], (at + sizes)[covered])]
         # anchors with segments of more than one kind: their strings are compared one by one
@@ -282,7 +292,7 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
 
         def strings(rows):
             n = sizes[rows] - SPAN + 1
-            starts = _gather(np.arange(len(raw)), first[rows], n)
+            starts = np.repeat(first[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
             view = np.lib.stride_tricks.sliding_window_view(raw, SPAN)[starts]
             return np.ascontiguousarray(view).view(f"S{SPAN}").ravel(), np.repeat(rows, n), starts
 
@@ -295,7 +305,7 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
             hit = family.scan(texts_) < docs[rows]
             rows, begin = rows[hit], (starts - first[rows] + at[rows])[hit]
             out.append((docs[rows], ties[rows], begin, begin + SPAN))
-        return [np.concatenate(x) for x in zip(*out, strict=True)]
+        return _merge_spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     def settle_shards(batches):
         waiting: dict[int, list] = {}
@@ -306,7 +316,8 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
                 else:
                     waiting.setdefault(shard, []).append(blob)
         for shard in sorted(waiting):
-            yield _span_blobs(1, n_shards, *compare(waiting.pop(shard)))
+            for spans in compare(waiting.pop(shard)):
+                yield _span_blobs(1, n_shards, *spans)
 
     segments = texts.mapInArrow(collect_segments, _ROW)
     # ranges that a task has settled go round the comparison; only their shard of documents matters
