@@ -191,24 +191,27 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, fol
     sketches = real.join(classes.select("node", "rep").hint("merge"), "node").where("doc_id = rep").drop("rep", "doc_id").dropDuplicates(["node"])
     sketches = settle(sketches, folder, "class-sketches")
     bits = [f"s{k}" for k in range(LONGS)]
-    entries = sketches.select("node", F.explode("bands").alias("band"))
+    entries = sketches.select("node", F.posexplode("bands").alias("no", "band"))
     leaders = settle(entries.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader"), folder, "leaders")
     shared = settle(entries.join(leaders, "band"), folder, "shared")  # classes with company in a band
 
     stars = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    light = sketches.select("node", "n_shingles", *bits)
+    light = sketches.select("node", "n_shingles", "bands", *bits)
     stars = stars.join(light.alias("x"), F.col("a") == F.col("x.node")).join(light.alias("y"), F.col("b") == F.col("y.node"))
     stars = stars.where(may_pass("x", "y", percent) & _size_fits("x", "y", percent)).select("a", "b")
     links = confirm(stars, documents, classes, width, percent, folder, "stars")
     groups = settle(components(links, folder, "first"), folder, "first-components")
 
     # bands whose classes are not all in one component yet
-    held = shared.select("band", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = shared.select("no", "band", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     held = settle(held.join(light, "node"), folder, "held")
     mixed = settle(held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band"), folder, "mixed")
     open_ = settle(held.join(mixed, "band"), folder, "open")
-    crossed = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & may_pass("x", "y", percent) & _size_fits("x", "y", percent))
-    crossed = crossed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+    # each pair in the first band that it shares, once
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.no") + 1
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    crossed = open_.alias("x").join(open_.alias("y"), met & _size_fits("x", "y", percent) & may_pass("x", "y", percent) & first)
+    crossed = crossed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = confirm(crossed, documents, classes, width, percent, folder, "crossed")
     groups = settle(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), folder, "second"), folder, "second-components")
 
