@@ -29,7 +29,7 @@ from vellum.llm.common import GAP, release, settle, shared_folder, table
 
 BUCKET_BITS = 14
 LAST = 9223372036854775807
-SALTS, LEADS = 4, 3
+SALTS, LEADS = 2, 2
 WORDS = f"filter(split({{}}, r'{GAP}'), w -> w <> '')"
 ID = ["doc", "tie", "line"]
 
@@ -49,22 +49,20 @@ def rarity_levels(texts: DataFrame) -> list[int]:
 
 
 def line_sets(texts: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """doc, tie, line, n, key, bitmap and prefix of every line with a word."""
+    """doc, tie, line, n, key and key2 (128 bits of the set), bitmap and prefix of every line with a word."""
     lines = texts.selectExpr("doc", "tie", "posexplode(split(text, '\\n')) AS (line, words)")
-    lines = lines.selectExpr("doc", "tie", "line", f"array_distinct({WORDS.format('words')}) AS words").where("size(words) > 0")
-    # a hash whose last six bits are 63 less the length: longer words sort first
-    hashed = "transform(words, w -> (xxhash64(w) & -64L) | cast(63 - least(octet_length(w), 63) AS long))"
-    said = ",".join(map(str, levels))
-    lines = lines.selectExpr("doc", "tie", "line", f"{hashed} AS h").withColumn("levels", F.split(F.lit(said), ",").cast("array<short>"))
-    level = f"cast(element_at(levels, cast(shiftrightunsigned(h, {64 - BUCKET_BITS}) AS int) + 1) AS long)"
-    token = f"shiftleft({level}, 52) | shiftleft(h & 63L, 46) | (shiftrightunsigned(h, 6) & {(1 << 46) - 1}L)"
-    lines = lines.selectExpr("doc", "tie", "line", f"sort_array(transform(h, h -> {token})) AS toks")
+    lines = lines.selectExpr("doc", "tie", "line", f"array_remove(split(words, r'{GAP}'), '') AS words").where("size(words) > 0")
+    lines = lines.withColumn("levels", F.split(F.lit(",".join(map(str, levels))), ",").cast("array<short>"))
+    level = f"cast(element_at(levels, cast(shiftrightunsigned(xxhash64(w), {64 - BUCKET_BITS}) AS int) + 1) AS long)"
+    # level, then 63 less the length (longer words sort first), then 46 bits of the hash
+    token = f"shiftleft({level}, 52) | shiftleft(cast(63 - least(octet_length(w), 63) AS long), 46) | (xxhash64(w) & {(1 << 46) - 1}L)"
+    lines = lines.selectExpr("doc", "tie", "line", f"sort_array(array_distinct(transform(words, w -> {token}))) AS toks")
     n = "size(toks)"
     prefix = f"CASE WHEN {n} * 100 < percent_ THEN cast(array() AS array<long>) ELSE slice(toks, 1, {n} - (({n} * {percent} + 99) div 100) + 1) END"
     # a set smaller than this has no similar set but itself
     alone = 100 * percent // (100 - percent) if percent < 100 else 10**9
     return lines.selectExpr(
-        *ID, f"cast({n} AS int) AS n", "xxhash64(toks) AS key", "aggregate(toks, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 AS int))) AS bitmap",
+        *ID, f"cast({n} AS int) AS n", "xxhash64(toks) AS key", "xxhash64(1, toks) AS key2", "aggregate(toks, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 AS int))) AS bitmap",
         prefix.replace("percent_", str(alone)) + " AS prefix",
     )
 
@@ -74,12 +72,12 @@ def _needed(percent: int) -> str:
     return f"((x.n + y.n) * {percent} + {99 + percent}) div {100 + percent}"
 
 
-def _filters(percent: int) -> str:
-    need = _needed(percent)
-    return (
-        f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND bit_count(x.bitmap ^ y.bitmap) <= x.n + y.n - 2 * ({need})"
-        " AND (y.doc < x.doc OR (y.doc = x.doc AND (y.tie < x.tie OR (y.tie = x.tie AND y.line < x.line))))"
-    )
+def _near(percent: int) -> str:
+    """Lengths and parity bitmaps leave room for enough shared words."""
+    return f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND bit_count(x.bitmap ^ y.bitmap) <= x.n + y.n - 2 * ({_needed(percent)})"
+
+
+EARLIER = "(y.doc < x.doc OR (y.doc = x.doc AND (y.tie < x.tie OR (y.tie = x.tie AND y.line < x.line))))"
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
@@ -104,33 +102,40 @@ def later_lines(documents: DataFrame, percent: int = 80, folder: str | None = No
     folder = folder or shared_folder(spark)
     texts = _keyed(documents)
     lines = settle(line_sets(texts, rarity_levels(texts), percent), folder, "lines")
-    first = lines.groupBy("key", "n", "bitmap").agg(F.min(F.struct(*ID, "prefix")).alias("first"))
-    classes = settle(first.select("key", "n", "bitmap", "first.*"), folder, "classes")
+    first = lines.groupBy("key", "key2").agg(F.min(F.struct(*ID, "n", "bitmap", "prefix")).alias("first"))
+    classes = settle(first.select("key", "key2", "first.*"), folder, "classes")
     release(spark)
-    entries = classes.where("size(prefix) > 0").select(*ID, "n", "bitmap", F.posexplode("prefix").alias("pos", "tok"))
 
     # leaders: the earliest classes of each salt among those of one size that share a rare token
-    rare = entries.where(F.col("pos") < LEADS)
+    rare = classes.where("size(prefix) > 0").select(*ID, "n", "bitmap", F.explode(F.slice("prefix", 1, LEADS)).alias("tok"))
     salt = F.pmod(F.xxhash64(*ID), F.lit(SALTS))
     heads = rare.groupBy("tok", "n").agg(F.count("*").alias("c"), *(F.min(F.when(salt == k, F.struct(*ID, "bitmap"))).alias(f"l{k}") for k in range(SALTS)))
     heads = heads.where("c > 1").select("tok", "n", F.explode(F.array(*(f"l{k}" for k in range(SALTS)))).alias("l")).where("l is not null").select("tok", "n", "l.*")
     heads = settle(heads, folder, "leaders")
-    led = rare.alias("x").join(heads.alias("y"), ["tok", "n"]).where(_filters(percent).replace("x.n", "n").replace("y.n", "n"))
+    led = rare.alias("x").join(heads.alias("y"), ["tok", "n"]).where(f"{_near(percent)} AND {EARLIER}".replace("x.n", "n").replace("y.n", "n"))
     pair = [*(F.col(f"x.{c}").alias(f"x{c}") for c in ID), *(F.col(f"y.{c}").alias(f"y{c}") for c in ID)]
     matched = verify(led.select(*pair).distinct(), texts, percent, folder, "led")
     release(spark, folder, "leaders")
 
-    probes = classes.where("size(prefix) > 0").join(matched, ID, "left_anti").select(*ID, "n", "bitmap", F.posexplode("prefix").alias("pos", "tok"))
+    # the larger set (or the later of two of one size) probes with its whole prefix, the other is found by its
+    # index prefix; the later of both must not have a match yet. Both sides are one exchange, read twice.
+    index = f"n - (({2 * percent}) * n + {99 + percent}) div {100 + percent} + 1"
+    done = matched.withColumn("done", F.lit(True))
+    entries = classes.where("size(prefix) > 0").join(done, ID, "left").selectExpr(*ID, "n", "bitmap", "coalesce(done, false) AS done", f"{index} AS reach", "posexplode(prefix) AS (pos, tok)")
+    entries = settle(entries, folder, "entries")
     place = f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {_needed(percent)}"
-    met = probes.alias("x").join(entries.alias("y"), F.expr(f"x.tok = y.tok AND {_filters(percent)} AND {place}"))
-    more = verify(met.select(*pair).distinct(), texts, percent, folder, "met")
-
-    gone = settle(classes.join(matched.union(more), ID, "left_semi").select("key", "n", "bitmap").withColumn("hit", F.lit(True)), folder, "gone")
-    led_by = classes.select("key", "n", "bitmap", *(F.col(c).alias(f"f{c}") for c in ID))
-    known = settle(led_by.join(gone, ["key", "n", "bitmap"], "left"), folder, "known")
-    every = lines.select(*ID, "key", "n", "bitmap").join(known, ["key", "n", "bitmap"])
-    later = "NOT (doc = fdoc AND tie = ftie AND line = fline)"
-    return every.select(*ID, F.expr(f"coalesce(hit, false) OR {later}").alias("gone")), texts
+    roles = f"(y.pos < y.reach OR x.n < 0) AND (y.n < x.n OR (y.n = x.n AND {EARLIER})) AND NOT (CASE WHEN {EARLIER} THEN x.done ELSE y.done END)"
+    met = entries.alias("x").join(entries.alias("y"), F.expr(f"x.tok = y.tok AND {roles} AND {place} AND {_near(percent)}"))
+    later = [*(F.expr(f"CASE WHEN {EARLIER} THEN x.{c} ELSE y.{c} END").alias(f"x{c}") for c in ID), *(F.expr(f"CASE WHEN {EARLIER} THEN y.{c} ELSE x.{c} END").alias(f"y{c}") for c in ID)]
+    more = verify(met.select(*later).distinct(), texts, percent, folder, "met")
+
+    release(spark, folder, "entries")
+    gone = settle(classes.join(matched.union(more), ID, "left_semi").select("key", "key2").withColumn("hit", F.lit(True)), folder, "gone")
+    led_by = classes.select("key", "key2", *(F.col(c).alias(f"f{c}") for c in ID))
+    known = settle(led_by.join(gone, ["key", "key2"], "left"), folder, "known")
+    every = lines.select(*ID, "key", "key2").join(known, ["key", "key2"])
+    behind = "NOT (doc = fdoc AND tie = ftie AND line = fline)"
+    return every.select(*ID, F.expr(f"coalesce(hit, false) OR {behind}").alias("gone")), texts
 
 
 def judge(documents: DataFrame, percent: int = 80) -> DataFrame:
