@@ -3,8 +3,8 @@
 Every line of every whole file is a candidate header or notice. Term weights (tf * idf) use the inverse
 document frequencies of the templates; a term no template has gets the largest of them and so pulls the
 cosine down. Only lines with an anchor term are weighed: anchors are chosen so that a line without any
-cannot reach the threshold with any template (the rest of the template's vector is too short), which makes
-that filter exact. A file's own licence is that of its best line.
+cannot reach the threshold with any template (the rest of the template's vector is too short), and of these
+only lines whose terms make up enough of some template's vector: both filters are exact. A file's own licence is that of its best line.
 
 A licence file (by name, or a file all of whose lines with words are notices) licenses its directory. A file
 without a licence of its own takes that of its nearest ancestor directory with one, found by joining the
@@ -88,7 +88,14 @@ def scan_lines(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHO
     marks = "|".join(anchors(units, threshold))
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.col("line").rlike(rf"(?i)(?<![a-z0-9])(?:{marks})(?![a-z0-9])"))
-    words = lines.select("path", "line_no", F.explode(F.regexp_extract_all(ascii_lower(F.col("line")), F.lit(TERM), F.lit(0))).alias("term"))
+    # a cosine is at most the length of the part of the template's vector whose terms the line has
+    every = F.array(*(F.lit(t) for t in sorted(idf)))
+    squares = F.array(*(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(w * w).alias("square")) for t, w in sorted(u.items()))) for u in units))
+    own = F.regexp_extract_all(ascii_lower(F.col("line")), F.lit(TERM), F.lit(0))
+    lines = lines.select("path", "line_no", own.alias("terms")).withColumn("shared", F.array_intersect("terms", every))
+    zero = F.lit(0.0)
+    reach = F.exists(squares, lambda u: F.aggregate(u, zero, lambda a, s: a + F.when(F.array_contains("shared", s["term"]), s["square"]).otherwise(zero)) >= threshold**2 - 1e-9)
+    words = lines.where(reach).select("path", "line_no", F.explode("terms").alias("term"))
     counted = words.groupBy("path", "line_no", "term").agg(F.count("*").alias("tf"))
     # both tables have a row for each term of the templates at most
     weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
