@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import SOURCE_RANK
 from vellum.functions import text as tx
-from vellum.operators import consensus, lexing, markup, repetition, rules, runs, spans, usage
+from vellum.operators import alignment, consensus, lexing, markup, repetition, rules, runs, spans, usage
 from vellum.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,3 +553,36 @@ def run_metadata_join(spark, sf):
     customers = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     both = table(spark, sf, "orders").where("o_orderstatus <> 'F'").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return both.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# --- sequential kernels (no SQL form; held against brute force in the tests) ---------------------------------
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """Texts as Markdown: the first line a heading, every fifth line a table row, every seventh an item."""
+    shaped = F.transform(F.split("text", "\n"), lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).when(i % 5 == 4, F.concat(F.lit("| "), x, F.lit(" | 1 |"))).when(i % 7 == 6, F.concat(F.lit("- "), x)).otherwise(x))
+    return docs.select("doc_id", F.array_join(shaped, "\n").alias("text"))
+
+
+@query()
+def structural_units(spark, sf):
+    return alignment.structural_units(_marked(table(spark, sf, "documents")))
+
+
+@query()
+def table_cells(spark, sf):
+    own = lexing.lines(_marked(table(spark, sf, "documents"))).where(F.col("line").startswith("|"))
+    return alignment.cells(own.select("doc_id", F.col("line_no").cast("long").alias("row_no"), "line"))
+
+
+@query()
+def aligned_units(spark, sf):
+    """Lines of each text against those of a view of it that lacks every seventh line and a letter here and there."""
+    own = lexing.lines(table(spark, sf, "documents")).where("line <> ''").select("doc_id", F.col("line_no").cast("long").alias("no"), F.lit("paragraph").alias("unit_type"), F.col("line").alias("raw"))
+    return alignment.aligned_units(own, own.where("no % 7 <> 6").withColumn("raw", F.regexp_replace("raw", "th", "h")))
+
+
+@query()
+def selection_batches(spark, sf):
+    sized = lexing.lines(table(spark, sf, "documents")).select("doc_id", F.col("line_no").cast("long").alias("region"), (F.length("line") % 5 + 1).cast("long").alias("candidates"), (F.octet_length("line") * 200).cast("long").alias("bytes"))
+    return alignment.batches(sized)
