@@ -93,55 +93,78 @@ def trace(symbols: np.ndarray, model: dict[str, np.ndarray], entry: np.ndarray,
     return np.array(states[::-1])
 
 
-def recover_roles(turns: DataFrame, model: dict[str, np.ndarray], folder: str | None = None, block: int = BLOCK) -> DataFrame:
-    """conv_id, turn, role, text and recovered of every row."""
+def _runs(frame: pd.DataFrame, keys: list[str]):
+    """(key values, begin, end) of the runs of equal keys in a sorted frame."""
+    if not len(frame):
+        return
+    values = frame[keys].to_numpy()
+    cut = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]).any(1), [True])))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield [int(v) for v in values[a]], a, b
+
+
+def _in_order(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame.sort_values(["conv", "block", "turn", "text", "role"], kind="stable", na_position="first", ignore_index=True)
+
+
+def recover_roles(turns: DataFrame, model: dict[str, np.ndarray], folder: str | None = None, block: int = BLOCK, rows_per_call: int = 20_000) -> DataFrame:
+    """conv_id, turn, role, text and recovered of every row.
+
+    Blocks are dealt to buckets of about rows_per_call rows, so that a call of a kernel decodes many of them.
+    """
     folder = folder or shared_folder(turns.sparkSession)
     rows = observed(turns).withColumn("block", F.floor(F.col("turn") / block)).withColumn("conv", F.coalesce("conv_id", F.lit(-(2**63)).cast("long")))
-
-    def ordered(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.sort_values(["turn", "text", "role"], kind="stable", na_position="first")
-
-    return _decode(rows, model, folder, ordered)
-
-
-def _decode(rows: DataFrame, model: dict[str, np.ndarray], folder: str, ordered) -> DataFrame:
-    def score(key, frame: pd.DataFrame) -> pd.DataFrame:
-        symbols = ordered(frame)["symbol"].to_numpy()
-        # from a state before the block, and from the start of a conversation
-        inner = block_matrix(symbols, model)
-        begin = model["start"] + model["emit"][:, symbols[0]]
-        for s in symbols[1:]:
-            begin = (begin[:, None] + model["move"]).max(0) + model["emit"][:, s]
-        return pd.DataFrame({"conv": [key[0]], "block": [key[1]], "inner": [inner.ravel().tolist()], "begin": [begin.tolist()]})
-
-    scored = settle(rows.groupBy("conv", "block").applyInPandas(score, "conv long, block long, inner array<double>, begin array<double>"), folder, "scores")
-
-    def join(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block", kind="stable")
-        inner = [np.array(m).reshape(3, 3) for m in frame["inner"]]
-        scores = np.array(frame["begin"].iloc[0])
-        ends = [scores]
-        for m in inner[1:]:
-            scores = (scores[:, None] + m).max(0)
-            ends.append(scores)
-        last = [int(ends[-1].argmax())]
-        for k in range(len(inner) - 1, 0, -1):
-            last.append(int((ends[k - 1] + inner[k][:, last[-1]]).argmax()))
-        last.reverse()
-        # a later block is entered through a move from the one state that the best path leaves before it
-        entry = [model["start"].tolist(), *(model["move"][s].tolist() for s in last[:-1])]
-        return pd.DataFrame({"conv": key[0], "block": frame["block"].to_numpy(), "entry": entry, "last": last})
-
-    known = settle(scored.groupBy("conv").applyInPandas(join, "conv long, block long, entry array<double>, last int"), folder, "borders")
-
-    def states(key, frame: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
-        frame = ordered(frame)
+    buckets = F.lit(turns.count() // rows_per_call + 1)
+    dealt = F.pmod(F.xxhash64("conv", "block"), buckets)
+    rows = rows.withColumn("bucket", dealt)
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, out = _in_order(frame), []
+        for (conv, block_no), a, b in _runs(frame, ["conv", "block"]):
+            symbols = frame["symbol"].to_numpy()[a:b]
+            # from a state before the block, and from the start of a conversation
+            begin = model["start"] + model["emit"][:, symbols[0]]
+            for s in symbols[1:]:
+                begin = (begin[:, None] + model["move"]).max(0) + model["emit"][:, s]
+            out.append((conv, block_no, block_matrix(symbols, model).ravel().tolist(), begin.tolist()))
+        return pd.DataFrame(out, columns=["conv", "block", "inner", "begin"])
+
+    scored = settle(rows.groupBy("bucket").applyInPandas(score, "conv long, block long, inner array<double>, begin array<double>"), folder, "scores")
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, out = frame.sort_values(["conv", "block"], kind="stable", ignore_index=True), []
+        numbers = frame["block"].to_numpy()
+        for (conv,), a, b in _runs(frame, ["conv"]):
+            inner = [np.array(frame["inner"].iloc[k]).reshape(3, 3) for k in range(a, b)]
+            scores = np.array(frame["begin"].iloc[a])
+            ends = [scores]
+            for m in inner[1:]:
+                scores = (scores[:, None] + m).max(0)
+                ends.append(scores)
+            last = [int(ends[-1].argmax())]
+            for k in range(len(inner) - 1, 0, -1):
+                last.append(int((ends[k - 1] + inner[k][:, last[-1]]).argmax()))
+            last.reverse()
+            # a later block is entered through a move from the one state that the best path leaves before it
+            entry = [model["start"].tolist(), *(model["move"][s].tolist() for s in last[:-1])]
+            out += zip([conv] * len(last), numbers[a:b].tolist(), entry, last, strict=True)
+        return pd.DataFrame(out, columns=["conv", "block", "entry", "last"])
+
+    meeting = scored.withColumn("bucket", F.pmod(F.xxhash64("conv"), buckets))
+    known = settle(meeting.groupBy("bucket").applyInPandas(join, "conv long, block long, entry array<double>, last int").withColumn("bucket", dealt), folder, "borders")
+
+    def states(frame: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
+        names = ["conv_id", "turn", "role", "text", "recovered"]
         if not len(frame):
-            return pd.DataFrame(columns=["conv_id", "turn", "role", "text", "recovered"])
-        found = trace(frame["symbol"].to_numpy(), model, np.array(border["entry"].iloc[0]), int(border["last"].iloc[0]))
-        return frame.assign(recovered=[STATES[s] for s in found])[["conv_id", "turn", "role", "text", "recovered"]]
-
-    pair = rows.groupBy("conv", "block").cogroup(known.groupBy("conv", "block"))
+            return pd.DataFrame(columns=names)
+        frame, found = _in_order(frame), []
+        held = {(c, k): (e, s) for c, k, e, s in border[["conv", "block", "entry", "last"]].itertuples(index=False)}
+        for key, a, b in _runs(frame, ["conv", "block"]):
+            entry, last = held[tuple(key)]
+            found += [STATES[s] for s in trace(frame["symbol"].to_numpy()[a:b], model, np.array(entry), int(last))]
+        return frame.assign(recovered=found)[names]
+
+    pair = rows.groupBy("bucket").cogroup(known.groupBy("bucket"))
     return pair.applyInPandas(states, "conv_id long, turn long, role string, text string, recovered string")
 
 
