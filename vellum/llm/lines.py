@@ -25,12 +25,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import GAP, release, settle, shared_folder, table
+from vellum.llm.common import release, settle, shared_folder, table
 
 BUCKET_BITS = 14
 LAST = 9223372036854775807
 SALTS, LEADS = 2, 2
-WORDS = f"filter(split({{}}, r'{GAP}'), w -> w <> '')"
+#: White space other than the line feed as blanks: splitting at one character needs no pattern.
+BLANKS = "replace(replace(replace(replace({}, '\t', ' '), '\x0B', ' '), '\f', ' '), '\r', ' ')"
+WORDS = "array_remove(split({}, ' '), '')"
 ID = ["doc", "tie", "line"]
 
 
@@ -42,7 +44,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def rarity_levels(texts: DataFrame) -> list[int]:
     """A level for each hash bucket of words: 0 up to the mean bucket, then four steps a doubling."""
-    words = texts.selectExpr(f"explode({WORDS.format('text')}) AS w").selectExpr(f"cast(shiftrightunsigned(xxhash64(w), {64 - BUCKET_BITS}) AS int) AS bucket")
+    words = texts.selectExpr(f"explode(split(replace({BLANKS.format('text')}, '\n', ' '), ' ')) AS w").where("w <> ''").selectExpr(f"cast(shiftrightunsigned(xxhash64(w), {64 - BUCKET_BITS}) AS int) AS bucket")
     counts = {r.bucket: r["count"] for r in words.groupBy("bucket").count().collect()}  # 2 ** BUCKET_BITS numbers at most
     mean = sum(counts.values()) / (1 << BUCKET_BITS)
     return [max(0, min(255, round(4 * math.log2(counts[b] / mean)))) if counts.get(b) else 0 for b in range(1 << BUCKET_BITS)]
@@ -50,8 +52,8 @@ def rarity_levels(texts: DataFrame) -> list[int]:
 
 def line_sets(texts: DataFrame, levels: list[int], percent: int) -> DataFrame:
     """doc, tie, line, n, key and key2 (128 bits of the set), bitmap and prefix of every line with a word."""
-    lines = texts.selectExpr("doc", "tie", "posexplode(split(text, '\\n')) AS (line, words)")
-    lines = lines.selectExpr("doc", "tie", "line", f"array_remove(split(words, r'{GAP}'), '') AS words").where("size(words) > 0")
+    lines = texts.selectExpr("doc", "tie", f"posexplode(split({BLANKS.format('text')}, '\\n')) AS (line, words)")
+    lines = lines.selectExpr("doc", "tie", "line", f"{WORDS.format('words')} AS words").where("size(words) > 0")
     lines = lines.withColumn("levels", F.split(F.lit(",".join(map(str, levels))), ",").cast("array<short>"))
     level = f"cast(element_at(levels, cast(shiftrightunsigned(xxhash64(w), {64 - BUCKET_BITS}) AS int) + 1) AS long)"
     # level, then 63 less the length (longer words sort first), then 46 bits of the hash
@@ -85,7 +87,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, folder: str, name:
     pairs = settle(pairs, folder, f"{name}-pairs")
     ids = pairs.selectExpr(*(f"x{c} AS {c}" for c in ID)).union(pairs.selectExpr(*(f"y{c} AS {c}" for c in ID))).distinct()
     wanted = settle(ids.groupBy("doc", "tie").agg(F.collect_list("line").alias("lines")), folder, f"{name}-wanted")  # lines of one text
-    found = texts.join(wanted, ["doc", "tie"]).selectExpr("doc", "tie", "split(text, '\\n') AS all", "lines").selectExpr("doc", "tie", "explode(transform(lines, l -> struct(l AS line, element_at(all, l + 1) AS words))) AS l")
+    found = texts.join(wanted, ["doc", "tie"]).selectExpr("doc", "tie", f"split({BLANKS.format('text')}, '\\n') AS all", "lines").selectExpr("doc", "tie", "explode(transform(lines, l -> struct(l AS line, element_at(all, l + 1) AS words))) AS l")
     found = found.selectExpr("doc", "tie", "l.line", f"array_distinct({WORDS.format('l.words')}) AS words").dropDuplicates(ID)
     found = settle(found, folder, f"{name}-words")
     left = found.selectExpr(*(f"{c} AS x{c}" for c in ID), "words AS a")
