@@ -20,6 +20,7 @@ carried by `drop_lines` and not read otherwise.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ from vellum.llm.common import release, settle, shared_folder, table
 BUCKET_BITS = 14
 LAST = 9223372036854775807
 SALTS, LEADS = 2, 2
+#: Candidates are made and verified in so many turns, each of which lets go of its shuffle files.
+TURNS = 4
 #: White space other than the line feed as blanks: splitting at one character needs no pattern.
 BLANKS = "replace(replace(replace(replace({}, '\t', ' '), '\x0B', ' '), '\f', ' '), '\r', ' ')"
 WORDS = "array_remove(split({}, ' '), '')"
@@ -90,10 +93,15 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, folder: str, name:
     found = texts.join(wanted, ["doc", "tie"]).selectExpr("doc", "tie", f"split({BLANKS.format('text')}, '\\n') AS all", "lines").selectExpr("doc", "tie", "explode(transform(lines, l -> struct(l AS line, element_at(all, l + 1) AS words))) AS l")
     found = found.selectExpr("doc", "tie", "l.line", f"array_distinct({WORDS.format('l.words')}) AS words").dropDuplicates(ID)
     found = settle(found, folder, f"{name}-words")
+    release(texts.sparkSession)
     left = found.selectExpr(*(f"{c} AS x{c}" for c in ID), "words AS a")
     right = found.selectExpr(*(f"{c} AS y{c}" for c in ID), "words AS b")
-    both = pairs.join(left, [f"x{c}" for c in ID]).join(right, [f"y{c}" for c in ID]).selectExpr(*(f"x{c} AS {c}" for c in ID), "size(a) AS n", "size(b) AS m", "size(array_intersect(a, b)) AS s")
-    out = settle(both.where(f"100 * s >= {percent} * (n + m - s)").select(*ID).distinct(), folder, f"{name}-matched")
+    turn, parts = F.pmod(F.xxhash64(*pairs.columns), F.lit(TURNS)), []
+    for k in range(TURNS):
+        both = pairs.where(turn == k).join(left, [f"x{c}" for c in ID]).join(right, [f"y{c}" for c in ID]).selectExpr(*(f"x{c} AS {c}" for c in ID), "size(a) AS n", "size(b) AS m", "size(array_intersect(a, b)) AS s")
+        parts.append(settle(both.where(f"100 * s >= {percent} * (n + m - s)").select(*ID).distinct(), folder, f"{name}-matched-{k}"))
+        release(texts.sparkSession)
+    out = functools.reduce(DataFrame.union, parts)
     release(texts.sparkSession, folder, f"{name}-pairs", f"{name}-wanted", f"{name}-words")
     return out
 
@@ -123,15 +131,22 @@ def later_lines(documents: DataFrame, percent: int = 80, folder: str | None = No
     # index prefix; the later of both must not have a match yet. Both sides are one exchange, read twice.
     index = f"n - (({2 * percent}) * n + {99 + percent}) div {100 + percent} + 1"
     done = matched.withColumn("done", F.lit(True))
-    entries = classes.where("size(prefix) > 0").join(done, ID, "left").selectExpr(*ID, "n", "bitmap", "coalesce(done, false) AS done", f"{index} AS reach", "posexplode(prefix) AS (pos, tok)")
-    entries = settle(entries, folder, "entries")
+    flagged = classes.where("size(prefix) > 0").join(done, ID, "left").selectExpr(*ID, "n", "bitmap", "prefix", "coalesce(done, false) AS done", f"{index} AS reach")
+    flagged = settle(flagged, folder, "flagged")
+    release(spark)
+    entries = flagged.selectExpr(*ID, "n", "bitmap", "done", "reach", "posexplode(prefix) AS (pos, tok)")
     place = f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {_needed(percent)}"
     roles = f"(y.pos < y.reach OR x.n < 0) AND (y.n < x.n OR (y.n = x.n AND {EARLIER})) AND NOT (CASE WHEN {EARLIER} THEN x.done ELSE y.done END)"
-    met = entries.alias("x").join(entries.alias("y"), F.expr(f"x.tok = y.tok AND {roles} AND {place} AND {_near(percent)}"))
     later = [*(F.expr(f"CASE WHEN {EARLIER} THEN x.{c} ELSE y.{c} END").alias(f"x{c}") for c in ID), *(F.expr(f"CASE WHEN {EARLIER} THEN y.{c} ELSE x.{c} END").alias(f"y{c}") for c in ID)]
-    more = verify(met.select(*later).distinct(), texts, percent, folder, "met")
-
-    release(spark, folder, "entries")
+    met = []
+    for k in range(TURNS):
+        part = entries.where(F.pmod("tok", F.lit(TURNS)) == k)
+        pairs = part.alias("x").join(part.alias("y"), F.expr(f"x.tok = y.tok AND {roles} AND {place} AND {_near(percent)}"))
+        met.append(settle(pairs.select(*later).distinct(), folder, f"met-{k}"))
+        release(spark)
+    more = verify(functools.reduce(DataFrame.union, met).distinct(), texts, percent, folder, "met")
+
+    release(spark, folder, "flagged", *(f"met-{k}" for k in range(TURNS)))
     gone = settle(classes.join(matched.union(more), ID, "left_semi").select("key", "key2").withColumn("hit", F.lit(True)), folder, "gone")
     led_by = classes.select("key", "key2", *(F.col(c).alias(f"f{c}") for c in ID))
     known = settle(led_by.join(gone, ["key", "key2"], "left"), folder, "known")
