@@ -11,7 +11,7 @@ goes itself or not.
    Leaders first: every class is compared with the earliest classes of the same size that share one of its
    rarest tokens. In a group of many near copies this settles most lines without pairing them all.
 4. The classes left probe the prefix index under a length, a positional and a parity-bitmap filter (none
-   loses a pair). All candidates are verified on the words themselves.
+   loses a pair). All candidates are verified on their whole sets of words.
 
 Blank lines stay. Nulls and empty texts have no lines. Null ids come last in the order. Identical rows are
 one document; rows that share an id but not the text are told apart by a hash of the text. Extra columns are
@@ -31,7 +31,7 @@ from vellum.llm.common import release, settle, shared_folder, table
 BUCKET_BITS = 14
 LAST = 9223372036854775807
 SALTS, LEADS = 2, 2
-#: Candidates are made and verified in so many turns, each of which lets go of its shuffle files.
+#: Candidates are made in so many turns, each of which lets go of its shuffle files.
 TURNS = 4
 #: White space other than the line feed as blanks: splitting at one character needs no pattern.
 BLANKS = "replace(replace(replace(replace({}, '\t', ' '), '\x0B', ' '), '\f', ' '), '\r', ' ')"
@@ -91,17 +91,14 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, folder: str, name:
     ids = pairs.selectExpr(*(f"x{c} AS {c}" for c in ID)).union(pairs.selectExpr(*(f"y{c} AS {c}" for c in ID))).distinct()
     wanted = settle(ids.groupBy("doc", "tie").agg(F.collect_list("line").alias("lines")), folder, f"{name}-wanted")  # lines of one text
     found = texts.join(wanted, ["doc", "tie"]).selectExpr("doc", "tie", f"split({BLANKS.format('text')}, '\\n') AS all", "lines").selectExpr("doc", "tie", "explode(transform(lines, l -> struct(l AS line, element_at(all, l + 1) AS words))) AS l")
-    found = found.selectExpr("doc", "tie", "l.line", f"array_distinct({WORDS.format('l.words')}) AS words").dropDuplicates(ID)
+    # words as 64-bit hashes: half the bytes to shuffle, and a collision within a pair of lines is a matter of 1e-15
+    found = found.selectExpr("doc", "tie", "l.line", f"array_distinct(transform({WORDS.format('l.words')}, w -> xxhash64(w))) AS words").dropDuplicates(ID)
     found = settle(found, folder, f"{name}-words")
     release(texts.sparkSession)
     left = found.selectExpr(*(f"{c} AS x{c}" for c in ID), "words AS a")
     right = found.selectExpr(*(f"{c} AS y{c}" for c in ID), "words AS b")
-    turn, parts = F.pmod(F.xxhash64(*pairs.columns), F.lit(TURNS)), []
-    for k in range(TURNS):
-        both = pairs.where(turn == k).join(left, [f"x{c}" for c in ID]).join(right, [f"y{c}" for c in ID]).selectExpr(*(f"x{c} AS {c}" for c in ID), "size(a) AS n", "size(b) AS m", "size(array_intersect(a, b)) AS s")
-        parts.append(settle(both.where(f"100 * s >= {percent} * (n + m - s)").select(*ID).distinct(), folder, f"{name}-matched-{k}"))
-        release(texts.sparkSession)
-    out = functools.reduce(DataFrame.union, parts)
+    both = pairs.join(left, [f"x{c}" for c in ID]).join(right, [f"y{c}" for c in ID]).selectExpr(*(f"x{c} AS {c}" for c in ID), "size(a) AS n", "size(b) AS m", "size(array_intersect(a, b)) AS s")
+    out = settle(both.where(f"100 * s >= {percent} * (n + m - s)").select(*ID).distinct(), folder, f"{name}-matched")
     release(texts.sparkSession, folder, f"{name}-pairs", f"{name}-wanted", f"{name}-words")
     return out
 
@@ -144,9 +141,9 @@ def later_lines(documents: DataFrame, percent: int = 80, folder: str | None = No
         pairs = part.alias("x").join(part.alias("y"), F.expr(f"x.tok = y.tok AND {roles} AND {place} AND {_near(percent)}"))
         met.append(settle(pairs.select(*later).distinct(), folder, f"met-{k}"))
         release(spark)
+    release(spark, folder, "flagged")
     more = verify(functools.reduce(DataFrame.union, met).distinct(), texts, percent, folder, "met")
-
-    release(spark, folder, "flagged", *(f"met-{k}" for k in range(TURNS)))
+    release(spark, folder, *(f"met-{k}" for k in range(TURNS)))
     gone = settle(classes.join(matched.union(more), ID, "left_semi").select("key", "key2").withColumn("hit", F.lit(True)), folder, "gone")
     led_by = classes.select("key", "key2", *(F.col(c).alias(f"f{c}") for c in ID))
     known = settle(led_by.join(gone, ["key", "key2"], "left"), folder, "known")
