@@ -17,7 +17,7 @@ def template(text):
         after_slot = out and out[-1][0] in "nu" and out[-1][2] == m.start() - 1
         if m["n"] or m["u"]:
             out.append(("n" if m["n"] else "u", m[0].lower(), m.end()))
-        elif regex.match(r"\p{Lu}", m[0]) and (after_slot and before[-1:] == " " or regex.fullmatch(r"[\p{L}\p{N},;:]\x20", before)):
+        elif regex.match(r"\p{Lu}\p{Ll}", m[0]) and (after_slot and before[-1:] == " " or regex.fullmatch(r"[\p{L}\p{N},;:]\x20", before)):
             out.append(("p", m[0].lower(), m.end()))
         else:
             out.append(("", m[0].lower(), m.end()))
@@ -67,7 +67,7 @@ DOCS = [
     (5, "Well if Tom has 30 apples and gives Mary 7 apples, how many of the 31 apples does Tom keep for the day"),
     (6, "see the quick brown fox jumps over it"), (7, "the quick brown fox jumps"),
     (8, "A train drives 90 km in 4 hours, then 10 km in 5 hours; what is the mean speed of the train?\n" * 3),
-    (9, "1 2 3 4 5 6 7 8 9 10 11"), (None, "see the quick brown fox jumps over it"), (3, "an other text"), (10, "x \x02n\x03 12% and 5°"),
+    (9, "1 2 3 4 5 6 7 8 9 10 11"), (None, "see the quick brown fox jumps over it"), (3, "an other text"), (11, "HE SAID THE QUICK BROWN FOX JUMPS OVER IT"), (10, "x \x02n\x03 12% and 5°"),
 ]
 
 
@@ -77,7 +77,7 @@ def test_templates_and_slots(spark):
     rows = d.judge(docs, items).collect()
     assert len(rows) == len(DOCS)
     hits = {r.doc_id: r.item_id for r in rows if r.contaminated}
-    assert hits == {3: 1, 4: 1, 6: 2, 8: 3, None: 2}
+    assert hits == {3: 1, 4: 1, 6: 2, 8: 3, 11: 2, None: 2}
     assert {k: v[0] for k, v in brute(DOCS, ITEMS).items()} == hits
     kept = d.drop_leaks(docs, items, ["doc_id", "text"]).collect()
     assert sorted(r.doc_id for r in kept) == [0, 1, 2, 5, 7, 9, 10]

@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders.
+Numbers, units after numbers and names (capitalised words inside a sentence, unless all in capitals) become typed placeholders.
 Windows of template tokens of every whole text are hashed and joined to the windows of the benchmark
 items. Matches on one diagonal (document position less item position) are one alignment; where its
 template has slots, every slot value of the item must stand for one value of the document throughout
@@ -26,7 +26,8 @@ UNITS = (
     "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "miles", "meters", "metres", "mg", "g", "kg", "t", "lb", "lbs", "oz", "ml", "l", "liters", "litres",
     "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "percent", "dollars", "usd", "eur", "euros", "cents", "mph", "kmh", "w", "kw", "v", "hz",
 )
-NAME = r"(?<=[\p{L}\p{N},;:\x03]\x20)\p{Lu}[\p{L}\p{M}]*"
+#: A capital and a small letter inside a sentence; words all in capitals are words.
+NAME = r"(?<=[\p{L}\p{N},;:\x03]\x20)\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 TOKEN = "\x02[^\x03]*\x03|[\\p{L}\\p{M}]+"
 WINDOW, LEAST = 8, 3
 
