@@ -92,7 +92,9 @@ def scan_lines(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHO
     every = F.array(*(F.lit(t) for t in sorted(idf)))
     squares = F.array(*(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(w * w).alias("square")) for t, w in sorted(u.items()))) for u in units))
     own = F.regexp_extract_all(ascii_lower(F.col("line")), F.lit(TERM), F.lit(0))
-    lines = lines.select("path", "line_no", own.alias("terms")).withColumn("shared", F.array_intersect("terms", every))
+    # generators keep the optimizer from writing these expressions into the lambda below, term by term
+    lines = lines.select("path", "line_no", F.explode(F.array(own)).alias("terms"))
+    lines = lines.select("path", "line_no", "terms", F.explode(F.array(F.array_intersect("terms", every))).alias("shared"))
     zero = F.lit(0.0)
     reach = F.exists(squares, lambda u: F.aggregate(u, zero, lambda a, s: a + F.when(F.array_contains("shared", s["term"]), s["square"]).otherwise(zero)) >= threshold**2 - 1e-9)
     words = lines.where(reach).select("path", "line_no", F.explode("terms").alias("term"))
