@@ -56,7 +56,7 @@ def rarity_levels(texts: DataFrame) -> list[int]:
 def line_sets(texts: DataFrame, levels: list[int], percent: int) -> DataFrame:
     """doc, tie, line, n, key and key2 (128 bits of the set), bitmap and prefix of every line with a word."""
     lines = texts.selectExpr("doc", "tie", f"posexplode(split({BLANKS.format('text')}, '\\n')) AS (line, words)")
-    lines = lines.selectExpr("doc", "tie", "line", f"{WORDS.format('words')} AS words").where("size(words) > 0")
+    lines = lines.selectExpr("doc", "tie", "line", "words AS own").where("trim(own) <> ''").selectExpr("doc", "tie", "line", f"{WORDS.format('own')} AS words")
     lines = lines.withColumn("levels", F.split(F.lit(",".join(map(str, levels))), ",").cast("array<short>"))
     level = f"cast(element_at(levels, cast(shiftrightunsigned(xxhash64(w), {64 - BUCKET_BITS}) AS int) + 1) AS long)"
     # level, then 63 less the length (longer words sort first), then 46 bits of the hash
