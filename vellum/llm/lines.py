@@ -31,12 +31,14 @@ from vellum.llm.common import release, settle, shared_folder, table
 BUCKET_BITS = 14
 LAST = 9223372036854775807
 SALTS, LEADS = 2, 2
-#: Candidates are made in so many turns, each of which lets go of its shuffle files.
+#: Candidates are made and verified in so many turns, each of which lets go of its shuffle files.
 TURNS = 4
 #: White space other than the line feed as blanks: splitting at one character needs no pattern.
 BLANKS = "replace(replace(replace(replace({}, '\t', ' '), '\x0B', ' '), '\f', ' '), '\r', ' ')"
 WORDS = "array_remove(split({}, ' '), '')"
 ID = ["doc", "tie", "line"]
+#: The parity bitmap of a set: 256 bits, each the parity of the tokens that fall on it.
+BITS = ["b0", "b1", "b2", "b3"]
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def line_sets(texts: DataFrame, levels: list[int], percent: int) -> DataFrame:
     # a set smaller than this has no similar set but itself
     alone = 100 * percent // (100 - percent) if percent < 100 else 10**9
     return lines.selectExpr(
-        *ID, f"cast({n} AS int) AS n", "xxhash64(toks) AS key", "xxhash64(1, toks) AS key2", "aggregate(toks, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63 AS int))) AS bitmap",
+        *ID, f"cast({n} AS int) AS n", "xxhash64(toks) AS key", "xxhash64(1, toks) AS key2", *(f"aggregate(toks, 0L, (a, t) -> CASE WHEN (t & 192L) = {64 * k} THEN a ^ shiftleft(1L, cast(t & 63L AS int)) ELSE a END) AS b{k}" for k in range(4)),
         prefix.replace("percent_", str(alone)) + " AS prefix",
     )
 
@@ -79,7 +81,7 @@ def _needed(percent: int) -> str:
 
 def _near(percent: int) -> str:
     """Lengths and parity bitmaps leave room for enough shared words."""
-    return f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND bit_count(x.bitmap ^ y.bitmap) <= x.n + y.n - 2 * ({_needed(percent)})"
+    return f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND {" + ".join(f"bit_count(x.b{k} ^ y.b{k})" for k in range(4))} <= x.n + y.n - 2 * ({_needed(percent)})"
 
 
 EARLIER = "(y.doc < x.doc OR (y.doc = x.doc AND (y.tie < x.tie OR (y.tie = x.tie AND y.line < x.line))))"
@@ -97,8 +99,14 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, folder: str, name:
     release(texts.sparkSession)
     left = found.selectExpr(*(f"{c} AS x{c}" for c in ID), "words AS a")
     right = found.selectExpr(*(f"{c} AS y{c}" for c in ID), "words AS b")
-    both = pairs.join(left, [f"x{c}" for c in ID]).join(right, [f"y{c}" for c in ID]).selectExpr(*(f"x{c} AS {c}" for c in ID), "size(a) AS n", "size(b) AS m", "size(array_intersect(a, b)) AS s")
-    out = settle(both.where(f"100 * s >= {percent} * (n + m - s)").select(*ID).distinct(), folder, f"{name}-matched")
+    # in turns by the later line: what a turn shuffles is let go of before the next
+    turn, parts = F.pmod(F.xxhash64(*(f"x{c}" for c in ID)), F.lit(TURNS)), []
+    for k in range(TURNS):
+        both = pairs.where(turn == k).join(left.where(turn == k), [f"x{c}" for c in ID]).join(right, [f"y{c}" for c in ID])
+        both = both.selectExpr(*(f"x{c} AS {c}" for c in ID), "size(a) AS n", "size(b) AS m", "size(array_intersect(a, b)) AS s")
+        parts.append(settle(both.where(f"100 * s >= {percent} * (n + m - s)").select(*ID).distinct(), folder, f"{name}-matched-{k}"))
+        release(texts.sparkSession)
+    out = functools.reduce(DataFrame.union, parts)
     release(texts.sparkSession, folder, f"{name}-pairs", f"{name}-wanted", f"{name}-words")
     return out
 
@@ -109,14 +117,14 @@ def later_lines(documents: DataFrame, percent: int = 80, folder: str | None = No
     folder = folder or shared_folder(spark)
     texts = _keyed(documents)
     lines = settle(line_sets(texts, rarity_levels(texts), percent), folder, "lines")
-    first = lines.groupBy("key", "key2").agg(F.min(F.struct(*ID, "n", "bitmap", "prefix")).alias("first"))
+    first = lines.groupBy("key", "key2").agg(F.min(F.struct(*ID, "n", *BITS, "prefix")).alias("first"))
     classes = settle(first.select("key", "key2", "first.*"), folder, "classes")
     release(spark)
 
     # leaders: the earliest classes of each salt among those of one size that share a rare token
-    rare = classes.where("size(prefix) > 0").select(*ID, "n", "bitmap", F.explode(F.slice("prefix", 1, LEADS)).alias("tok"))
+    rare = classes.where("size(prefix) > 0").select(*ID, "n", *BITS, F.explode(F.slice("prefix", 1, LEADS)).alias("tok"))
     salt = F.pmod(F.xxhash64(*ID), F.lit(SALTS))
-    heads = rare.groupBy("tok", "n").agg(F.count("*").alias("c"), *(F.min(F.when(salt == k, F.struct(*ID, "bitmap"))).alias(f"l{k}") for k in range(SALTS)))
+    heads = rare.groupBy("tok", "n").agg(F.count("*").alias("c"), *(F.min(F.when(salt == k, F.struct(*ID, *BITS))).alias(f"l{k}") for k in range(SALTS)))
     heads = heads.where("c > 1").select("tok", "n", F.explode(F.array(*(f"l{k}" for k in range(SALTS)))).alias("l")).where("l is not null").select("tok", "n", "l.*")
     heads = settle(heads, folder, "leaders")
     led = rare.alias("x").join(heads.alias("y"), ["tok", "n"]).where(f"{_near(percent)} AND {EARLIER}".replace("x.n", "n").replace("y.n", "n"))
@@ -128,10 +136,10 @@ def later_lines(documents: DataFrame, percent: int = 80, folder: str | None = No
     # index prefix; the later of both must not have a match yet. Both sides are one exchange, read twice.
     index = f"n - (({2 * percent}) * n + {99 + percent}) div {100 + percent} + 1"
     done = matched.withColumn("done", F.lit(True))
-    flagged = classes.where("size(prefix) > 0").join(done, ID, "left").selectExpr(*ID, "n", "bitmap", "prefix", "coalesce(done, false) AS done", f"{index} AS reach")
+    flagged = classes.where("size(prefix) > 0").join(done, ID, "left").selectExpr(*ID, "n", *BITS, "prefix", "coalesce(done, false) AS done", f"{index} AS reach")
     flagged = settle(flagged, folder, "flagged")
     release(spark)
-    entries = flagged.selectExpr(*ID, "n", "bitmap", "done", "reach", "posexplode(prefix) AS (pos, tok)")
+    entries = flagged.selectExpr(*ID, "n", *BITS, "done", "reach", "posexplode(prefix) AS (pos, tok)")
     place = f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {_needed(percent)}"
     roles = f"(y.pos < y.reach OR x.n < 0) AND (y.n < x.n OR (y.n = x.n AND {EARLIER})) AND NOT (CASE WHEN {EARLIER} THEN x.done ELSE y.done END)"
     later = [*(F.expr(f"CASE WHEN {EARLIER} THEN x.{c} ELSE y.{c} END").alias(f"x{c}") for c in ID), *(F.expr(f"CASE WHEN {EARLIER} THEN y.{c} ELSE x.{c} END").alias(f"y{c}") for c in ID)]
