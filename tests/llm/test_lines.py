@@ -73,3 +73,23 @@ def test_repeated_ids_and_empty(spark):
     got = sorted((r.doc_id, r.n_lines, r.n_removed) for r in m.judge(df).collect())
     assert got[-1] == (2, 2, 1) and sum(g[2] for g in got) in (2, 3) and len(got) == 4
     assert m.judge(df.limit(0)).count() == 0
+
+
+def test_all_links_of_near_copies(spark):
+    """A group of near but different lines: every link counts, not only the first earlier match."""
+    base = [f"word{k}" for k in range(20)]
+    rows = [(i, " ".join([*base[: i % 20], f"own{i}", *base[i % 20 + 1 :]]) + f"\nalone{i} x{i} y{i} z{i}") for i in range(60)]
+    rows += [(100, rows[3][1]), *sample()[:80]]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    rows.append(rows[5])  # an identical row is one document
+    flat = [(i, k, words(x)) for i, t in dict(rows).items() for k, x in enumerate((t or "").split("\n")) if words(x)]
+    want = {(i, k): sum(100 * len(w & v) >= 80 * len(w | v) for _, _, v in flat) - 1 for i, k, w in flat}
+    got = m.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    lines = {(r.doc_id, x.line): x for r in got for x in r.lines}
+    assert {k: x.links for k, x in lines.items()} == want and max(want.values()) > 40
+    assert all(r.n_links == sum(x.links for x in r.lines) for r in got)
+    classes = {}
+    for i, k, w in flat:
+        classes.setdefault(w, set()).add(lines[i, k]["class"])
+    assert all(len(c) == 1 for c in classes.values()) and len({min(c) for c in classes.values()}) == len(classes)

@@ -13,6 +13,9 @@ goes itself or not.
 4. The classes left probe the prefix index under a length, a positional and a parity-bitmap filter (none
    loses a pair). All candidates are verified on their whole sets of words.
 
+`judge` lists every link: it leaves out step 3 and joins all pairs of distinct classes, whatever has a match
+already. `drop_lines` only asks whether a line has an earlier match and keeps the short cut of step 3.
+
 Blank lines stay. Nulls and empty texts have no lines. Null ids come last in the order. Identical rows are
 one document; rows that share an id but not the text are told apart by a hash of the text. Extra columns are
 carried by `drop_lines` and not read otherwise.
@@ -33,6 +36,8 @@ LAST = 9223372036854775807
 SALTS, LEADS = 2, 2
 #: Candidates are made and verified in so many turns, each of which lets go of its shuffle files.
 TURNS = 4
+#: The join that lists all links carries whole sets, so its turns are smaller.
+LINK_TURNS = 12
 #: White space other than the line feed as blanks: splitting at one character needs no pattern.
 BLANKS = "replace(replace(replace(replace({}, '\t', ' '), '\x0B', ' '), '\f', ' '), '\r', ' ')"
 WORDS = "array_remove(split({}, ' '), '')"
@@ -41,10 +46,11 @@ ID = ["doc", "tie", "line"]
 BITS = ["b0", "b1", "b2", "b3"]
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """doc, tie, text; tie is 0 unless some id comes more than once."""
+def _keyed(documents: DataFrame, once: bool = False) -> DataFrame:
+    """doc, tie, text; tie is 0 unless some id comes more than once. `once`: identical rows are one."""
     repeated = documents.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return documents.selectExpr(f"coalesce(cast(doc_id as long), {LAST}L) AS doc", "xxhash64(text) AS tie" if repeated else "0L AS tie", "text")
+    rows = documents.selectExpr(f"coalesce(cast(doc_id as long), {LAST}L) AS doc", "xxhash64(text) AS tie" if repeated else "0L AS tie", "text")
+    return rows.dropDuplicates(["doc", "tie"]) if once and repeated else rows
 
 
 def rarity_levels(texts: DataFrame) -> list[int]:
@@ -55,8 +61,8 @@ def rarity_levels(texts: DataFrame) -> list[int]:
     return [max(0, min(255, round(4 * math.log2(counts[b] / mean)))) if counts.get(b) else 0 for b in range(1 << BUCKET_BITS)]
 
 
-def line_sets(texts: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """doc, tie, line, n, key and key2 (128 bits of the set), bitmap and prefix of every line with a word."""
+def line_sets(texts: DataFrame, levels: list[int], percent: int, whole: bool = False) -> DataFrame:
+    """doc, tie, line, n, key and key2 (128 bits of the set), bitmap and prefix of every line with a word, and its tokens if `whole`."""
     lines = texts.selectExpr("doc", "tie", f"posexplode(split({BLANKS.format('text')}, '\\n')) AS (line, words)")
     lines = lines.selectExpr("doc", "tie", "line", "words AS own").where("trim(own) <> ''").selectExpr("doc", "tie", "line", f"{WORDS.format('own')} AS words")
     lines = lines.withColumn("levels", F.split(F.lit(",".join(map(str, levels))), ",").cast("array<short>"))
@@ -70,7 +76,7 @@ def line_sets(texts: DataFrame, levels: list[int], percent: int) -> DataFrame:
     alone = 100 * percent // (100 - percent) if percent < 100 else 10**9
     return lines.selectExpr(
         *ID, f"cast({n} AS int) AS n", "xxhash64(toks) AS key", "xxhash64(1, toks) AS key2", *(f"aggregate(toks, 0L, (a, t) -> CASE WHEN (t & 192L) = {64 * k} THEN a ^ shiftleft(1L, cast(t & 63L AS int)) ELSE a END) AS b{k}" for k in range(4)),
-        prefix.replace("percent_", str(alone)) + " AS prefix",
+        prefix.replace("percent_", str(alone)) + " AS prefix", *(["toks"] if whole else []),
     )
 
 
@@ -160,18 +166,58 @@ def later_lines(documents: DataFrame, percent: int = 80, folder: str | None = No
     return every.select(*ID, F.expr(f"coalesce(hit, false) OR {behind}").alias("gone")), texts
 
 
+def linked_lines(documents: DataFrame, percent: int = 80, folder: str | None = None) -> DataFrame:
+    """doc, tie, line, class (128 bits of the set), links (to other lines, equal ones too) and gone of every line with a word."""
+    spark = documents.sparkSession
+    folder = folder or shared_folder(spark)
+    texts = _keyed(documents, once=True)
+    sets = line_sets(texts, rarity_levels(texts), percent, True)
+    lines = settle(sets.select(*ID, "key", "key2"), folder, "lines")
+    first = sets.groupBy("key", "key2").agg(F.min(F.struct(*ID, "n", *BITS, "toks", F.size("prefix").alias("reach"))).alias("first"), F.count("*").alias("copies"))
+    classes = settle(first.select("key", "key2", "copies", "first.*"), folder, "classes")
+    release(spark)
+
+    # a class goes by its first line; both sides are one exchange, read twice
+    index = f"n - (({2 * percent}) * n + {99 + percent}) div {100 + percent} + 1"
+    probed = classes.where("reach > 0").selectExpr(*ID, "copies", "n", *BITS, "toks", f"{index} AS held", "posexplode(slice(toks, 1, reach)) AS (pos, tok)")
+    place = f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {_needed(percent)}"
+    # the first token that both have is within both prefixes: each pair is made there, once, and verified in the join
+    roles = f"(y.pos < y.held OR x.held < 0) AND (y.n < x.n OR (y.n = x.n AND {EARLIER})) AND array_min(array_intersect(x.toks, y.toks)) = x.tok"
+    alike = f"size(array_intersect(x.toks, y.toks)) >= {_needed(percent)}"
+    sides = f"array(struct(x.doc AS doc, x.tie AS tie, x.line AS line, y.copies AS links, {EARLIER} AS behind), struct(y.doc AS doc, y.tie AS tie, y.line AS line, x.copies AS links, NOT ({EARLIER}) AS behind))"
+    sums = [F.sum("links").alias("links"), F.max("behind").alias("behind")]
+    met = []
+    for k in range(LINK_TURNS):
+        part = probed.where(F.pmod("tok", F.lit(LINK_TURNS)) == k)
+        pairs = part.alias("x").join(part.alias("y").hint("merge"), F.expr(f"x.tok = y.tok AND {_near(percent)} AND {place} AND {roles} AND {alike}"))
+        met.append(settle(pairs.select(F.explode(F.expr(sides)).alias("e")).select("e.*").groupBy(*ID).agg(*sums), folder, f"met-{k}"))
+        release(spark)
+    linked = functools.reduce(DataFrame.union, met).groupBy(*ID).agg(*sums)
+    led_by = classes.select(*ID, "key", "key2", "copies").join(linked, ID, "left")
+    known = settle(led_by.select("key", "key2", "copies", "links", "behind", *(F.col(c).alias(f"f{c}") for c in ID)), folder, "known")
+    release(spark, folder, "classes", *(f"met-{k}" for k in range(LINK_TURNS)))
+    every = lines.join(known, ["key", "key2"])
+    own = "NOT (doc = fdoc AND tie = ftie AND line = fline)"
+    return every.selectExpr(*ID, "concat(lpad(lower(hex(key)), 16, '0'), lpad(lower(hex(key2)), 16, '0')) AS class", "copies - 1 + coalesce(links, 0) AS links", f"coalesce(behind, false) OR {own} AS gone")
+
+
 def judge(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_lines (with a word), n_removed and removed_lines (numbers from 0) of every row."""
+    """doc_id, n_lines (with a word), n_removed, removed_lines (numbers from 0), n_links and lines of every row.
+
+    lines has line, class and links of each line with a word, by line. Lines of one class are equal sets; links
+    counts the other lines, of any class, that are similar enough, earlier and later ones. n_links is their sum.
+    """
     folder = shared_folder(documents.sparkSession)
-    lines, _ = later_lines(documents, percent, folder)
+    lines = linked_lines(documents, percent, folder)
     per = lines.groupBy("doc", "tie").agg(
-        F.count_distinct("line").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed_lines")
-    )
+        F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed_lines"),
+        F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.struct("line", "class", "links"))).alias("lines"),
+    )
     per = settle(per, folder, "per-document")
     rows = _keyed(documents).select("doc", "tie").join(per, ["doc", "tie"], "left")
     empty = F.array().cast("array<int>")
     removed = F.coalesce("removed_lines", empty)
-    return rows.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    return rows.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("lines", F.array().cast("array<struct<line:int,class:string,links:bigint>>")).alias("lines"))
 
 
 def drop_lines(documents: DataFrame, columns: list[str], percent: int = 80, counted: str | None = None) -> DataFrame:
