@@ -96,3 +96,15 @@ def test_without_broadcast(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     one, two = (sorted(map(tuple, d.find_leaks(docs, items, broadcast_rows=n).collect()), key=str) for n in (0, 10**6))
     assert one == two and one
+
+
+def test_number_heavy_items(spark):
+    """Items whose windows are mostly slots: verbatim copies are found, whatever stands around them."""
+    long_ = "Sum up " + " ".join(str(k) for k in range(3, 40)) + " and give the total"
+    items = [(1, "Compute 12 + 7 * 3 - 45 / 9 + 8"), (2, "Evaluate 3 + 5 * 2 - 8 / 4 then state the result clearly"), (3, long_)]
+    docs = [
+        (1, "We ask: Compute 12 + 7 * 3 - 45 / 9 + 8. Then on."), (2, "Compute 12 + 7 * 3 - 45 / 9 + 9"), (3, "Evaluate 3 + 5 * 2 - 8 / 4 then state the result clearly"),
+        (4, "And so: evaluate 6 + 5 * 1 - 9 / 7 then state the result clearly"), (5, f"First {long_} please"), (6, " ".join(str(k) for k in range(60))), (7, "Evaluate 3 + 5 * 2 - 8 / 4 then go"),
+    ]
+    rows = d.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_id for r in rows if r.contaminated} == {1: 1, 3: 2, 4: 2, 5: 3}

@@ -6,8 +6,11 @@ items. Matches on one diagonal (document position less item position) are one al
 template has slots, every slot value of the item must stand for one value of the document throughout
 (slot consistency), which catches re-parameterised questions and leaves chance alignments alone.
 
-An alignment counts with `least` matched windows, or all of a shorter item. Items with fewer tokens than a
-window match as a whole; windows of which less than half are words are not used.
+An alignment counts with `least` matched windows, or all of an item that has fewer. Items with fewer tokens
+than a window match as a whole. Windows of which less than half are words are not used as templates, where
+they would meet anything: the windows of an item that has any of them are searched by their values as well, and
+such an alignment counts when it holds all of them, so that a verbatim copy is always found. Only items without
+any word (bare rows of numbers) are not searched.
 
 Nulls and empty texts match nothing. Rows with one id are judged together, null ids too. Items without
 tokens are not searched; repeated items count once each. Extra columns are not read.
@@ -48,6 +51,11 @@ def tokens(text: Column, values: bool = False) -> Column:
     return F.regexp_extract_all(marked(text, values), F.lit(TOKEN), F.lit(0))
 
 
+def plain_values(raw: Column) -> Column:
+    """The values of tokens without their kinds: a word after a colon is the same word as at the start of a text."""
+    return F.transform(raw, lambda t: F.regexp_replace(t, "^\x02.|\x03$", ""))
+
+
 def hashes(name: str, length: int) -> Column:
     """The hashes of all windows of a token column, in order."""
     n = F.size(name)
@@ -55,13 +63,24 @@ def hashes(name: str, length: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.slice(F.col(name), i, length)))
 
 
+def _placed(length: int) -> Column:
+    return F.transform(hashes("tokens", length), lambda h, i: F.struct(i.alias("dpos"), F.lit(length).alias("length"), h.alias("hash")))
+
+
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """item, ipos, length, hash, slots, of: the searchable windows of every item."""
-    cut = items.where(F.size("tokens") > 0).select("item", "tokens", F.least(F.size("tokens"), F.lit(window)).alias("length"))
-    places = cut.select("*", F.posexplode(F.expr("transform(sequence(1, size(tokens) - length + 1), i -> slice(tokens, i, length))")).alias("ipos", "part"))
-    slots = F.size(F.filter("part", lambda t: t.startswith("\x02")))
-    good = places.withColumn("slots", slots).where(F.col("slots") * 2 <= F.col("length"))
-    return good.select("item", "ipos", "length", F.xxhash64("part").alias("hash"), "slots", (F.size("tokens") - F.col("length") + 1).alias("of"))
+    """item, ipos, length, hash, slots, of, exact: the searchable windows of every item, `of` in number.
+
+    exact windows are hashed with their values and have no slots left to compare.
+    """
+    cut = items.where(F.size("tokens") > 0).select("item", "tokens", plain_values(F.col("raw")).alias("raw"), F.least(F.size("tokens"), F.lit(window)).alias("length"))
+    cut = cut.withColumn("places", F.expr("transform(sequence(1, size(tokens) - length + 1), i -> struct(slice(tokens, i, length) AS part, slice(raw, i, length) AS whole))"))
+    heavy = lambda w: F.size(F.filter(w["part"], lambda t: t.startswith("\x02"))) * 2 > F.col("length")
+    cut = cut.withColumn("kept", F.size(F.filter("places", lambda w: ~heavy(w)))).withColumn("n", F.size("places"))
+    rows = cut.select("*", F.posexplode("places").alias("ipos", "w"))
+    good = rows.where(~heavy(F.col("w"))).select("item", "ipos", "length", F.xxhash64("w.part").alias("hash"), F.size(F.filter("w.part", lambda t: t.startswith("\x02"))).alias("slots"), F.col("kept").alias("of"), F.lit(False).alias("exact"))
+    worded = F.exists("tokens", lambda t: ~t.startswith("\x02"))
+    whole = rows.where((F.col("kept") < F.col("n")) & worded).select("item", "ipos", "length", F.xxhash64("w.whole").alias("hash"), F.lit(0).alias("slots"), F.col("n").alias("of"), F.lit(True).alias("exact"))
+    return good.unionByName(whole)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, broadcast_rows: int = 500_000, folder: str | None = None) -> DataFrame:
@@ -72,28 +91,30 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     items = settle(items.select("*", F.transform("raw", lambda t: F.regexp_replace(t, "^(\x02.)[^\x03]*", "$1")).alias("tokens")), folder, "items")
     known = settle(item_windows(items, window), folder, "item-windows")
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most `window` numbers
-    side = known.select("item", "ipos", "length", "hash", "slots", "of")
+    by_value = sorted(r[0] for r in known.where("exact").select("length").distinct().collect())
+    side = known.select("item", "ipos", "length", "hash", "slots", "of", "exact")
     if known.count() <= broadcast_rows:  # a proven bound; beyond it the windows are shuffled
         side = F.broadcast(side)
 
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens"))
-    # one explode for all lengths: every length's hashes end to end, with their length beside them
     if not lengths:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens"))
+    # one explode for all lengths: every length's hashes end to end, with their length beside them
     if len(lengths) == 1:
         rows = own.select("doc_id", F.posexplode(hashes("tokens", lengths[0])).alias("dpos", "hash")).withColumn("length", F.lit(lengths[0]))
     else:
-
-        def placed(length: int) -> Column:
-            return F.transform(hashes("tokens", length), lambda h, i: F.struct(i.alias("dpos"), F.lit(length).alias("length"), h.alias("hash")))
-
-        rows = own.select("doc_id", F.explode(F.concat(*map(placed, lengths))).alias("w")).select("doc_id", "w.dpos", "w.length", "w.hash")
-    hits = rows.join(side, ["hash", "length"]).select("doc_id", "dpos", "item", "ipos", "slots", "of", "length")
+        rows = own.select("doc_id", F.explode(F.concat(*(_placed(k) for k in lengths))).alias("w")).select("doc_id", "w.dpos", "w.length", "w.hash")
+    rows = rows.withColumn("exact", F.lit(False))
+    if by_value:
+        valued = documents.select(F.col("doc_id").cast("long").alias("doc_id"), plain_values(tokens(F.col("text"), True)).alias("tokens"))
+        valued = valued.select("doc_id", F.explode(F.concat(*(_placed(k) for k in by_value))).alias("w")).select("doc_id", "w.dpos", "w.length", "w.hash")
+        rows = rows.unionByName(valued.withColumn("exact", F.lit(True)))
+    hits = rows.join(side, ["hash", "length", "exact"]).select("doc_id", "dpos", "item", "ipos", "slots", "of", "length", "exact")
     hits = settle(hits, folder, "hits")
-    lines = hits.groupBy("doc_id", "item", (F.col("dpos") - F.col("ipos")).alias("shift"), "of", "length").agg(
+    lines = hits.groupBy("doc_id", "item", (F.col("dpos") - F.col("ipos")).alias("shift"), "of", "length", "exact").agg(
         F.count_distinct("ipos").alias("n_windows"), F.min("ipos").alias("low"), F.max("ipos").alias("high"), F.max("slots").alias("slots")
     )
-    lines = settle(lines.where(F.col("n_windows") >= F.least(F.lit(least), F.col("of"))), folder, "alignments")
+    lines = settle(lines.where(F.col("n_windows") >= F.when(F.col("exact"), F.col("of")).otherwise(F.least(F.lit(least), F.col("of")))), folder, "alignments")
     names = items.select("item", "item_id")
     plain = lines.where("slots = 0").join(names, "item").select("doc_id", "item_id", "n_windows")
 
