@@ -63,3 +63,16 @@ def test_anchors_are_exact():
     for u in units:
         assert math.sqrt(sum(w * w for t, w in u.items() if t not in chosen)) < m.THRESHOLD
     assert "mit" not in chosen
+
+
+def test_wrapped_and_embedded_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute"
+    files = {
+        "a/x": ("Copyright 2020 Jane Doe. Released under the MIT License.", "MIT"), "b/x": ("Copyright (c) 2020 Acme Corporation and contributors. All rights reserved.", "Proprietary"),
+        "c/x": (f"/* {bsd}\n */\nint main;", "BSD-3-Clause"), "d/x": (grant, "MIT"), "e/LICENSE": ("MIT License\n\nCopyright (c) 2020 Jane Doe", "MIT"), "e/y/z": ("code", "MIT"),
+        "f/COPYING": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"), "g/COPYING": ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", None),
+        "h/x": ("mit\nthe license of the dog is mit and all the rights", None), "i/x": ("GNU GENERAL PUBLIC LICENSE", "GPL-3.0"),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
+    assert {r.path: r.license for r in m.scan(df).collect()} == {p: k for p, (_, k) in files.items()}

@@ -6,6 +6,11 @@ cosine down. Only lines with an anchor term are weighed: anchors are chosen so t
 cannot reach the threshold with any template (the rest of the template's vector is too short), and of these
 only lines whose terms make up enough of some template's vector: both filters are exact. A file's own licence is that of its best line.
 
+Notices that are wrapped over lines or stand inside a longer line are found in term windows: each anchor of a
+notice that a file has lays windows of the notice's length over the terms of the whole file, line ends or not, so
+that the anchor stands at its place in the notice or up to `SLACK` terms off. Titles of licences count where they
+begin a line and end it (or end in a version). A line counts as a notice where all of its terms are in a window.
+
 A licence file (by name, or a file all of whose lines with words are notices) licenses its directory. A file
 without a licence of its own takes that of its nearest ancestor directory with one, found by joining the
 ancestors of distinct directories with the licensed directories.
@@ -43,6 +48,16 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved"),
 )
 THRESHOLD = 0.75
+#: (licence, title): the first lines of licence files, met term by term.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0"), ("Apache-2.0", "Apache License, Version 2"), ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "MIT License (MIT)"), ("MIT", "The MIT License (MIT)"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "The 3-Clause BSD License"), ("GPL-3.0", "GNU General Public License"), ("GPL-3.0", "GNU General Public License Version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License"), ("LGPL-3.0", "GNU Lesser General Public License Version 3"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"), ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"), ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+)
+SLACK = 2
+#: Notices of fewer terms have to stand whole in a window.
+SHORT = 5
 TERM = r"[a-z0-9]+"
 LICENSE_FILE = r"(?i)^(?:licen[cs]e|copying|copyright|notice|unlicense)(?:[.\-_][^/]*)?$"
 
@@ -114,12 +129,70 @@ def scan_lines(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHO
     return best.select("path", "line_no", "b.template", names.alias("license"), (-F.col("b.less")).alias("cosine"))
 
 
+def scan_windows(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, titles=TITLES) -> DataFrame:
+    """path, line_no, template, license, cosine, whole: the lines of every term window that reaches the threshold with its notice, and of titles.
+
+    Titles are numbered after the templates. whole: all terms of the line are in the window.
+    """
+    idf, other, units = vectors(templates)
+    laid, seen = [], set()
+    for k, ((_, text), unit) in enumerate(zip(templates, units, strict=True)):
+        own, marks = terms(text), set(anchors([unit], threshold))
+        for j, term in enumerate(own):
+            for shift in range(-SLACK, SLACK + 1) if term in marks else ():
+                if (term, k, j + shift) not in seen:
+                    seen.add((term, k, j + shift))
+                    laid.append((term, k, j + shift, len(own)))
+    for k, (_, text) in enumerate(titles, len(templates)):
+        own = terms(text)
+        laid.append((own[0], k, 0, len(own)))
+    by: dict[str, list[str]] = {}
+    for term, k, back, size in laid:
+        by.setdefault(term, []).append(f"struct({k} AS template, {back} AS back, {size} AS size)")
+    # a file is looked at if it has an anchor or the last term of a title
+    some = sorted({t for t, k, *_ in laid if k < len(templates)} | {terms(text)[-1] for _, text in titles if not terms(text)[-1].isdigit()} | {"apache", "mozilla", "gnu", "creative", "bsd", "mit"})
+    held = files.where(F.col("text").rlike(rf"(?i)(?<![a-z0-9])(?:{'|'.join(some)})(?![a-z0-9])"))
+    own = F.regexp_extract_all(ascii_lower(F.col("x")), F.lit(TERM), F.lit(0))
+    lines = held.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "x")).select("path", "line_no", own.alias("ts")).where(F.size("ts") > 0)
+    # terms of a file in order, with their lines; rows with one path are one file
+    every = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "ts"))).alias("all"))
+    every = every.select("path", F.expr("flatten(transform(all, l -> transform(l.ts, t -> struct(l.line_no AS l, t AS t))))").alias("terms"))
+    case = " ".join(f"WHEN '{t}' THEN array({', '.join(v)})" for t, v in sorted(by.items()))
+    marks = ", ".join(f"'{t}'" for t in sorted(by))
+    places = every.select("path", "terms", F.expr(f"filter(transform(terms, (s, i) -> struct(s.t AS t, i AS i)), s -> s.t IN ({marks}))").alias("at")).where(F.size("at") > 0)
+    windows = f"""flatten(transform(at, a -> transform(filter(CASE a.t {case} END, w -> a.i >= w.back AND a.i - w.back + w.size <= size(terms)),
+        w -> struct(w.template AS template, slice(terms, a.i - w.back + 1, w.size) AS part, get(terms, a.i - w.back - 1) AS before, get(terms, a.i - w.back + w.size) AS after))))"""
+    cut = places.select("path", F.explode(F.expr(windows)).alias("w")).select("path", "w.template", F.expr("w.before.l").alias("before"), F.expr("w.after").alias("after"), F.expr("w.part.t").alias("ts"), F.expr("w.part.l").alias("ls"))
+    weights = F.create_map(*(F.lit(x) for t, w in sorted(idf.items()) for x in (t, w)))
+    # get() is null outside of its array: filters may be taken in any order
+    vector = F.get(F.array(*(F.create_map(*(F.lit(x) for t, w in sorted(u.items()) for x in (t, w))) for u in units)), "template")
+    zero = F.lit(0.0)
+    noted = cut.where(F.col("template") < len(templates)).withColumn("unit", vector).withColumn("own", F.array_distinct("ts"))
+    noted = noted.where(F.aggregate("own", zero, lambda a, t: a + F.pow(F.coalesce(F.try_element_at("unit", t), zero), F.lit(2))) >= threshold**2 - 1e-9)
+    noted = noted.withColumn("idf", weights).withColumn("own", F.transform("own", lambda t: F.struct(t.alias("t"), (F.size(F.filter("ts", lambda x: x == t)) * F.coalesce(F.try_element_at("idf", t), F.lit(other))).alias("w"))))
+    dot = F.aggregate("own", zero, lambda a, s: a + s["w"] * F.coalesce(F.try_element_at("unit", s["t"]), zero))
+    norm = F.sqrt(F.aggregate("own", zero, lambda a, s: a + s["w"] * s["w"]))
+    noted = noted.withColumn("cosine", F.round(dot / norm, 9)).where(F.col("cosine") >= threshold)
+    noted = noted.where((F.size("ts") >= SHORT) | (F.col("cosine") >= 1 - 1e-6))  # most of three words is no notice in the midst of prose
+    title = F.get(F.array(*(F.array(*(F.lit(t) for t in terms(text))) for _, text in titles)), F.col("template") - len(templates))
+    alone = F.col("before").isNull() | (F.col("before") < F.col("ls")[0])
+    last = F.element_at("ls", -1)
+    ends = F.col("after").isNull() | (last < F.col("after.l")) & ~F.col("after.t").isin("version", "v") | F.element_at("ts", -1).rlike("^[0-9]+$")
+    named = cut.where(F.col("template") >= len(templates)).where((F.col("ts") == title) & alone & ends).withColumn("cosine", F.lit(1.0))
+    columns = ["path", "template", "cosine", "before", "after", "ls"]
+    found = noted.select(*columns).unionByName(named.select(*columns)).select("*", F.explode(F.array_distinct("ls")).alias("line_no"))
+    whole = (F.col("before").isNull() | (F.col("before") < F.col("line_no"))) & (F.col("after").isNull() | (F.col("after.l") > F.col("line_no")))
+    names = F.element_at(F.array(*(F.lit(k) for k, _ in (*templates, *titles))), F.col("template") + 1)
+    return found.select("path", "line_no", "template", names.alias("license"), "cosine", whole.alias("whole"))
+
+
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
     """path, license, cosine, how (own, inherited or null) and licensed_by (a directory) of every row."""
     folder = folder or shared_folder(files.sparkSession)
     files = files.select(F.coalesce("path", F.lit("")).alias("path"), "text")
-    found = settle(scan_lines(files, templates, threshold), folder, "lines")
-    own = found.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "template", "line_no", "license")).alias("b"), F.count_distinct("line_no").alias("n_notices"))
+    found = scan_lines(files, templates, threshold).withColumn("whole", F.lit(True)).unionByName(scan_windows(files, templates, threshold))
+    found = settle(found, folder, "lines")
+    own = found.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "template", "line_no", "license")).alias("b"), F.count_distinct(F.when(F.col("whole"), F.col("line_no"))).alias("n_notices"))
     own = settle(own.select("path", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"), "n_notices"), folder, "own")
 
     directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
