@@ -83,3 +83,11 @@ def test_elias_fano():
         assert (e.find(q) == np.where(hit, at, -1)).all()
     v = np.sort(rng.integers(0, 50, 400, dtype=np.uint64))
     assert (EliasFano(build(v, 50)).get(np.arange(400)) == v).all()
+
+
+def test_bigrams_seen_once(spark):
+    """One occurrence is evidence: it lifts a bigram above its back-off score."""
+    train = spark.createDataFrame([("a b c d e f g h",), ("b a d c f e h g",)], "text string")
+    model = m.train(train, shared_folder(spark))
+    seen, not_seen = (m.score(spark.createDataFrame([(3, t)], "doc_id long, text string"), model).first().score for t in ("a b c d", "a c e g"))
+    assert seen > not_seen + 0.5

@@ -8,8 +8,7 @@ Level 1 (a file for each shard): the sorted fingerprints as an Elias-Fano sequen
 Level 2: for each word of the shard, a monotone pointer to its successors; the successors' ids as an
 Elias-Fano sequence over (place of the context, id), searched for the successor in the range of the context;
 quantised discounted probabilities; and the mass each context leaves to its words' own frequency. Bigrams are
-kept from `least` occurrences on (and have to be of words with as many); the mass left makes up for the rest,
-so the probabilities of each context sum to one less quantisation steps that only ever round down:
+kept from `least` occurrences on, by default all that were counted; the mass left makes up for the rest, so the probabilities of each context sum to one less quantisation steps that only ever round down:
 
     P(w | h) = q(hw) + left(h) * P(w),   q(hw) <= (c(hw) - D) / c(h),   P(w) = (c(w) + 1) / (N + V + 1)
 
@@ -29,7 +28,7 @@ from vellum.llm.common import LOWERED, RangeHash, blocks, byte_texts, input_byte
 from vellum.llm.eliasfano import EliasFano, build, map_file, pack, write_file
 
 END = np.uint64(0x5BD1E995A5A5F00D)
-DISCOUNT, LEAST = 0.75, 2
+DISCOUNT, LEAST = 0.75, 1
 STEPS = 32  # quantisation steps of a power of ten
 RANK_BITS = 40  # of an id below a context's place in its shard
 HELD = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2, false)"
@@ -257,10 +256,7 @@ def train(texts: DataFrame, folder: str, least: int = LEAST, shards: int | None
         keep = counts >= least
         keys, counts = keys[keep], counts[keep]
         rank, word = (keys >> np.uint64(RANK_BITS)).astype(np.int64), keys & np.uint64((1 << RANK_BITS) - 1)
-        quanta = np.minimum(255, np.ceil(-np.log10((counts - DISCOUNT) / own[rank]) * STEPS)).astype(np.uint8)
-        # what falls below the coarsest step is not kept at all: its mass stays with the context
-        keep = (counts - DISCOUNT) / own[rank] >= 10.0 ** (-255 / STEPS)
-        rank, word, quanta = rank[keep], word[keep], quanta[keep]
+        quanta = np.ceil(-np.log10((counts - DISCOUNT) / own[rank]) * STEPS).astype(np.uint16)  # 65535 steps are 2,047 powers of ten
         left = np.maximum(0, 1 - np.bincount(rank, 10.0 ** (-quanta.astype(float) / STEPS), minlength=n)).astype(np.float32)
         pointers = np.concatenate(([0], np.cumsum(np.bincount(rank, minlength=n))))
         universe = n * int(bases[-1])
