@@ -93,3 +93,46 @@ def test_all_links_of_near_copies(spark):
     for i, k, w in flat:
         classes.setdefault(w, set()).add(lines[i, k]["class"])
     assert all(len(c) == 1 for c in classes.values()) and len({min(c) for c in classes.values()}) == len(classes)
+
+
+def near_copies(n, seed=5):
+    """n different lines, each one base line with a few words dropped, changed or added."""
+    rng = random.Random(seed)
+    vocabulary = [f"{'q' * (k % 7)}v{k}" for k in range(400)]
+    base = [f"base{k}" for k in range(50)]
+    out = []
+    for i in range(n):
+        line = list(base)
+        for _ in range(min(12, int(rng.expovariate(0.35)) + 1)):
+            at = rng.randrange(len(line))
+            act = rng.randrange(3)
+            line[at : at + (act != 1)] = [] if act == 2 else [rng.choice(vocabulary) if rng.random() < 0.7 else f"own{i}x{at}"]
+        out.append(" ".join(line))
+    return out
+
+
+def test_group_of_near_copies_is_counted_without_its_pairs(spark, tmp_path):
+    copies = near_copies(900)
+    rows = [(i, t) for i, t in enumerate([*copies, *(t for _, t in sample()), copies[7], copies[7] + "\n" + copies[20] + " tail"])]
+    flat = [(i, k, words(x)) for i, t in rows for k, x in enumerate((t or "").split("\n")) if words(x)]
+    want = {(i, k): [(j, m) for j, m, v in flat if 100 * len(w & v) >= 80 * len(w | v) and (j, m) != (i, k)] for i, k, w in flat}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = f"file://{tmp_path}/lines"
+    got = {(r.doc, r.line): (r.links, r.gone) for r in m.linked_lines(df, 80, folder).collect()}
+    assert got == {k: (len(v), any(x < k for x in v)) for k, v in want.items()}
+    pairs = sum(len(v) for v in want.values()) // 2
+    members = spark.read.parquet(f"{folder}/members")
+    assert members.count() > 700 and pairs > 100_000
+    profiles = spark.read.parquet(f"{folder}/profiles").count()
+    assert profiles < 300
+    # what is joined as pairs: the rest of the cluster, and classes outside of it
+    left = m.links_within(members, 80, folder)[1].agg({"links": "sum"}).first()[0] // 2
+    assert left < pairs / 8
+
+
+def test_clashing_names_and_largest_id(spark):
+    rows = [(2**63 - 1, "a b c d e f", "x", 1, 2), (3, "a b c d e f\nown words", "y", 3, 4), (None, "z z y", "q", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __doc string, tie int, row int")
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in m.judge(df).collect()) == [(False, 3, 0), (False, 2**63 - 1, 1), (True, 0, 0)]
+    kept = m.drop_lines(df, df.columns).collect()
+    assert sorted((r["__doc"], r.tie, r.row, r.text) for r in kept) == [("q", 5, 6, "z z y"), ("y", 3, 4, "a b c d e f\nown words")]

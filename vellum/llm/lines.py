@@ -2,203 +2,242 @@
 
 A line is the set of its words. A line goes if an earlier line (by doc_id, then line number) has a Jaccard
 similarity of at least `percent` with it; this is judged on the input, so an earlier line counts whether it
-goes itself or not.
+goes itself or not. Every link between two lines counts, also those between later lines.
 
-1. Words are counted over all texts into hash buckets. A line's tokens are ordered rarest first: bucket
-   level, then longer words first, then by hash; the order is global, which is all that exactness needs.
+1. Words are counted over all texts in a sketch of 2 ** 16 counters; a word's count is at most its counter. A
+   line's tokens are ordered rarest first: by the counter's logarithm, then longer words first, then by hash.
+   The order is global, which is all that exactness needs.
 2. Lines with equal sets become one class, led by its earliest line, whatever their number.
 3. Two sets that are similar enough share a token of their prefixes (n - ceil(percent * n) + 1 tokens).
-   Leaders first: every class is compared with the earliest classes of the same size that share one of its
-   rarest tokens. In a group of many near copies this settles most lines without pairing them all.
-4. The classes left probe the prefix index under a length, a positional and a parity-bitmap filter (none
-   loses a pair). All candidates are verified on their whole sets of words.
-
-`judge` lists every link: it leaves out step 3 and joins all pairs of distinct classes, whatever has a match
-already. `drop_lines` only asks whether a line has an earlier match and keeps the short cut of step 3.
+   Classes meet in the prefix index under a length, a positional and a parity-bitmap filter (none loses a
+   pair), and distinct candidates are verified on their whole sets of words.
+4. Groups of many near copies are kept out of that join. Classes that share three neighbouring prefix tokens
+   with many others vote for a centre, the words that most of them have. A member is the centre less `d` words
+   and more `a` words, so |x and y| = |K| - d - d' + (words missing from both + words added to both). The
+   numbers (d, a) alone settle most pairs of members: those that are similar even if the sum in brackets is 0
+   are counted by number, without making a pair, and those that are not at its largest are left. The rest meet
+   on a word that both miss or both add. Members of one cluster never meet in the prefix index; which classes
+   are in a cluster decides the cost only.
 
 Blank lines stay. Nulls and empty texts have no lines. Null ids come last in the order. Identical rows are
-one document; rows that share an id but not the text are told apart by a hash of the text. Extra columns are
-carried by `drop_lines` and not read otherwise.
+one document; rows that share an id but not the text are told apart by a hash of the text. Ties do not arise:
+lines are ordered by id, hash of the text and number. Very long texts and lines are whole. Extra columns of
+any name are carried by `drop_lines` and not read otherwise.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import release, settle, shared_folder, table
 
-BUCKET_BITS = 14
+COUNTER_BITS = 16
 LAST = 9223372036854775807
-SALTS, LEADS = 2, 2
-#: Candidates are made and verified in so many turns, each of which lets go of its shuffle files.
+#: The prefix index and the verification are joined in so many turns, each of which lets go of its shuffle files.
 TURNS = 4
-#: The join that lists all links carries whole sets, so its turns are smaller.
-LINK_TURNS = 12
+#: Classes that share three neighbouring prefix tokens vote for a centre from this number on.
+CROWD = 32
+#: Neighbouring triples of a class, from the common end of its prefix.
+TRIPLES = 8
+#: Smaller sets are in no cluster: no pair of them is settled by numbers alone.
+LEAST_WORDS = 18
 #: White space other than the line feed as blanks: splitting at one character needs no pattern.
 BLANKS = "replace(replace(replace(replace({}, '\t', ' '), '\x0B', ' '), '\f', ' '), '\r', ' ')"
 WORDS = "array_remove(split({}, ' '), '')"
 ID = ["doc", "tie", "line"]
-#: The parity bitmap of a set: 256 bits, each the parity of the tokens that fall on it.
-BITS = ["b0", "b1", "b2", "b3"]
+#: The parity bitmap of a set: 128 bits, each the parity of the tokens that fall on it.
+BITS = ["b0", "b1"]
 
 
-def _keyed(documents: DataFrame, once: bool = False) -> DataFrame:
-    """doc, tie, text; tie is 0 unless some id comes more than once. `once`: identical rows are one."""
-    repeated = documents.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    rows = documents.selectExpr(f"coalesce(cast(doc_id as long), {LAST}L) AS doc", "xxhash64(text) AS tie" if repeated else "0L AS tie", "text")
+def _keyed(documents: DataFrame, *more, once: bool = False) -> DataFrame:
+    """doc, tie, text and `more` columns; tie is 0 unless some id comes more than once. `once`: identical rows are one."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    repeated = documents.groupBy(doc.alias("doc")).count().where("count > 1").limit(1).count()
+    rows = documents.select(*more, doc.alias("doc"), F.expr("xxhash64(text)" if repeated else "0L").alias("tie"), "text")
     return rows.dropDuplicates(["doc", "tie"]) if once and repeated else rows
 
 
-def rarity_levels(texts: DataFrame) -> list[int]:
-    """A level for each hash bucket of words: 0 up to the mean bucket, then four steps a doubling."""
-    words = texts.selectExpr(f"explode(split(replace({BLANKS.format('text')}, '\n', ' '), ' ')) AS w").where("w <> ''").selectExpr(f"cast(shiftrightunsigned(xxhash64(w), {64 - BUCKET_BITS}) AS int) AS bucket")
-    counts = {r.bucket: r["count"] for r in words.groupBy("bucket").count().collect()}  # 2 ** BUCKET_BITS numbers at most
-    mean = sum(counts.values()) / (1 << BUCKET_BITS)
-    return [max(0, min(255, round(4 * math.log2(counts[b] / mean)))) if counts.get(b) else 0 for b in range(1 << BUCKET_BITS)]
-
-
-def line_sets(texts: DataFrame, levels: list[int], percent: int, whole: bool = False) -> DataFrame:
-    """doc, tie, line, n, key and key2 (128 bits of the set), bitmap and prefix of every line with a word, and its tokens if `whole`."""
-    lines = texts.selectExpr("doc", "tie", f"posexplode(split({BLANKS.format('text')}, '\\n')) AS (line, words)")
-    lines = lines.selectExpr("doc", "tie", "line", "words AS own").where("trim(own) <> ''").selectExpr("doc", "tie", "line", f"{WORDS.format('own')} AS words")
-    lines = lines.withColumn("levels", F.split(F.lit(",".join(map(str, levels))), ",").cast("array<short>"))
-    level = f"cast(element_at(levels, cast(shiftrightunsigned(xxhash64(w), {64 - BUCKET_BITS}) AS int) + 1) AS long)"
-    # level, then 63 less the length (longer words sort first), then 46 bits of the hash
-    token = f"shiftleft({level}, 52) | shiftleft(cast(63 - least(octet_length(w), 63) AS long), 46) | (xxhash64(w) & {(1 << 46) - 1}L)"
-    lines = lines.selectExpr("doc", "tie", "line", f"sort_array(array_distinct(transform(words, w -> {token}))) AS toks")
-    n = "size(toks)"
-    prefix = f"CASE WHEN {n} * 100 < percent_ THEN cast(array() AS array<long>) ELSE slice(toks, 1, {n} - (({n} * {percent} + 99) div 100) + 1) END"
-    # a set smaller than this has no similar set but itself
-    alone = 100 * percent // (100 - percent) if percent < 100 else 10**9
-    return lines.selectExpr(
-        *ID, f"cast({n} AS int) AS n", "xxhash64(toks) AS key", "xxhash64(1, toks) AS key2", *(f"aggregate(toks, 0L, (a, t) -> CASE WHEN (t & 192L) = {64 * k} THEN a ^ shiftleft(1L, cast(t & 63L AS int)) ELSE a END) AS b{k}" for k in range(4)),
-        prefix.replace("percent_", str(alone)) + " AS prefix", *(["toks"] if whole else []),
-    )
-
+def rarity_levels(texts: DataFrame):
+    """The sketch as a column: for each counter three times the logarithm of its words' count."""
+    words = texts.selectExpr(f"explode(split(replace({BLANKS.format('text')}, '\n', ' '), ' ')) AS w").where("w <> ''")
+    counts = words.selectExpr(f"shiftrightunsigned(xxhash64(w), {64 - COUNTER_BITS}) AS id").groupBy("id").count()
+    level = F.least(F.lit(126), F.round(3 * F.log2("count")).cast("int"))
+    every = texts.sparkSession.range(0, 1 << COUNTER_BITS, 1, 4).join(counts, "id", "left").select("id", F.coalesce(level, F.lit(0)).alias("level"))
+    # 2 ** COUNTER_BITS numbers, whatever the input
+    held = every.agg(F.expr("array_join(transform(array_sort(collect_list(struct(id, level))), x -> x.level), ',')")).first()[0]
+    return F.split(F.lit(held), ",").cast("array<short>")
 
-def _needed(percent: int) -> str:
-    """Words that two sets of n and m words have to share."""
-    return f"((x.n + y.n) * {percent} + {99 + percent}) div {100 + percent}"
 
+def tokenised(lines: DataFrame, levels, *carried: str) -> DataFrame:
+    """`carried` and toks, the ordered distinct tokens of the column own (level 7 bits, length 6, hash 50)."""
+    hashed = f"array_distinct(transform({WORDS.format('own')}, w -> (xxhash64(w) & -64L) | cast(63 - least(octet_length(w), 63) AS long)))"
+    lines = lines.withColumn("levels", levels).selectExpr(*carried, "levels", f"{hashed} AS hs")
+    level = f"cast(element_at(levels, cast(shiftrightunsigned(h, {64 - COUNTER_BITS}) AS int) + 1) AS long)"
+    return lines.selectExpr(*carried, f"sort_array(transform(hs, h -> shiftleft({level}, 56) | shiftleft(h & 63L, 50) | shiftrightunsigned(h, 14))) AS toks")
 
-def _near(percent: int) -> str:
-    """Lengths and parity bitmaps leave room for enough shared words."""
-    return f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND {" + ".join(f"bit_count(x.b{k} ^ y.b{k})" for k in range(4))} <= x.n + y.n - 2 * ({_needed(percent)})"
 
+def _prefix(n: str, percent: int) -> str:
+    return f"({n} - ({n} * {percent} + 99) div 100 + 1)"
 
-EARLIER = "(y.doc < x.doc OR (y.doc = x.doc AND (y.tie < x.tie OR (y.tie = x.tie AND y.line < x.line))))"
 
-
-def verify(pairs: DataFrame, texts: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
-    """The ids of lines x with a verified earlier line y; pairs has the ids of both, prefixed."""
-    pairs = settle(pairs, folder, f"{name}-pairs")
-    ids = pairs.selectExpr(*(f"x{c} AS {c}" for c in ID)).union(pairs.selectExpr(*(f"y{c} AS {c}" for c in ID))).distinct()
-    wanted = settle(ids.groupBy("doc", "tie").agg(F.collect_list("line").alias("lines")), folder, f"{name}-wanted")  # lines of one text
-    found = texts.join(wanted, ["doc", "tie"]).selectExpr("doc", "tie", f"split({BLANKS.format('text')}, '\\n') AS all", "lines").selectExpr("doc", "tie", "explode(transform(lines, l -> struct(l AS line, element_at(all, l + 1) AS words))) AS l")
-    # words as 64-bit hashes: half the bytes to shuffle, and a collision within a pair of lines is a matter of 1e-15
-    found = found.selectExpr("doc", "tie", "l.line", f"array_distinct(transform({WORDS.format('l.words')}, w -> xxhash64(w))) AS words").dropDuplicates(ID)
-    found = settle(found, folder, f"{name}-words")
-    release(texts.sparkSession)
-    left = found.selectExpr(*(f"{c} AS x{c}" for c in ID), "words AS a")
-    right = found.selectExpr(*(f"{c} AS y{c}" for c in ID), "words AS b")
-    # in turns by the later line: what a turn shuffles is let go of before the next
-    turn, parts = F.pmod(F.xxhash64(*(f"x{c}" for c in ID)), F.lit(TURNS)), []
+def line_sets(texts: DataFrame, levels, percent: int) -> DataFrame:
+    """doc, tie, line, n, key and key2 (128 bits of the set), bitmap and prefix of every line with a word."""
+    lines = texts.selectExpr("doc", "tie", f"posexplode(split({BLANKS.format('text')}, '\\n')) AS (line, own)").where("trim(own) <> ''")
+    lines = tokenised(lines, levels, *ID)
+    # a set smaller than this has no similar set but itself
+    alone = 100 * percent // (100 - percent) if percent < 100 else 10**9
+    bits = (f"aggregate(toks, 0L, (a, t) -> CASE WHEN (t & 64L) = {64 * k}L THEN a ^ shiftleft(1L, cast(t & 63L AS int)) ELSE a END) AS b{k}" for k in range(2))
+    return lines.selectExpr(*ID, "size(toks) AS n", "xxhash64(toks) AS key", "xxhash64(1, toks) AS key2", *bits, f"CASE WHEN size(toks) * 100 < {alone} THEN slice(toks, 1, 0) ELSE slice(toks, 1, cast({_prefix('size(toks)', percent)} AS int)) END AS prefix")
+
+
+def _needed(x: str, y: str, percent: int) -> str:
+    """Words that two sets of these sizes have to share."""
+    return f"((({x}) + ({y})) * {percent} + {99 + percent}) div {100 + percent}"
+
+
+def _earlier(y: str, x: str) -> str:
+    return f"({y}.doc < {x}.doc OR ({y}.doc = {x}.doc AND ({y}.tie < {x}.tie OR ({y}.tie = {x}.tie AND {y}.line < {x}.line))))"
+
+
+def _fetch(texts: DataFrame, wanted: DataFrame, folder: str, name: str, *carried: str) -> DataFrame:
+    """`carried`, doc, tie, line and own (the line itself) of the wanted lines (which have doc, tie, line)."""
+    per = settle(wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("line", *carried)).alias("lines")), folder, name)  # lines of one text
+    found = texts.join(per, ["doc", "tie"]).selectExpr("doc", "tie", f"split({BLANKS.format('text')}, '\\n') AS every", "lines")
+    return found.selectExpr("doc", "tie", "explode(transform(lines, l -> struct(l AS l, element_at(every, l.line + 1) AS own))) AS e").selectExpr(*(f"e.l.{c} AS {c}" for c in carried), "doc", "tie", "e.l.line AS line", "e.own AS own")
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """cid, links, behind of every class in a verified pair (x and y with cid, copies and id): both get the other's copies."""
+    sides = f"array(struct(x.cid AS cid, y.copies AS links, {_earlier('y', 'x')} AS behind), struct(y.cid AS cid, x.copies AS links, {_earlier('x', 'y')} AS behind))"
+    return _summed(pairs.select(F.explode(F.expr(sides)).alias("e")).select("e.*"))
+
+
+def _summed(links: DataFrame) -> DataFrame:
+    return links.groupBy("cid").agg(F.sum("links").alias("links"), F.max("behind").alias("behind"))
+
+
+def _triples(toks: str, first: str, last: str) -> str:
+    return f"explode(CASE WHEN {last} >= {first} THEN transform(sequence({first}, {last}), i -> xxhash64(slice({toks}, i, 3))) ELSE array() END) AS t"
+
+
+def clusters(classes: DataFrame, texts: DataFrame, levels, percent: int, folder: str) -> DataFrame:
+    """cid, kid, k (size of the centre), d, a, feats (words missing and added), copies and id of members of crowded groups."""
+    wide = classes.where(f"n >= {LEAST_WORDS}")
+    triples = wide.selectExpr("cid", _triples("prefix", f"greatest(1, size(prefix) - {TRIPLES + 1})", "size(prefix) - 2"))
+    crowds = settle(triples.groupBy("t").count().where(f"count >= {CROWD}"), folder, "crowds")
+    crowded = settle(triples.join(crowds, "t").select("cid", "t", "count"), folder, "crowded")
+    home = crowded.groupBy("cid").agg(F.max(F.struct("count", "t")).alias("h")).select("cid", F.col("h.t").alias("t"))
+    wanted = classes.select("cid", "copies", *ID).join(home, "cid")
+    sets = settle(tokenised(_fetch(texts, wanted, folder, "crowd-lines", "cid", "copies", "t"), levels, "cid", "copies", "t", *ID), folder, "crowd-sets")
+    # the centre of a crowd: words that most of its members have
+    sizes = sets.groupBy("t").agg(F.count("*").alias("size"))
+    votes = sets.select("t", F.explode("toks").alias("tok")).groupBy("t", "tok").agg(F.count("*").alias("c"))
+    centres = votes.join(sizes, "t").where("2 * c > size").groupBy("t").agg(F.sort_array(F.collect_list("tok")).alias("centre"), F.first("size").alias("size"))
+    centres = settle(centres.groupBy(F.xxhash64("centre").alias("kid")).agg(F.sum("size").alias("size"), F.min("centre").alias("centre")), folder, "centres")
+    # a class goes to the largest centre that has one of its triples
+    of = centres.selectExpr("kid", "size", _triples("centre", "1", f"least(size(centre) - 2, cast({_prefix('size(centre)', percent)} AS int) + {TRIPLES})"))
+    best = of.groupBy("t").agg(F.max(F.struct("size", "kid")).alias("best"))
+    chosen = crowded.join(best, "t").groupBy("cid").agg(F.max("best").alias("best")).select("cid", F.col("best.kid").alias("kid"))
+    near = sets.drop("t").join(chosen, "cid").join(centres.select("kid", "centre"), "kid")
+    near = near.selectExpr("cid", "copies", *ID, "kid", "size(toks) AS n", "size(centre) AS k", "array_except(centre, toks) AS missing", "array_except(toks, centre) AS added")
+    near = near.where("2 * (k - size(missing)) >= k + size(added)")  # at least half alike
+    return settle(near.selectExpr("cid", "copies", *ID, "kid", "k", "n", "size(missing) AS d", "size(added) AS a", f"concat(transform(missing, t -> t | {-LAST - 1}L), added) AS feats"), folder, "members")
+
+
+def links_within(members: DataFrame, percent: int, folder: str) -> list[DataFrame]:
+    """cid, links, behind from pairs of members of one cluster; see step 4 above."""
+    # more common words that the pair needs than its numbers assure
+    lacking = f"{_needed('x.k - x.d + x.a', 'y.k - y.d + y.a', percent)} - (x.k - x.d - y.d)"
+    profile = ["kid", "k", "d", "a"]
+    profiles = settle(members.groupBy(*profile).agg(F.sum("copies").alias("copies"), F.min(F.struct(*ID)).alias("first")), folder, "profiles")
+    sure = profiles.alias("x").join(profiles.alias("y"), F.expr(f"x.kid = y.kid AND {lacking} <= 0")).groupBy(*(F.col(f"x.{c}").alias(c) for c in profile)).agg(F.sum("y.copies").alias("links"), F.min("y.first").alias("first"))
+    own = lacking.replace("x.", "").replace("y.", "")
+    counted = members.join(settle(sure, folder, "sure"), profile).select("cid", F.expr(f"links - CASE WHEN {own} <= 0 THEN copies ELSE 0 END").alias("links"), (F.col("first") < F.struct(*ID)).alias("behind"))
+    open_ = members.select("*", F.explode("feats").alias("f"))
+    met = "x.kid = y.kid AND x.f = y.f AND x.cid < y.cid"
+    room = f"{lacking} BETWEEN 1 AND least(x.d, y.d) + least(x.a, y.a)"
+    common = "array_intersect(x.feats, y.feats)"
+    pairs = open_.alias("x").join(open_.alias("y"), F.expr(f"{met} AND {room} AND size({common}) >= {lacking} AND array_min({common}) = x.f"))
+    return [counted.where("links > 0"), _both_ways(pairs)]
+
+
+def candidates(loose: DataFrame, members: DataFrame, percent: int, folder: str) -> DataFrame:
+    """a, b: distinct pairs of classes, not of one cluster, that pass the filters of the prefix index."""
+    # the smaller set (of equal ones either) is found by its index prefix, the other probes with its whole prefix
+    reach = lambda s: f"({s}.n - ({2 * percent} * {s}.n + {99 + percent}) div {100 + percent} + 1)"
+    need = _needed("x.n", "y.n", percent)
+    fits = [
+        f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}",
+        f"bit_count(x.b0 ^ y.b0) + bit_count(x.b1 ^ y.b1) <= x.n + y.n - 2 * ({need})",
+        f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {need}",
+        f"(CASE WHEN y.n < x.n OR (y.n = x.n AND y.cid < x.cid) THEN y.pos < {reach('y')} ELSE x.pos < {reach('x')} END)",
+    ]
+    entries = [df.where("size(prefix) > 0").select("cid", "n", *BITS, *(c for c in df.columns if c == "kid"), F.posexplode("prefix").alias("pos", "tok")) for df in (loose, members)]
+    parts = []
     for k in range(TURNS):
-        both = pairs.where(turn == k).join(left.where(turn == k), [f"x{c}" for c in ID]).join(right, [f"y{c}" for c in ID])
-        both = both.selectExpr(*(f"x{c} AS {c}" for c in ID), "size(a) AS n", "size(b) AS m", "size(array_intersect(a, b)) AS s")
-        parts.append(settle(both.where(f"100 * s >= {percent} * (n + m - s)").select(*ID).distinct(), folder, f"{name}-matched-{k}"))
-        release(texts.sparkSession)
-    out = functools.reduce(DataFrame.union, parts)
-    release(texts.sparkSession, folder, f"{name}-pairs", f"{name}-wanted", f"{name}-words")
+        u, c = (e.where(F.pmod("tok", F.lit(TURNS)) == k) for e in entries)
+        # tokens of one cluster only bring no pair of members
+        mixed = c.groupBy("tok").agg(F.min("kid").alias("low"), F.max("kid").alias("high")).where("low <> high").select("tok")
+        cc = c.join(mixed, "tok", "left_semi")
+        for x, y, once in ((u, u, "x.cid < y.cid"), (u, c, "true"), (cc, cc, "x.cid < y.cid AND x.kid <> y.kid")):
+            met = x.alias("x").join(y.alias("y"), F.expr(" AND ".join(["x.tok = y.tok", once, *fits])))
+            parts.append(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
+        parts[-3:] = [settle(functools.reduce(DataFrame.union, parts[-3:]).distinct(), folder, f"met-{k}")]
+        release(loose.sparkSession)
+    out = settle(functools.reduce(DataFrame.union, parts).distinct(), folder, "candidates")
+    release(loose.sparkSession, folder, *(f"met-{k}" for k in range(TURNS)))
     return out
 
 
-def later_lines(documents: DataFrame, percent: int = 80, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all lines with doc, tie, line and gone; the documents as doc, tie, text)."""
-    spark = documents.sparkSession
-    folder = folder or shared_folder(spark)
-    texts = _keyed(documents)
-    lines = settle(line_sets(texts, rarity_levels(texts), percent), folder, "lines")
-    first = lines.groupBy("key", "key2").agg(F.min(F.struct(*ID, "n", *BITS, "prefix")).alias("first"))
-    classes = settle(first.select("key", "key2", "first.*"), folder, "classes")
-    release(spark)
-
-    # leaders: the earliest classes of each salt among those of one size that share a rare token
-    rare = classes.where("size(prefix) > 0").select(*ID, "n", *BITS, F.explode(F.slice("prefix", 1, LEADS)).alias("tok"))
-    salt = F.pmod(F.xxhash64(*ID), F.lit(SALTS))
-    heads = rare.groupBy("tok", "n").agg(F.count("*").alias("c"), *(F.min(F.when(salt == k, F.struct(*ID, *BITS))).alias(f"l{k}") for k in range(SALTS)))
-    heads = heads.where("c > 1").select("tok", "n", F.explode(F.array(*(f"l{k}" for k in range(SALTS)))).alias("l")).where("l is not null").select("tok", "n", "l.*")
-    heads = settle(heads, folder, "leaders")
-    led = rare.alias("x").join(heads.alias("y"), ["tok", "n"]).where(f"{_near(percent)} AND {EARLIER}".replace("x.n", "n").replace("y.n", "n"))
-    pair = [*(F.col(f"x.{c}").alias(f"x{c}") for c in ID), *(F.col(f"y.{c}").alias(f"y{c}") for c in ID)]
-    matched = verify(led.select(*pair).distinct(), texts, percent, folder, "led")
-    release(spark, folder, "leaders")
-
-    # the larger set (or the later of two of one size) probes with its whole prefix, the other is found by its
-    # index prefix; the later of both must not have a match yet. Both sides are one exchange, read twice.
-    index = f"n - (({2 * percent}) * n + {99 + percent}) div {100 + percent} + 1"
-    done = matched.withColumn("done", F.lit(True))
-    flagged = classes.where("size(prefix) > 0").join(done, ID, "left").selectExpr(*ID, "n", *BITS, "prefix", "coalesce(done, false) AS done", f"{index} AS reach")
-    flagged = settle(flagged, folder, "flagged")
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, folder: str) -> DataFrame:
+    """cid, links, behind from candidates, compared on the words of both lines."""
+    spark = texts.sparkSession
+    cids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    wanted = classes.select("cid", "copies", *ID).join(cids, "cid")
+    words = _fetch(texts, wanted, folder, "candidate-lines", "cid", "copies").selectExpr("cid", "copies", *ID, f"array_distinct({WORDS.format('own')}) AS words")
+    words = settle(words, folder, "candidate-words")
     release(spark)
-    entries = flagged.selectExpr(*ID, "n", *BITS, "done", "reach", "posexplode(prefix) AS (pos, tok)")
-    place = f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {_needed(percent)}"
-    roles = f"(y.pos < y.reach OR x.n < 0) AND (y.n < x.n OR (y.n = x.n AND {EARLIER})) AND NOT (CASE WHEN {EARLIER} THEN x.done ELSE y.done END)"
-    later = [*(F.expr(f"CASE WHEN {EARLIER} THEN x.{c} ELSE y.{c} END").alias(f"x{c}") for c in ID), *(F.expr(f"CASE WHEN {EARLIER} THEN y.{c} ELSE x.{c} END").alias(f"y{c}") for c in ID)]
-    met = []
+    left, right = (words.select(F.col("cid").alias(c), F.struct("cid", "copies", *ID).alias(s), F.col("words").alias(f"{s}words")) for c, s in (("a", "x"), ("b", "y")))
+    parts = []
     for k in range(TURNS):
-        part = entries.where(F.pmod("tok", F.lit(TURNS)) == k)
-        pairs = part.alias("x").join(part.alias("y"), F.expr(f"x.tok = y.tok AND {roles} AND {place} AND {_near(percent)}"))
-        met.append(settle(pairs.select(*later).distinct(), folder, f"met-{k}"))
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(TURNS)) == k)
+        both = some.join(left, "a").join(right, "b")
+        shared = "size(array_intersect(xwords, ywords))"
+        both = both.where(f"{100 + percent} * {shared} >= {percent} * (size(xwords) + size(ywords))").select("x", "y")
+        parts.append(settle(_both_ways(both), folder, f"verified-{k}"))
         release(spark)
-    release(spark, folder, "flagged")
-    more = verify(functools.reduce(DataFrame.union, met).distinct(), texts, percent, folder, "met")
-    release(spark, folder, *(f"met-{k}" for k in range(TURNS)))
-    gone = settle(classes.join(matched.union(more), ID, "left_semi").select("key", "key2").withColumn("hit", F.lit(True)), folder, "gone")
-    led_by = classes.select("key", "key2", *(F.col(c).alias(f"f{c}") for c in ID))
-    known = settle(led_by.join(gone, ["key", "key2"], "left"), folder, "known")
-    every = lines.select(*ID, "key", "key2").join(known, ["key", "key2"])
-    behind = "NOT (doc = fdoc AND tie = ftie AND line = fline)"
-    return every.select(*ID, F.expr(f"coalesce(hit, false) OR {behind}").alias("gone")), texts
+    release(spark, folder, "candidate-words", "candidate-lines", "candidates")
+    return functools.reduce(DataFrame.union, parts)
 
 
 def linked_lines(documents: DataFrame, percent: int = 80, folder: str | None = None) -> DataFrame:
-    """doc, tie, line, class (128 bits of the set), links (to other lines, equal ones too) and gone of every line with a word."""
+    """doc, tie, line, key and key2 (128 bits of the set), links (to other lines, equal ones too) and gone of every line with a word."""
     spark = documents.sparkSession
     folder = folder or shared_folder(spark)
     texts = _keyed(documents, once=True)
-    sets = line_sets(texts, rarity_levels(texts), percent, True)
-    lines = settle(sets.select(*ID, "key", "key2"), folder, "lines")
-    first = sets.groupBy("key", "key2").agg(F.min(F.struct(*ID, "n", *BITS, "toks", F.size("prefix").alias("reach"))).alias("first"), F.count("*").alias("copies"))
-    classes = settle(first.select("key", "key2", "copies", "first.*"), folder, "classes")
-    release(spark)
-
-    # a class goes by its first line; both sides are one exchange, read twice
-    index = f"n - (({2 * percent}) * n + {99 + percent}) div {100 + percent} + 1"
-    probed = classes.where("reach > 0").selectExpr(*ID, "copies", "n", *BITS, "toks", f"{index} AS held", "posexplode(slice(toks, 1, reach)) AS (pos, tok)")
-    place = f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {_needed(percent)}"
-    # the first token that both have is within both prefixes: each pair is made there, once, and verified in the join
-    roles = f"(y.pos < y.held OR x.held < 0) AND (y.n < x.n OR (y.n = x.n AND {EARLIER})) AND array_min(array_intersect(x.toks, y.toks)) = x.tok"
-    alike = f"size(array_intersect(x.toks, y.toks)) >= {_needed(percent)}"
-    sides = f"array(struct(x.doc AS doc, x.tie AS tie, x.line AS line, y.copies AS links, {EARLIER} AS behind), struct(y.doc AS doc, y.tie AS tie, y.line AS line, x.copies AS links, NOT ({EARLIER}) AS behind))"
-    sums = [F.sum("links").alias("links"), F.max("behind").alias("behind")]
-    met = []
-    for k in range(LINK_TURNS):
-        part = probed.where(F.pmod("tok", F.lit(LINK_TURNS)) == k)
-        pairs = part.alias("x").join(part.alias("y").hint("merge"), F.expr(f"x.tok = y.tok AND {_near(percent)} AND {place} AND {roles} AND {alike}"))
-        met.append(settle(pairs.select(F.explode(F.expr(sides)).alias("e")).select("e.*").groupBy(*ID).agg(*sums), folder, f"met-{k}"))
-        release(spark)
-    linked = functools.reduce(DataFrame.union, met).groupBy(*ID).agg(*sums)
-    led_by = classes.select(*ID, "key", "key2", "copies").join(linked, ID, "left")
-    known = settle(led_by.select("key", "key2", "copies", "links", "behind", *(F.col(c).alias(f"f{c}") for c in ID)), folder, "known")
-    release(spark, folder, "classes", *(f"met-{k}" for k in range(LINK_TURNS)))
-    every = lines.join(known, ["key", "key2"])
-    own = "NOT (doc = fdoc AND tie = ftie AND line = fline)"
-    return every.selectExpr(*ID, "concat(lpad(lower(hex(key)), 16, '0'), lpad(lower(hex(key2)), 16, '0')) AS class", "copies - 1 + coalesce(links, 0) AS links", f"coalesce(behind, false) OR {own} AS gone")
+    levels = rarity_levels(texts)
+    every = settle(line_sets(texts, levels, percent), folder, "sets")
+    first = every.groupBy("key", "key2").agg(F.min(F.struct(*ID, "n", *BITS, "prefix")).alias("first"), F.count("*").alias("copies"))
+    classes = settle(first.select(F.monotonically_increasing_id().alias("cid"), "key", "key2", "copies", "first.*"), folder, "classes")
+    lines = settle(every.select(*ID, "key", "key2"), folder, "lines")
+    release(spark, folder, "sets")
+
+    members = clusters(classes, texts, levels, percent, folder)
+    links = [settle(df, folder, f"within-{k}") for k, df in enumerate(links_within(members, percent, folder))]
+    wide = classes.where("size(prefix) > 0").select("cid", "n", *BITS, "prefix")
+    loose = wide.join(members.select("cid"), "cid", "left_anti")
+    pairs = candidates(loose, wide.join(members.select("cid", "kid"), "cid"), percent, folder)
+    links.append(verified(pairs, classes, texts, percent, folder))
+    linked = settle(_summed(functools.reduce(DataFrame.unionByName, links)), folder, "linked")
+
+    known = classes.select("cid", "key", "key2", "copies", F.struct(*ID).alias("first")).join(linked, "cid", "left").where("copies > 1 OR links > 0").drop("cid")
+    known = settle(known, folder, "known")
+    release(spark, folder, "classes")
+    out = lines.join(known, ["key", "key2"], "left")
+    return out.select(*ID, "key", "key2", F.expr("coalesce(copies - 1, 0L) + coalesce(links, 0L)").alias("links"), F.expr("coalesce(behind, false) OR coalesce(first <> struct(doc, tie, line), false)").alias("gone"))
 
 
 def judge(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -209,15 +248,17 @@ def judge(documents: DataFrame, percent: int = 80) -> DataFrame:
     """
     folder = shared_folder(documents.sparkSession)
     lines = linked_lines(documents, percent, folder)
-    per = lines.groupBy("doc", "tie").agg(
-        F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed_lines"),
-        F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.struct("line", "class", "links"))).alias("lines"),
-    )
+    per = lines.groupBy("doc", "tie").agg(F.array_sort(F.collect_list(F.struct("line", "key", "key2", "links", "gone"))).alias("all"))
     per = settle(per, folder, "per-document")
-    rows = _keyed(documents).select("doc", "tie").join(per, ["doc", "tie"], "left")
-    empty = F.array().cast("array<int>")
-    removed = F.coalesce("removed_lines", empty)
-    return rows.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("lines", F.array().cast("array<struct<line:int,class:string,links:bigint>>")).alias("lines"))
+    rows = _keyed(documents, "doc_id").select("doc_id", "doc", "tie").join(per, ["doc", "tie"], "left")
+    hexed = "concat(lpad(lower(hex(x.key)), 16, '0'), lpad(lower(hex(x.key2)), 16, '0'))"
+    return rows.selectExpr(
+        "cast(doc_id AS long) AS doc_id", "coalesce(cast(size(all) AS long), 0L) AS n_lines",
+        "coalesce(cast(size(filter(all, x -> x.gone)) AS long), 0L) AS n_removed",
+        "coalesce(transform(filter(all, x -> x.gone), x -> x.line), cast(array() AS array<int>)) AS removed_lines",
+        "coalesce(aggregate(all, 0L, (s, x) -> s + x.links), 0L) AS n_links",
+        f"coalesce(transform(all, x -> struct(x.line AS line, {hexed} AS class, x.links AS links)), cast(array() AS array<struct<line:int,class:string,links:bigint>>)) AS lines",
+    )
 
 
 def drop_lines(documents: DataFrame, columns: list[str], percent: int = 80, counted: str | None = None) -> DataFrame:
@@ -227,17 +268,15 @@ def drop_lines(documents: DataFrame, columns: list[str], percent: int = 80, coun
     holds the number of characters, set anew where a text has changed.
     """
     folder = shared_folder(documents.sparkSession)
-    lines, _ = later_lines(documents, percent, folder)
-    per = lines.groupBy("doc", "tie").agg(F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("__gone"), F.bool_and("gone").alias("__all"))
-    per = settle(per.where("size(__gone) > 0").select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), "__gone", "__all"), folder, "changes")
-    repeated = documents.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    rows = documents.select(*columns, F.expr(f"coalesce(cast(doc_id as long), {LAST}L)").alias("__doc"), F.expr("xxhash64(text)" if repeated else "0L").alias("__tie"))
-    rows = rows.join(per, ["__doc", "__tie"], "left").where("__all IS NULL OR NOT __all")
-    text = F.expr("CASE WHEN __gone IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (l, i) -> NOT array_contains(__gone, i)), '\\n') END")
-    rows = rows.withColumn("text", text)
-    if counted in columns:
-        rows = rows.withColumn(counted, F.when(F.col("__gone").isNull(), F.col(counted)).otherwise(F.length("text")).cast(documents.schema[counted].dataType))
-    return rows.select(*columns)
+    lines = linked_lines(documents, percent, folder)
+    per = lines.groupBy("doc", "tie").agg(F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("cut"), F.bool_and("gone").alias("whole"))
+    per = settle(per.where("size(cut) > 0"), folder, "changes")
+    # the other columns of a row are carried as one, so that no name of their own can clash
+    others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in columns if c != "text"))
+    rows = _keyed(documents, others.alias("row")).join(per, ["doc", "tie"], "left").where("whole IS NULL OR NOT whole")
+    text = F.expr("CASE WHEN cut IS NULL THEN text ELSE array_join(filter(split(text, '\\n'), (l, i) -> NOT array_contains(cut, i)), '\\n') END")
+    new = {"text": text, counted: F.when(F.col("cut").isNull(), F.col("row").getField(counted)).otherwise(F.length(text)).cast(documents.schema[counted].dataType) if counted else None}
+    return rows.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
