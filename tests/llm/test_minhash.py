@@ -77,3 +77,16 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(edges, shared_folder(spark)).collect()}
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99}
+
+
+def test_long_unlike_words_and_texts_of_one_id(spark):
+    """Thue-Morse words of 1,024 letters collide under a polynomial modulo 2 ** 64; they are not alike."""
+    x = "a"
+    while len(x) < 1024:
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    assert {r[0]: r[2] for r in run(spark, [(1, x), (2, y)], 4)} == {1: 1, 2: 2}
+    rows = [(1, "a b c d e f"), (1, "q w e r t y"), (1, "a b c d e f"), (2, "A b c d e f"), (3, ""), (3, None), (3, ""), (None, "z")]
+    df = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, tie int")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in keep_first(df, df.columns).collect())
+    assert got == [(False, 1, "a b c d e f"), (False, 1, "q w e r t y"), (False, 3, ""), (False, 3, ""), (True, 0, "z")]

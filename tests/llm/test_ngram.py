@@ -91,3 +91,12 @@ def test_bigrams_seen_once(spark):
     model = m.train(train, shared_folder(spark))
     seen, not_seen = (m.score(spark.createDataFrame([(3, t)], "doc_id long, text string"), model).first().score for t in ("a b c d", "a c e g"))
     assert seen > not_seen + 0.5
+
+
+def test_long_unlike_words(spark):
+    x = "a"
+    while len(x) < 1024:
+        x += x.translate(str.maketrans("ab", "ba"))
+    model = m.train(spark.createDataFrame([(x,)], "text string"), shared_folder(spark))
+    row = m.score(spark.createDataFrame([(1, x.translate(str.maketrans("ab", "ba")))], "doc_id long, text string"), model).first()
+    assert row.n_known == 1  # the end alone

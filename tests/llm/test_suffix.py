@@ -61,14 +61,35 @@ def test_repeated_ids_and_empty(spark):
 
 
 def test_family_of_levels():
+    """In whatever order strings come, all occurrences but those of the least document are covered, once each."""
     rng = np.random.default_rng(2)
-    family, every = m.SuffixFamily(), {}
+    family, every, covered, total = m.SuffixFamily(), {}, [], 0
+    seen = []
     for _ in range(40):
-        strings = rng.integers(0, 300, rng.integers(1, 60)).astype("S50")
-        docs = rng.integers(0, 1000, len(strings))
-        family.insert(strings, docs)
-        for s, d in zip(strings.tolist(), docs.tolist(), strict=True):
-            every[s] = min(d, every.get(s, d))
+        strings = rng.integers(0, 300, rng.integers(0, 60)).astype("S50")
+        docs = rng.integers(0, 40, len(strings))
+        covered += family.insert(strings, docs, np.arange(total, total + len(strings))).tolist()
+        total += len(strings)
+        seen += zip(strings.tolist(), docs.tolist(), strict=True)
+    for s, d in seen:
+        every[s] = min(d, every.get(s, d))
     assert len(family.levels) <= 10
-    ask = np.arange(320).astype("S50")
-    assert family.scan(ask).tolist() == [every.get(s, m.LAST) for s in ask.tolist()]
+    assert sorted(covered) == [k for k, (s, d) in enumerate(seen) if d > every[s]]
+    assert sorted(family.rows().tolist()) == [k for k, (s, d) in enumerate(seen) if d == every[s]]
+
+
+def test_partitions_of_short_texts(spark):
+    """A task may see no text of 50 bytes at all."""
+    long = "".join(chr(97 + i % 19) for i in range(90))
+    for rows in ([(1, "short"), (2, "tiny")], [(1, None)], [(1, "")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+        assert sorted(r.n_removed for r in m.remove_spans(df).collect()) == [0] * len(rows)
+    df = spark.createDataFrame([(k, f"{long}{k}") for k in range(60)], "doc_id long, text string").union(spark.createDataFrame([(99, "short")], "doc_id long, text string").coalesce(1))
+    got = sorted(tuple(r) for r in m.remove_spans(df).collect())
+    assert sorted(got, key=str) == brute([*((k, f"{long}{k}") for k in range(60)), (99, "short")])
+
+
+def test_largest_id(spark):
+    text = "".join(chr(97 + i % 23) for i in range(150))
+    df = spark.createDataFrame([(2**63 - 1, text), (5, text)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in m.remove_spans(df).collect()) == [(5, 0), (2**63 - 1, 150)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that executors and the driver share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a folder of this machine is set.
+    A session on local threads that names none, as in tests, has the driver's temporary folder; on a cluster a
+    session without a shared folder is an error.
     """
     bound_batches(spark)
     context = spark.sparkContext
@@ -39,11 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     if top is None and held.isDefined():
         top = held.get()
+    if top is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
     if top is None:
         import tempfile
 
         top = "file://" + tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", top)
     if not held.isDefined():
         context.setCheckpointDir(top)
     return f"{top.rstrip('/')}/vellum-{uuid.uuid4().hex}"
@@ -139,7 +142,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit hashes of any ranges of a block of bytes, from one prefix sum."""
+    """64-bit hashes of any short ranges of a block of bytes, from one prefix sum.
+
+    A polynomial modulo 2 ** 64: unlike ranges of about a thousand bytes can be made to collide, so this is for
+    grams and segments of at most some hundred bytes; words go through `word_hashes`.
+    """
 
     def __init__(self, raw: np.ndarray):
         self.sums = np.zeros(len(raw) + 1, np.uint64)
@@ -150,6 +157,28 @@ class RangeHash:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
+#: Words of more bytes are hashed by a cryptographic function, one by one.
+LONG_WORD = 1024
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of many words: their length, then eight bytes at a time, mixed in order."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(8, np.uint8))), 8)
+    live, at = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(live):
+        chunk = np.ascontiguousarray(eights[starts[live] + at]).view(np.uint64).ravel()
+        left = np.minimum(sizes[live] - at, 8).astype(np.uint64)
+        chunk &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+        out[live] = mix((out[live] ^ chunk) * _BASE + left)
+        at += 8
+        live = live[sizes[live] > at]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def word_ranges(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text number) of every word of a block of texts laid end to end."""
     n = len(raw)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import LOWERED, RangeHash, blocks, byte_texts, mix, settle, shared_folder, table, word_ranges
+from vellum.llm.common import LOWERED, blocks, byte_texts, mix, settle, shared_folder, table, word_hashes, word_ranges
 from vellum.llm.graph import components
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -42,7 +42,7 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np
     n = len(offsets) - 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = RangeHash(raw)(starts, ends)
+    word = word_hashes(raw, starts, ends)
     per = np.bincount(owner, minlength=n)
     full = np.zeros(0, np.uint64)
     at = np.zeros(0, np.int64)
@@ -101,7 +101,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def sketch(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (f1, f2), packed bits (s0...) and bands of every text."""
+    """doc_id, tie (a hash of the text), n_shingles, fingerprint (f1, f2), packed bits (s0...) and bands of every text."""
 
     def kernel(batches):
         for batch in batches:
@@ -123,12 +123,12 @@ def sketch(documents: DataFrame, width: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum((size > 0) * BANDS))).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(keys).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(size, pa.int64()), signed(f1), signed(f2), *(signed(np.ascontiguousarray(x)) for x in bits), bands],
-                    ["doc_id", "n_shingles", "f1", "f2", *(f"s{k}" for k in range(LONGS)), "bands"],
+                    [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(size, pa.int64()), signed(f1), signed(f2), *(signed(np.ascontiguousarray(x)) for x in bits), bands],
+                    ["doc_id", "tie", "n_shingles", "f1", "f2", *(f"s{k}" for k in range(LONGS)), "bands"],
                 )
 
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"s{k} long" for k in range(LONGS)) + ", bands array<long>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(kernel, schema)
+    schema = "doc_id long, tie long, n_shingles long, f1 long, f2 long, " + ", ".join(f"s{k} long" for k in range(LONGS)) + ", bands array<long>"
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie")).mapInArrow(kernel, schema)
 
 
 def may_pass(a: str, b: str, percent: int):
@@ -148,8 +148,8 @@ def _size_fits(a: str, b: str, percent: int):
     return (F.col(f"{a}.n_shingles") * 100 >= F.col(f"{b}.n_shingles") * percent) & (F.col(f"{b}.n_shingles") * 100 >= F.col(f"{a}.n_shingles") * percent)
 
 
-def confirm(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: int, percent: int, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are similar enough."""
+def confirm(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: int, percent: int, once: bool, folder: str, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets of shingles, word by word, are similar enough; once: no id is repeated."""
     pairs = settle(pairs, folder, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     lead = settle(classes.join(wanted, "node").select("node", "rep", "f1", "f2"), folder, f"{name}-wanted")
@@ -159,36 +159,43 @@ def confirm(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: i
     right = texts.select(F.col("node").alias("b"), F.col("f1").alias("bf"), F.col("text").alias("bt"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "af", "bf", "at", "bt")
 
+    def shingles(data: bytes) -> frozenset:
+        words = data.lower().split()  # A-Z alone, and the six ASCII white-space characters
+        return frozenset(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else frozenset([tuple(words)])
+
     def kernel(batches):
         for batch in batches:
             (ra, oa), (rb, ob) = byte_texts(batch.column(4)), byte_texts(batch.column(5))
-            af, bf = (batch.column(k).to_numpy().view(np.uint64) for k in (2, 3))
-            for x, y in blocks(np.diff(oa) + np.diff(ob)):
-                ha, wa = shingle_hashes(LOWERED[ra[oa[x] : oa[y]]], oa[x : y + 1] - oa[x], width)
-                hb, wb = shingle_hashes(LOWERED[rb[ob[x] : ob[y]]], ob[x : y + 1] - ob[x], width)
-                n = y - x
-                na, nb = np.bincount(wa, minlength=n), np.bincount(wb, minlength=n)
-                salt = lambda h, w: h ^ mix(w.astype(np.uint64) + np.uint64(1))
-                shared = np.bincount(wa[np.isin(salt(ha, wa), salt(hb, wb))], minlength=n)
-                # an id that comes with several texts joins all of them: only the class's own text counts
-                ga, gb = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                np.add.at(ga, wa, mix(ha))
-                np.add.at(gb, wb, mix(hb))
-                good = (100 * shared >= percent * (na + nb - shared)) & (ga == af[x:y]) & (gb == bf[x:y])
-                keep = pa.array(good)
-                yield pa.RecordBatch.from_arrays([batch.column(k)[x:y].filter(keep) for k in (0, 1)], ["a", "b"])
+            # an id that comes with several texts joins all of them: only the class's own text counts
+            good = own_text(ra, oa, batch.column(2)) & own_text(rb, ob, batch.column(3))
+            for k in np.flatnonzero(good).tolist():
+                # on the words themselves, not on their hashes
+                x, y = shingles(ra[oa[k] : oa[k + 1]].tobytes()), shingles(rb[ob[k] : ob[k + 1]].tobytes())
+                shared = len(x & y)
+                good[k] = 100 * shared >= percent * (len(x) + len(y) - shared)
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
+
+    def own_text(raw, offsets, prints) -> np.ndarray:
+        if once:
+            return np.ones(len(prints), bool)
+        found = np.zeros(len(prints), np.uint64)
+        for x, y in blocks(np.diff(offsets)):
+            hashes, owners = shingle_hashes(LOWERED[raw[offsets[x] : offsets[y]]], offsets[x : y + 1] - offsets[x], width)
+            np.add.at(found[x:y], owners, mix(hashes))
+        return found == prints.to_numpy().view(np.uint64)
 
     return settle(both.mapInArrow(kernel, "a long, b long").distinct(), folder, f"{name}-links")
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, folder: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    folder = folder or shared_folder(documents.sparkSession)
+def grouped(documents: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
+    """doc_id, tie, n_shingles, component (null without words or id) and component_id of every row."""
+    once = not documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     rows = settle(sketch(documents, width), folder, "sketch")
     real = rows.where("n_shingles > 0 and doc_id is not null").withColumn("node", F.xxhash64("f1", "f2", "n_shingles"))
     classes = settle(real.groupBy("node", "f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), folder, "classes")
 
-    sketches = real.join(classes.select("node", "rep").hint("merge"), "node").where("doc_id = rep").drop("rep", "doc_id").dropDuplicates(["node"])
+    sketches = real.join(classes.select("node", "rep").hint("merge"), "node").where("doc_id = rep").drop("rep", "doc_id", "tie").dropDuplicates(["node"])
     sketches = settle(sketches, folder, "class-sketches")
     bits = [f"s{k}" for k in range(LONGS)]
     entries = sketches.select("node", F.posexplode("bands").alias("no", "band"))
@@ -199,7 +206,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, fol
     light = sketches.select("node", "n_shingles", "bands", *bits)
     stars = stars.join(light.alias("x"), F.col("a") == F.col("x.node")).join(light.alias("y"), F.col("b") == F.col("y.node"))
     stars = stars.where(may_pass("x", "y", percent) & _size_fits("x", "y", percent)).select("a", "b")
-    links = confirm(stars, documents, classes, width, percent, folder, "stars")
+    links = confirm(stars, documents, classes, width, percent, once, folder, "stars")
     groups = settle(components(links, folder, "first"), folder, "first-components")
 
     # bands whose classes are not all in one component yet
@@ -212,24 +219,37 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, fol
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     crossed = open_.alias("x").join(open_.alias("y"), met & _size_fits("x", "y", percent) & may_pass("x", "y", percent) & first)
     crossed = crossed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = confirm(crossed, documents, classes, width, percent, folder, "crossed")
+    more = confirm(crossed, documents, classes, width, percent, once, folder, "crossed")
     groups = settle(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), folder, "second"), folder, "second-components")
 
     member = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     member = settle(member, folder, "members")
     least = settle(member.groupBy("component").agg(F.min("rep").alias("component_id")), folder, "least")
-    named = settle(member.join(least, "component").select("node", "component_id"), folder, "named")
-    rows = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("f1", "f2", "n_shingles")).alias("node"))
-    out = rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = settle(member.join(least, "component").select("node", "component", "component_id"), folder, "named")
+    rows = rows.select("doc_id", "tie", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("f1", "f2", "n_shingles")).alias("node"))
+    return rows.join(named, "node", "left").select("doc_id", "tie", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, folder: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    out = grouped(documents, width, percent, folder or shared_folder(documents.sparkSession)).drop("tie", "component")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(documents: DataFrame, columns: list[str], width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, whole rows; of repeated rows with one id, one."""
-    kept = near_duplicates(documents, width, percent).where("kept").select("doc_id").distinct()
-    rows = documents.select(*columns)
-    named = rows.where("doc_id is not null").join(kept.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*columns).unionByName(rows.where("doc_id is null"))
+    """One document of each group, whole rows: that of the least id, then of the least hash of its text.
+
+    Rows that share an id but not the text are different documents, identical rows are one.
+    """
+    folder = shared_folder(documents.sparkSession)
+    rows = settle(grouped(documents, width, percent, folder), folder, "grouped")
+    first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("first")).select("first.*")
+    kept = settle(first.union(rows.where("component IS NULL AND doc_id IS NOT NULL").select("doc_id", "tie").distinct()), folder, "kept")
+    whole = documents.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("tie"))
+    named = whole.where("doc IS NOT NULL").join(kept.withColumnRenamed("doc_id", "doc"), ["doc", "tie"], "left_semi")
+    if rows.where("doc_id IS NOT NULL").groupBy("doc_id", "tie").count().where("count > 1").limit(1).count():
+        named = named.dropDuplicates(["doc", "tie"])
+    return named.unionByName(whole.where("doc IS NULL")).select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:

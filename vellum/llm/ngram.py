@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import LOWERED, RangeHash, blocks, byte_texts, input_bytes, settle, shared_folder, table, word_ranges
+from vellum.llm.common import LOWERED, blocks, byte_texts, input_bytes, settle, shared_folder, table, word_hashes, word_ranges
 from vellum.llm.eliasfano import EliasFano, build, map_file, pack, write_file
 
 END = np.uint64(0x5BD1E995A5A5F00D)
 DISCOUNT, LEAST = 0.75, 1
 STEPS = 32  # quantisation steps of a power of ten
+#: Partitions of a shuffle; more shards than these are taken one after the other in a task.
+MOST_PARTS = 1 << 15
 RANK_BITS = 40  # of an id below a context's place in its shard
 HELD = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2, false)"
 
@@ -38,7 +40,7 @@ def token_stream(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """(fingerprint, text number) of every token: the words of a text, then its end."""
     starts, ends, owner = word_ranges(raw, offsets)
     n = len(offsets) - 1
-    words = RangeHash(LOWERED[raw])(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    words = word_hashes(LOWERED[raw], starts, ends)
     per = np.bincount(owner, minlength=n) if len(owner) else np.zeros(n, np.int64)
     out = np.full(len(words) + n, END, np.uint64)
     out[np.arange(len(words)) + owner] = words
@@ -75,9 +77,9 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _blobs(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A row (shard, blob) for each shard; keys are sorted by shard, then by themselves."""
+    """A row (shard, blob) for each shard that has keys; keys are sorted by shard, then by themselves."""
     ids, first = np.unique(shard, return_index=True)
-    last = np.append(first[1:], len(keys))
+    last = np.append(first, len(keys))[1:]
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array([squeeze(keys[a:b], counts[a:b]) for a, b in zip(first, last, strict=True)], pa.binary())], ["shard", "blob"])
 
 
@@ -168,16 +170,20 @@ def _by_shard(rows: DataFrame, shards: int, build_shard, schema: str) -> DataFra
     """One call of build_shard(shard, keys, counts) for each shard, on all its blobs."""
 
     def kernel(batches):
-        parts: dict[int, list] = {}
+        now, parts = None, []
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(shard, []).append(unsqueeze(blob))
-                if len(parts[shard]) > 24:  # bounds what waits to be merged
-                    parts[shard] = [merged(parts[shard])]
-        for shard, own in sorted(parts.items()):
-            yield build_shard(shard, *merged(own))
+                if shard != now:
+                    if parts:
+                        yield build_shard(now, *merged(parts))
+                    now, parts = shard, []
+                parts.append(unsqueeze(blob))
+                if len(parts) > 24:  # bounds what waits to be merged
+                    parts = [merged(parts)]
+        if parts:
+            yield build_shard(now, *merged(parts))
 
-    return rows.repartition(shards, "shard").mapInArrow(kernel, schema)
+    return rows.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard").mapInArrow(kernel, schema)
 
 
 def train(texts: DataFrame, folder: str, least: int = LEAST, shards: int | None = None) -> Model | None:

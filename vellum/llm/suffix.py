@@ -31,12 +31,16 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import RangeHash, blocks, byte_texts, input_bytes, release, settle, shared_folder, table
 from vellum.llm.eliasfano import EliasFano, build, map_file, pack, write_file
-from vellum.llm.ngram import _blobs, _by_shard, _runs, merged
+from vellum.llm.ngram import MOST_PARTS, _blobs, _by_shard, _runs, merged
 
 SPAN, GRAM = 50, 20
 RUN = SPAN - GRAM + 1
 #: Bytes of segments that are compared at a time.
 PORTION = 3 << 20
+#: Bytes of the longest segment: the strings whose leftmost least gram is at one place.
+WIDEST = 2 * SPAN - GRAM
+#: Records that make a batch of an index family.
+BATCH = 16384
 LAST = 9223372036854775807
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -92,33 +96,67 @@ def strings_of(grams: np.ndarray, places: np.ndarray, begin: np.ndarray, end: np
 
 
 class SuffixFamily:
-    """Sorted strings with the least document of each, in levels of doubling size."""
+    """Sorted strings, each with the occurrences of its least document, in levels of doubling size.
+
+    A level is a suffix array of its batches: strings in order and, for each, a document and a row that names the
+    occurrence. No string is in a level under two documents, nor in two levels under different ones.
+    """
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def insert(self, strings: np.ndarray, docs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scan a batch against the levels, put it in, and return the rows that a smaller document covers now.
 
-    def insert(self, strings: np.ndarray, docs: np.ndarray) -> None:
-        order = np.argsort(strings, kind="stable")
-        self.levels.append(self._least(strings[order], docs[order]))
+        Every occurrence but those of a string's least document is returned once, in whatever order they come.
+        """
+        order = np.argsort(docs, kind="stable")
+        order = order[np.argsort(strings[order], kind="stable")]
+        strings, docs, rows = strings[order], docs[order], rows[order]
+        if not len(strings):
+            return rows
+        fresh = np.concatenate(([True], strings[1:] != strings[:-1]))
+        first = np.flatnonzero(fresh)
+        gone = docs > docs[first][np.cumsum(fresh) - 1]
+        covered = [rows[gone]]
+        strings, docs, rows = strings[~gone], docs[~gone], rows[~gone]
+        for k, (known, owners, places) in enumerate(self.levels):
+            low = np.searchsorted(known, strings)
+            at = np.minimum(low, len(known) - 1)
+            met = known[at] == strings if len(known) else np.zeros(len(strings), bool)
+            behind = met & (docs > (owners[at] if len(known) else 0))
+            ahead = np.flatnonzero(met & ~behind)
+            ahead = ahead[docs[ahead] < owners[at[ahead]]] if len(ahead) else ahead
+            if len(ahead):  # the level's occurrences of these strings are covered by the batch
+                high = np.searchsorted(known, strings[ahead], side="right")
+                steps = np.zeros(len(known) + 1, np.int64)
+                np.add.at(steps, low[ahead], 1)
+                np.add.at(steps, high, -1)
+                lost = np.cumsum(steps[:-1]) > 0
+                covered.append(places[lost])
+                self.levels[k] = (known[~lost], owners[~lost], places[~lost])
+            covered.append(rows[behind])
+            strings, docs, rows = strings[~behind], docs[~behind], rows[~behind]
+        self.levels.append((strings, docs, rows))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (s, d), (t, e) = self.levels.pop(), self.levels.pop()
+            (s, d, r), (t, e, q) = self.levels.pop(), self.levels.pop()
             at = np.searchsorted(s, t)  # merge of two sorted levels
-            self.levels.append(self._least(np.insert(s, at, t), np.insert(d, at, e)))
+            self.levels.append((np.insert(s, at, t), np.insert(d, at, e), np.insert(r, at, q)))
+        return np.concatenate(covered)
 
-    @staticmethod
-    def _least(strings: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(strings):
-            return strings, docs
-        first = np.flatnonzero(np.concatenate(([True], strings[1:] != strings[:-1])))
-        return strings[first], np.minimum.reduceat(docs, first)
+    def rows(self) -> np.ndarray:
+        """The rows that nothing covers."""
+        return np.concatenate([r for _, _, r in self.levels]) if self.levels else np.zeros(0, np.int64)
 
-    def scan(self, strings: np.ndarray) -> np.ndarray:
-        """The least document of each string over all levels."""
-        out = np.full(len(strings), LAST)
-        for known, docs in self.levels:
-            at = np.minimum(np.searchsorted(known, strings), len(known) - 1)
-            out = np.where(known[at] == strings, np.minimum(out, docs[at]), out)
-        return out
+
+def _segments(raw: np.ndarray, first: np.ndarray, sizes: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """Segments as strings of one width: the anchor's place, the size, and the bytes themselves."""
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(WIDEST, np.uint8))), WIDEST)
+    out = np.empty((len(first), WIDEST + 2), np.uint8)
+    # no zero byte ends a record's head; sizes tell zero bytes of a segment from padding
+    out[:, 0], out[:, 1], out[:, 2:] = delta + 1, sizes, wide[first]
+    out[:, 2:][np.arange(WIDEST) >= sizes[:, None]] = 0
+    return out
 
 
 def _pack_columns(*columns: np.ndarray) -> bytes:
@@ -146,14 +184,15 @@ def _gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return raw[np.repeat(starts - first, sizes) + np.arange(int(sizes.sum()))]
 
 
-def _settled(prints: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(covered, first): segments with an equal one in a smaller document, and one segment of each kind."""
+def _settled(prints: np.ndarray, records: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which segments have an equal one, byte by byte, in a smaller document. prints only bring equal ones together."""
     order = np.lexsort((docs, prints))
-    fresh = np.concatenate(([True], prints[order][1:] != prints[order][:-1]))
+    same = (prints[order][1:] == prints[order][:-1]) & (records[order[1:]] == records[order[:-1]]).all(1)
+    fresh = np.concatenate(([True], ~same))
     least = docs[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    covered, first = np.zeros(len(docs), bool), np.zeros(len(docs), bool)
-    covered[order], first[order] = docs[order] > least, fresh
-    return covered, first
+    covered = np.zeros(len(docs), bool)
+    covered[order] = docs[order] > least
+    return covered
 
 
 def _merge_spans(docs, ties, starts, ends):
@@ -190,8 +229,10 @@ _ROW = "shard int, kind int, blob binary"
 
 def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> DataFrame:
     """doc, tie, spans (start and end of each covered range as 64-bit integers) of each document with any."""
-    bits = max(4, min(17, (input_bytes(texts) // (2 << 20)).bit_length())) if shards is None else shards.bit_length() - 1
+    # a shard is for some 2 MB of text, whatever the size of the input; a task takes shards one after the other
+    bits = max(4, (input_bytes(texts) // (2 << 20)).bit_length()) if shards is None else shards.bit_length() - 1
     n_shards = 1 << bits
+    n_parts = min(n_shards, MOST_PARTS)
 
     def collect_anchors(batches):
         parts, held = [], 0
@@ -249,7 +290,7 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
                     continue
                 docs, tie = ids[a:b][owner], ties[a:b][owner]
                 prints = RangeHash(raw)(first, last + SPAN) + (places - first).astype(np.uint64)
-                covered, _ = _settled(prints, docs)
+                covered = _settled(prints, _segments(raw, first, last - first + SPAN, places - first), docs)
                 at = first - cut[owner]
                 yield _span_blobs(1, n_shards, docs[covered], tie[covered], at[covered], (at + last - first + SPAN)[covered])
                 on = np.flatnonzero(~covered)
@@ -264,98 +305,124 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "kind", "blob"])
 
     def compare(blobs):
-        parts = []
-        for blob in blobs:
+        """Covered ranges from all segments of a shard: batches of segments go into one family, then strings into another."""
+        family, parts, held = SuffixFamily(), [], 0
+        docs, ties, at, delta, sizes = [], [], [], [], []
+
+        def spans(found):
+            d, t, a, n = (np.concatenate(x) for x in (docs, ties, at, sizes))
+            return d[found], t[found], a[found], a[found] + n[found]
+
+        for k, blob in enumerate(blobs):
             size = int.from_bytes(blob[:8], "little")
-            docs, ties, at, delta, sizes = _unpack_columns(blob[8 : 8 + size], np.int64, np.int64, np.int64, np.uint8, np.uint8)[:5]
-            raw, sizes, delta = _unpack_columns(blob[8 + size :], np.uint8)[0], sizes.astype(np.int64), delta.astype(np.int64)
-            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            span = RangeHash(raw)
-            keys = span(first + delta, first + delta + GRAM)
-            parts.append((raw, first, sizes, docs, ties, at, span(first, first + sizes) + delta.astype(np.uint64), keys))
-        # strings meet under one anchor only: a few anchors at a time
-        rounds = -(-sum(len(p[0]) for p in parts) // PORTION)
-        for k in range(rounds):
-            picked = [np.flatnonzero(p[7] % np.uint64(rounds) == k) for p in parts]
-            raw = np.concatenate([_gather(p[0], p[1][i], p[2][i]) for p, i in zip(parts, picked, strict=True)])
-            yield compare_portion(raw, *(np.concatenate([p[c][i] for p, i in zip(parts, picked, strict=True)]) for c in range(2, 8)))
-
-    def compare_portion(raw, sizes, docs, ties, at, prints, keys):
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        covered, kind = _settled(prints, docs)
-        out = [(docs[covered], ties[covered], at[covered], (at + sizes)[covered])]
-        # anchors with segments of more than one kind: their strings are compared one by one
-        unique, place = np.unique(keys, return_inverse=True)
-        several = np.bincount(place[kind], minlength=len(unique))[place] > 1
-        index = np.flatnonzero(kind & several)
-        family = SuffixFamily()
-
-        def strings(rows):
-            n = sizes[rows] - SPAN + 1
-            starts = np.repeat(first[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-            view = np.lib.stride_tricks.sliding_window_view(raw, SPAN)[starts]
-            return np.ascontiguousarray(view).view(f"S{SPAN}").ravel(), np.repeat(rows, n), starts
-
-        for x in range(0, len(index), 8192):
-            texts_, rows, _ = strings(index[x : x + 8192])
-            family.insert(texts_, docs[rows])
-        ask = np.flatnonzero(~covered & several)
-        for x in range(0, len(ask), 8192):
-            texts_, rows, starts = strings(ask[x : x + 8192])
-            hit = family.scan(texts_) < docs[rows]
-            rows, begin = rows[hit], (starts - first[rows] + at[rows])[hit]
-            out.append((docs[rows], ties[rows], begin, begin + SPAN))
-        return _merge_spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
+            for column, values in zip((docs, ties, at, delta, sizes), _unpack_columns(blob[8 : 8 + size], np.int64, np.int64, np.int64, np.uint8, np.uint8), strict=False):
+                column.append(values.astype(np.int64))
+            raw = _unpack_columns(blob[8 + size :], np.uint8)[0]
+            first = np.concatenate(([0], np.cumsum(sizes[-1])[:-1]))
+            parts.append(_segments(raw, first, sizes[-1], delta[-1]))
+            if (waiting := sum(map(len, parts))) >= BATCH or k == len(blobs) - 1:
+                keys = np.ascontiguousarray(np.concatenate(parts)).view(f"S{WIDEST + 2}").ravel()
+                covered = family.insert(keys, np.concatenate(docs)[held : held + waiting], np.arange(held, held + waiting))
+                parts, held = [], held + waiting
+                if len(covered):
+                    yield spans(covered)
+        if not held:
+            return
+        # what is left is one kind of segment for each record; kinds under one anchor are compared string by string
+        docs, ties, at, delta, sizes = ([np.concatenate(x)] for x in (docs, ties, at, delta, sizes))
+        strings = [k for k, _, _ in family.levels]
+        rows = family.rows()
+        records = np.concatenate(strings).view(np.uint8).reshape(-1, WIDEST + 2)[:, 2:]
+        del family, strings
+        begin = delta[0][rows]
+        prints = RangeHash(records.ravel())(np.arange(len(rows)) * WIDEST + begin, np.arange(len(rows)) * WIDEST + begin + GRAM)
+        order = np.lexsort((docs[0][rows], prints))
+        new = np.concatenate(([True], prints[order][1:] != prints[order][:-1]))
+        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+        order, group = order[several], (np.cumsum(new) - 1)[several]
+        # strings meet under one anchor only: whole anchors until a portion is full, each portion with a family of its own
+        weight = np.cumsum(sizes[0][rows[order]])
+        cut = [0]
+        for end in np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1 if len(order) else []:
+            if weight[end - 1] - (weight[cut[-1] - 1] if cut[-1] else 0) >= PORTION or end == len(order):
+                cut.append(int(end))
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            own, family = order[x:y], SuffixFamily()
+            n = sizes[0][rows[own]] - SPAN + 1
+            for u, v in blocks(n, BATCH):
+                number = np.repeat(np.arange(u, v), n[u:v])
+                shift = np.arange(len(number)) - np.repeat(np.cumsum(n[u:v]) - n[u:v], n[u:v])
+                view = np.lib.stride_tricks.sliding_window_view(records.ravel(), SPAN)[own[number] * WIDEST + shift]
+                # a string is told from a shorter one with zero bytes at its end by its width, which all share
+                keys = np.ascontiguousarray(view).view(f"S{SPAN}").ravel()
+                row = rows[own[number]]
+                covered = family.insert(keys, docs[0][row], row * 64 + shift)
+                if len(covered):
+                    row, shift = covered >> 6, covered & 63
+                    start = at[0][row] + shift
+                    yield docs[0][row], ties[0][row], start, start + SPAN
 
     def settle_shards(batches):
-        waiting: dict[int, list] = {}
+        def done(shard, blobs):
+            for found in compare(blobs):
+                yield _span_blobs(1, n_shards, *found)
+
+        now, blobs = None, []
         for batch in batches:
             for shard, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if kind:
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], ["shard", "kind", "blob"])
-                else:
-                    waiting.setdefault(shard, []).append(blob)
-        for shard in sorted(waiting):
-            for spans in compare(waiting.pop(shard)):
-                yield _span_blobs(1, n_shards, *spans)
+                    continue
+                if shard != now:
+                    yield from done(now, blobs)
+                    now, blobs = shard, []
+                blobs.append(blob)
+        yield from done(now, blobs)
 
     segments = texts.mapInArrow(collect_segments, _ROW)
     # ranges that a task has settled go round the comparison; only their shard of documents matters
-    spans = segments.repartition(n_shards, "shard").mapInArrow(settle_shards, _ROW)
+    spans = segments.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(settle_shards, _ROW)
 
     def by_document(batches):
-        held: dict[int, list] = {}
+        now, held = None, []
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.setdefault(shard, []).append(_unpack_columns(blob, *[np.int64] * 4)[:4])
-                if len(held[shard]) > 64:
-                    held[shard] = [_merge_spans(*(np.concatenate(x) for x in zip(*held[shard], strict=True)))]
-        for shard in sorted(held):
-            docs, ties, starts, ends = _merge_spans(*(np.concatenate(x) for x in zip(*held.pop(shard), strict=True)))
+                if shard != now:
+                    yield from ranges(held)
+                    now, held = shard, []
+                held.append(_unpack_columns(blob, *[np.int64] * 4)[:4])
+                if len(held) > 64:
+                    held = [_merge_spans(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+        yield from ranges(held)
+
+    def ranges(held):
+        if held:
+            docs, ties, starts, ends = _merge_spans(*(np.concatenate(x) for x in zip(*held, strict=True)))
             cut = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (ties[1:] != ties[:-1]), [True]))) if len(docs) else np.zeros(1, np.int64)
             both = np.column_stack((starts, ends))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs[cut[:-1]]), pa.array(ties[cut[:-1]]), pa.array([both[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc", "tie", "spans"]
             )
 
-    merged_ = spans.repartition(n_shards, "shard").mapInArrow(by_document, "doc long, tie long, spans binary")
+    merged_ = spans.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(by_document, "doc long, tie long, spans binary")
     out = settle(merged_, folder, "spans")
     release(texts.sparkSession)
     return out
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """doc, tie and text (binary) of every row; tie is 0 unless some id comes more than once."""
-    repeated = documents.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    tie = "coalesce(xxhash64(text), 0L)" if repeated else "0L"
-    return documents.selectExpr(f"coalesce(cast(doc_id AS long), {LAST}L) AS doc", f"{tie} AS tie", "cast(text AS binary) AS text")
+    """doc_id, doc, tie and text (binary) of every row; tie is 0 unless some id comes more than once."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    repeated = documents.groupBy(doc.alias("doc")).count().where("count > 1").limit(1).count()
+    tie = F.coalesce(F.xxhash64("text"), F.lit(0)) if repeated else F.lit(0)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), tie.cast("long").alias("tie"), F.col("text").cast("binary").alias("text"))
 
 
 def remove_spans(documents: DataFrame, digests: bool = True, folder: str | None = None, shards: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or kept, the bytes) of every row."""
     folder = folder or shared_folder(documents.sparkSession)
-    texts = _keyed(documents)
-    spans = covered_spans(texts, folder, shards)
+    rows = _keyed(documents)
+    spans = covered_spans(rows.drop("doc_id"), folder, shards)
 
     def kernel(batches):
         for batch in batches:
@@ -374,7 +441,7 @@ def remove_spans(documents: DataFrame, digests: bool = True, folder: str | None
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(columns[k], pa.int64()) for k in range(3)), pa.array(columns[3], pa.string() if digests else pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", last])
 
     last = "kept_sha256" if digests else "kept"
-    joined = texts.join(spans, ["doc", "tie"], "left").selectExpr(f"nullif(doc, {LAST}L) AS doc_id", "text", "spans")
+    joined = rows.join(spans, ["doc", "tie"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(kernel, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {'string' if digests else 'binary'}")
 
 
