@@ -76,3 +76,22 @@ def test_wrapped_and_embedded_notices(spark):
     }
     df = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
     assert {r.path: r.license for r in m.scan(df).collect()} == {p: k for p, (_, k) in files.items()}
+
+
+def test_rows_with_one_path(spark):
+    """Two files of one path are two files: their lines do not mix, and each keeps its own licence."""
+    rows = [("a/x", "Released under the MIT License"), ("a/x", "Licensed under the Apache License, Version 2.0"), ("a/x", "code\nmore"), (None, "All rights reserved"), (None, None)]
+    got = sorted(((r.path, r.license, r.how) for r in m.scan(spark.createDataFrame(rows, "path string, text string")).collect()), key=str)
+    assert [g[1:] for g in got if g[0] == "a/x"] == [("Apache-2.0", "inherited"), ("Apache-2.0", "own"), ("MIT", "own")]
+
+
+def test_identifiers_and_further_licences(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    files = {
+        "a/x.c": ("// SPDX-License-Identifier: GPL-2.0-only\nint x;", "GPL-2.0"), "b/x.py": ("# SPDX-License-Identifier: MPL-2.0\nx = 1", "MPL-2.0"), "c/LICENSE": (isc, "ISC"),
+        "d/UNLICENSE": ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", "Unlicense"),
+        "e/z.h": ("/*\n * This software is provided 'as-is', without any express or implied\n * warranty. In no event will the authors be held liable for any damages\n * arising from the use of this software.\n */", "Zlib"),
+        "f/x": ("an spdx license identifier mit is a line of a header", None),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
+    assert {r.path: r.license for r in m.scan(df).collect()} == {p: k for p, (_, k) in files.items()}

@@ -16,7 +16,8 @@ without a licence of its own takes that of its nearest ancestor directory with o
 ancestors of distinct directories with the licensed directories.
 
 Null and empty texts have no licence of their own; a null path is a file at the root with an empty name. Rows
-with one path are one file. Ties go to the template listed first, then to the first line; between licence
+with one path but different texts are different files, told apart by a hash of the text; equal rows get equal
+results. Very long texts are whole, extra columns are not read, an empty table gives an empty table. Ties go to the template listed first, then to the first line; between licence
 files of one directory to the best cosine, then to the least licence name.
 """
 
@@ -45,6 +46,13 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
     ("Proprietary", "All rights reserved"),
 )
 THRESHOLD = 0.75
@@ -53,8 +61,14 @@ TITLES = (
     ("Apache-2.0", "Apache License Version 2.0"), ("Apache-2.0", "Apache License, Version 2"), ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "MIT License (MIT)"), ("MIT", "The MIT License (MIT)"),
     ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "The 3-Clause BSD License"), ("GPL-3.0", "GNU General Public License"), ("GPL-3.0", "GNU General Public License Version 3"),
     ("LGPL-3.0", "GNU Lesser General Public License"), ("LGPL-3.0", "GNU Lesser General Public License Version 3"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("AGPL-3.0", "GNU Affero General Public License"), ("AGPL-3.0", "GNU Affero General Public License Version 3"), ("ISC", "ISC License"), ("Zlib", "zlib License"), ("EPL-2.0", "Eclipse Public License v 2.0"),
+    ("BSL-1.0", "Boost Software License Version 1.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("Unlicense", "The Unlicense"),
     ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"), ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"), ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
 )
+#: Identifiers of the SPDX list that a header line may name after "SPDX-License-Identifier:".
+IDENTIFIERS = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "ISC", "Zlib", "Unlicense", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SUFFIXES = ("", " only", " or later")
+TITLES += tuple((name, f"SPDX License Identifier {name}{suffix}") for name in IDENTIFIERS for suffix in (SUFFIXES if "GPL" in name else ("",)))
 SLACK = 2
 #: Notices of fewer terms have to stand whole in a window.
 SHORT = 5
@@ -101,32 +115,32 @@ def scan_lines(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHO
     spark = files.sparkSession
     idf, other, units = vectors(templates)
     marks = "|".join(anchors(units, threshold))
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = files.select("path", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.col("line").rlike(rf"(?i)(?<![a-z0-9])(?:{marks})(?![a-z0-9])"))
     # a cosine is at most the length of the part of the template's vector whose terms the line has
     every = F.array(*(F.lit(t) for t in sorted(idf)))
     squares = F.array(*(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(w * w).alias("square")) for t, w in sorted(u.items()))) for u in units))
     own = F.regexp_extract_all(ascii_lower(F.col("line")), F.lit(TERM), F.lit(0))
     # generators keep the optimizer from writing these expressions into the lambda below, term by term
-    lines = lines.select("path", "line_no", F.explode(F.array(own)).alias("terms"))
-    lines = lines.select("path", "line_no", "terms", F.explode(F.array(F.array_intersect("terms", every))).alias("shared"))
+    lines = lines.select("path", "tie", "line_no", F.explode(F.array(own)).alias("terms"))
+    lines = lines.select("path", "tie", "line_no", "terms", F.explode(F.array(F.array_intersect("terms", every))).alias("shared"))
     zero = F.lit(0.0)
     reach = F.exists(squares, lambda u: F.aggregate(u, zero, lambda a, s: a + F.when(F.array_contains("shared", s["term"]), s["square"]).otherwise(zero)) >= threshold**2 - 1e-9)
-    words = lines.where(reach).select("path", "line_no", F.explode("terms").alias("term"))
-    counted = words.groupBy("path", "line_no", "term").agg(F.count("*").alias("tf"))
+    words = lines.where(reach).select("path", "tie", "line_no", F.explode("terms").alias("term"))
+    counted = words.groupBy("path", "tie", "line_no", "term").agg(F.count("*").alias("tf"))
     # both tables have a row for each term of the templates at most
     weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     entries = spark.createDataFrame([(t, k, w) for k, u in enumerate(units) for t, w in sorted(u.items())], "term string, template int, unit double")
     weighed = counted.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     shares = entries.groupBy("term").agg(F.collect_list(F.struct("template", "unit")).alias("of"))
-    per = weighed.join(F.broadcast(shares), "term", "left").groupBy("path", "line_no")
+    per = weighed.join(F.broadcast(shares), "term", "left").groupBy("path", "tie", "line_no")
     # a line's terms are few: its sparse vector is gathered once and met with the templates' vectors
     per = per.agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.flatten(F.collect_list(F.transform(F.coalesce("of", F.array().cast("array<struct<template:int,unit:double>>")), lambda s: F.struct(s["template"].alias("template"), (s["unit"] * F.col("w")).alias("part"))))).alias("parts"))
-    dots = per.select("path", "line_no", F.sqrt("square").alias("norm"), F.explode("parts").alias("p")).groupBy("path", "line_no", "norm", "p.template").agg(F.sum("p.part").alias("dot"))
-    scored = dots.select("path", "line_no", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = scored.groupBy("path", "line_no").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "template")).alias("b"))
+    dots = per.select("path", "tie", "line_no", F.sqrt("square").alias("norm"), F.explode("parts").alias("p")).groupBy("path", "tie", "line_no", "norm", "p.template").agg(F.sum("p.part").alias("dot"))
+    scored = dots.select("path", "tie", "line_no", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
+    best = scored.groupBy("path", "tie", "line_no").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "template")).alias("b"))
     names = F.element_at(F.array(*(F.lit(k) for k, _ in templates)), F.col("b.template") + 1)
-    return best.select("path", "line_no", "b.template", names.alias("license"), (-F.col("b.less")).alias("cosine"))
+    return best.select("path", "tie", "line_no", "b.template", names.alias("license"), (-F.col("b.less")).alias("cosine"))
 
 
 def scan_windows(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, titles=TITLES) -> DataFrame:
@@ -150,19 +164,19 @@ def scan_windows(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     for term, k, back, size in laid:
         by.setdefault(term, []).append(f"struct({k} AS template, {back} AS back, {size} AS size)")
     # a file is looked at if it has an anchor or the last term of a title
-    some = sorted({t for t, k, *_ in laid if k < len(templates)} | {terms(text)[-1] for _, text in titles if not terms(text)[-1].isdigit()} | {"apache", "mozilla", "gnu", "creative", "bsd", "mit"})
+    some = sorted({t for t, k, *_ in laid if k < len(templates)} | {terms(text)[-1] for _, text in titles if not terms(text)[-1].isdigit()} | {"apache", "mozilla", "gnu", "creative", "bsd", "mit", "spdx", "isc", "zlib", "eclipse", "boost", "unlicense"})
     held = files.where(F.col("text").rlike(rf"(?i)(?<![a-z0-9])(?:{'|'.join(some)})(?![a-z0-9])"))
     own = F.regexp_extract_all(ascii_lower(F.col("x")), F.lit(TERM), F.lit(0))
-    lines = held.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "x")).select("path", "line_no", own.alias("ts")).where(F.size("ts") > 0)
+    lines = held.select("path", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "x")).select("path", "tie", "line_no", own.alias("ts")).where(F.size("ts") > 0)
     # terms of a file in order, with their lines; rows with one path are one file
-    every = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "ts"))).alias("all"))
-    every = every.select("path", F.expr("flatten(transform(all, l -> transform(l.ts, t -> struct(l.line_no AS l, t AS t))))").alias("terms"))
+    every = lines.groupBy("path", "tie").agg(F.array_sort(F.collect_list(F.struct("line_no", "ts"))).alias("all"))
+    every = every.select("path", "tie", F.expr("flatten(transform(all, l -> transform(l.ts, t -> struct(l.line_no AS l, t AS t))))").alias("terms"))
     case = " ".join(f"WHEN '{t}' THEN array({', '.join(v)})" for t, v in sorted(by.items()))
     marks = ", ".join(f"'{t}'" for t in sorted(by))
-    places = every.select("path", "terms", F.expr(f"filter(transform(terms, (s, i) -> struct(s.t AS t, i AS i)), s -> s.t IN ({marks}))").alias("at")).where(F.size("at") > 0)
+    places = every.select("path", "tie", "terms", F.expr(f"filter(transform(terms, (s, i) -> struct(s.t AS t, i AS i)), s -> s.t IN ({marks}))").alias("at")).where(F.size("at") > 0)
     windows = f"""flatten(transform(at, a -> transform(filter(CASE a.t {case} END, w -> a.i >= w.back AND a.i - w.back + w.size <= size(terms)),
         w -> struct(w.template AS template, slice(terms, a.i - w.back + 1, w.size) AS part, get(terms, a.i - w.back - 1) AS before, get(terms, a.i - w.back + w.size) AS after))))"""
-    cut = places.select("path", F.explode(F.expr(windows)).alias("w")).select("path", "w.template", F.expr("w.before.l").alias("before"), F.expr("w.after").alias("after"), F.expr("w.part.t").alias("ts"), F.expr("w.part.l").alias("ls"))
+    cut = places.select("path", "tie", F.explode(F.expr(windows)).alias("w")).select("path", "tie", "w.template", F.expr("w.before.l").alias("before"), F.expr("w.after").alias("after"), F.expr("w.part.t").alias("ts"), F.expr("w.part.l").alias("ls"))
     weights = F.create_map(*(F.lit(x) for t, w in sorted(idf.items()) for x in (t, w)))
     # get() is null outside of its array: filters may be taken in any order
     vector = F.get(F.array(*(F.create_map(*(F.lit(x) for t, w in sorted(u.items()) for x in (t, w))) for u in units)), "template")
@@ -179,28 +193,28 @@ def scan_windows(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     last = F.element_at("ls", -1)
     ends = F.col("after").isNull() | (last < F.col("after.l")) & ~F.col("after.t").isin("version", "v") | F.element_at("ts", -1).rlike("^[0-9]+$")
     named = cut.where(F.col("template") >= len(templates)).where((F.col("ts") == title) & alone & ends).withColumn("cosine", F.lit(1.0))
-    columns = ["path", "template", "cosine", "before", "after", "ls"]
+    columns = ["path", "tie", "template", "cosine", "before", "after", "ls"]
     found = noted.select(*columns).unionByName(named.select(*columns)).select("*", F.explode(F.array_distinct("ls")).alias("line_no"))
     whole = (F.col("before").isNull() | (F.col("before") < F.col("line_no"))) & (F.col("after").isNull() | (F.col("after.l") > F.col("line_no")))
     names = F.element_at(F.array(*(F.lit(k) for k, _ in (*templates, *titles))), F.col("template") + 1)
-    return found.select("path", "line_no", "template", names.alias("license"), "cosine", whole.alias("whole"))
+    return found.select("path", "tie", "line_no", "template", names.alias("license"), "cosine", whole.alias("whole"))
 
 
-def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
-    """path, license, cosine, how (own, inherited or null) and licensed_by (a directory) of every row."""
+def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, folder: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """`carried`, path, license, cosine, how (own, inherited or null) and licensed_by (a directory) of every row."""
     folder = folder or shared_folder(files.sparkSession)
-    files = files.select(F.coalesce("path", F.lit("")).alias("path"), "text")
+    files = files.select(*carried, F.coalesce("path", F.lit("")).alias("path"), F.xxhash64("text").alias("tie"), "text")
     found = scan_lines(files, templates, threshold).withColumn("whole", F.lit(True)).unionByName(scan_windows(files, templates, threshold))
     found = settle(found, folder, "lines")
-    own = found.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "template", "line_no", "license")).alias("b"), F.count_distinct(F.when(F.col("whole"), F.col("line_no"))).alias("n_notices"))
-    own = settle(own.select("path", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"), "n_notices"), folder, "own")
+    own = found.groupBy("path", "tie").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "template", "line_no", "license")).alias("b"), F.count_distinct(F.when(F.col("whole"), F.col("line_no"))).alias("n_notices"))
+    own = settle(own.select("path", "tie", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"), "n_notices"), folder, "own")
 
     directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
     name = F.substring_index("path", "/", -1)
     # files all of whose lines with words are notices; only files with a notice are looked at
-    sizes = files.select("path", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).alias("n"))
-    sizes = sizes.join(own.select("path"), "path", "left_semi").groupBy("path").agg(F.max("n").alias("n_lines"))
-    holders = own.join(sizes, "path").where(name.rlike(LICENSE_FILE) | (F.col("n_lines") <= F.col("n_notices")))
+    sizes = files.select("path", "tie", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).alias("n"))
+    sizes = sizes.join(own.select("path", "tie"), ["path", "tie"], "left_semi").groupBy("path", "tie").agg(F.max("n").alias("n_lines"))
+    holders = own.join(sizes, ["path", "tie"]).where(name.rlike(LICENSE_FILE) | (F.col("n_lines") <= F.col("n_notices")))
     licensed = holders.select(directory.alias("licensed_by"), "license", "cosine").groupBy("licensed_by").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("b"))
     licensed = settle(licensed.select("licensed_by", F.col("b.license").alias("dir_license")), folder, "directories")
 
@@ -211,15 +225,14 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, fo
     nearest = climbed.groupBy("dir").agg(F.max(F.struct("depth", "licensed_by", "dir_license")).alias("b"))
     nearest = settle(nearest.select("dir", "b.licensed_by", "b.dir_license"), folder, "nearest")
 
-    rows = files.select("path", directory.alias("dir")).join(own.drop("n_notices"), "path", "left").join(nearest, "dir", "left")
+    rows = files.select(*carried, "path", "tie", directory.alias("dir")).join(own.drop("n_notices"), ["path", "tie"], "left").join(nearest, "dir", "left")
     how = F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited")
     by = F.when(F.col("license").isNull(), F.col("licensed_by"))
-    return rows.select("path", F.coalesce("license", "dir_license").alias("license"), "cosine", how.alias("how"), by.alias("licensed_by"))
+    return rows.select(*carried, "path", F.coalesce("license", "dir_license").alias("license"), "cosine", how.alias("how"), by.alias("licensed_by"))
 
 
 def op5_license_scans(spark, sf_dir: str) -> DataFrame:
     """Contract query: every document as a file source/lang/doc_id."""
     documents = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    rows = scan(documents.select(path.alias("path"), "text"))
-    return rows.withColumn("doc_id", F.expr("try_cast(substring_index(path, '/', -1) AS long)"))
+    return scan(documents.select("doc_id", path.alias("path"), "text"), carried=("doc_id",))
