@@ -5,8 +5,8 @@ similarity of at least `percent` with it; this is judged on the input, so an ear
 goes itself or not. Every link between two lines counts, also those between later lines.
 
 1. Words are counted over all texts in a sketch of 2 ** 16 counters; a word's count is at most its counter. A
-   line's tokens are ordered rarest first: by the counter's logarithm, then longer words first, then by hash.
-   The order is global, which is all that exactness needs.
+   line's tokens are ordered rarest first: by the counter's logarithm, then by hash. The order is global, which
+   is all that exactness needs.
 2. Lines with equal sets become one class, led by its earliest line, whatever their number.
 3. Two sets that are similar enough share a token of their prefixes (n - ceil(percent * n) + 1 tokens).
    Classes meet in the prefix index under a length, a positional and a parity-bitmap filter (none loses a
@@ -48,8 +48,11 @@ LEAST_WORDS = 18
 BLANKS = "replace(replace(replace(replace({}, '\t', ' '), '\x0B', ' '), '\f', ' '), '\r', ' ')"
 WORDS = "array_remove(split({}, ' '), '')"
 ID = ["doc", "tie", "line"]
-#: The parity bitmap of a set: 128 bits, each the parity of the tokens that fall on it.
+#: The parity bitmap of a set: 64 bits, each the parity of the tokens that fall on it. Sets of more than `NARROW`
+#: words have the part of it that falls to tokens with one further bit beside, which makes 128.
 BITS = ["b0", "b1"]
+NARROW = 96
+PLACES = (1 << 32) - 1
 
 
 def _keyed(documents: DataFrame, *more, once: bool = False) -> DataFrame:
@@ -64,19 +67,18 @@ def rarity_levels(texts: DataFrame):
     """The sketch as a column: for each counter three times the logarithm of its words' count."""
     words = texts.selectExpr(f"explode(split(replace({BLANKS.format('text')}, '\n', ' '), ' ')) AS w").where("w <> ''")
     counts = words.selectExpr(f"shiftrightunsigned(xxhash64(w), {64 - COUNTER_BITS}) AS id").groupBy("id").count()
-    level = F.least(F.lit(126), F.round(3 * F.log2("count")).cast("int"))
+    level = F.shiftleft(F.least(F.lit(126), F.round(3 * F.log2("count"))).cast("long"), 56)
     every = texts.sparkSession.range(0, 1 << COUNTER_BITS, 1, 4).join(counts, "id", "left").select("id", F.coalesce(level, F.lit(0)).alias("level"))
     # 2 ** COUNTER_BITS numbers, whatever the input
     held = every.agg(F.expr("array_join(transform(array_sort(collect_list(struct(id, level))), x -> x.level), ',')")).first()[0]
-    return F.split(F.lit(held), ",").cast("array<short>")
+    return F.split(F.lit(held), ",").cast("array<long>")
 
 
 def tokenised(lines: DataFrame, levels, *carried: str) -> DataFrame:
-    """`carried` and toks, the ordered distinct tokens of the column own (level 7 bits, length 6, hash 50)."""
-    hashed = f"array_distinct(transform({WORDS.format('own')}, w -> (xxhash64(w) & -64L) | cast(63 - least(octet_length(w), 63) AS long)))"
+    """`carried` and toks, the ordered distinct tokens of the column own: the level of the counter, then 56 bits of the hash."""
+    hashed = "array_remove(array_distinct(transform(split(own, ' '), w -> xxhash64(w))), xxhash64(''))"
     lines = lines.withColumn("levels", levels).selectExpr(*carried, "levels", f"{hashed} AS hs")
-    level = f"cast(element_at(levels, cast(shiftrightunsigned(h, {64 - COUNTER_BITS}) AS int) + 1) AS long)"
-    return lines.selectExpr(*carried, f"sort_array(transform(hs, h -> shiftleft({level}, 56) | shiftleft(h & 63L, 50) | shiftrightunsigned(h, 14))) AS toks")
+    return lines.selectExpr(*carried, f"sort_array(transform(hs, h -> coalesce(get(levels, cast(shiftrightunsigned(h, {64 - COUNTER_BITS}) AS int)), 0L) | shiftrightunsigned(h, 8))) AS toks")
 
 
 def _prefix(n: str, percent: int) -> str:
@@ -89,7 +91,10 @@ def line_sets(texts: DataFrame, levels, percent: int) -> DataFrame:
     lines = tokenised(lines, levels, *ID)
     # a set smaller than this has no similar set but itself
     alone = 100 * percent // (100 - percent) if percent < 100 else 10**9
-    bits = (f"aggregate(toks, 0L, (a, t) -> CASE WHEN (t & 64L) = {64 * k}L THEN a ^ shiftleft(1L, cast(t & 63L AS int)) ELSE a END) AS b{k}" for k in range(2))
+    bits = [
+        "aggregate(toks, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L AS int))) AS b0",
+        f"CASE WHEN size(toks) > {NARROW} THEN aggregate(toks, 0L, (a, t) -> CASE WHEN (t & 64L) = 0 THEN a ELSE a ^ shiftleft(1L, cast(t & 63L AS int)) END) ELSE 0L END AS b1",
+    ]
     return lines.selectExpr(*ID, "size(toks) AS n", "xxhash64(toks) AS key", "xxhash64(1, toks) AS key2", *bits, f"CASE WHEN size(toks) * 100 < {alone} THEN slice(toks, 1, 0) ELSE slice(toks, 1, cast({_prefix('size(toks)', percent)} AS int)) END AS prefix")
 
 
@@ -105,8 +110,9 @@ def _earlier(y: str, x: str) -> str:
 def _fetch(texts: DataFrame, wanted: DataFrame, folder: str, name: str, *carried: str) -> DataFrame:
     """`carried`, doc, tie, line and own (the line itself) of the wanted lines (which have doc, tie, line)."""
     per = settle(wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("line", *carried)).alias("lines")), folder, name)  # lines of one text
-    found = texts.join(per, ["doc", "tie"]).selectExpr("doc", "tie", f"split({BLANKS.format('text')}, '\\n') AS every", "lines")
-    return found.selectExpr("doc", "tie", "explode(transform(lines, l -> struct(l AS l, element_at(every, l.line + 1) AS own))) AS e").selectExpr(*(f"e.l.{c} AS {c}" for c in carried), "doc", "tie", "e.l.line AS line", "e.own AS own")
+    found = texts.join(per, ["doc", "tie"]).selectExpr("doc", "tie", "split(text, '\\n') AS every", "lines")
+    found = found.selectExpr("doc", "tie", "explode(transform(lines, l -> struct(l AS l, element_at(every, l.line + 1) AS own))) AS e")
+    return found.selectExpr(*(f"e.l.{c} AS {c}" for c in carried), "doc", "tie", "e.l.line AS line", f"{BLANKS.format('e.own')} AS own")
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -120,15 +126,17 @@ def _summed(links: DataFrame) -> DataFrame:
 
 
 def _triples(toks: str, first: str, last: str) -> str:
-    return f"explode(CASE WHEN {last} >= {first} THEN transform(sequence({first}, {last}), i -> xxhash64(slice({toks}, i, 3))) ELSE array() END) AS t"
+    return f"CASE WHEN {last} >= {first} THEN transform(sequence({first}, {last}), i -> xxhash64(get({toks}, i - 1), get({toks}, i), get({toks}, i + 1))) END AS ts"
 
 
 def clusters(classes: DataFrame, texts: DataFrame, levels, percent: int, folder: str) -> DataFrame:
     """cid, kid, k (size of the centre), d, a, feats (words missing and added), copies and id of members of crowded groups."""
     wide = classes.where(f"n >= {LEAST_WORDS}")
     triples = wide.selectExpr("cid", _triples("prefix", f"greatest(1, size(prefix) - {TRIPLES + 1})", "size(prefix) - 2"))
-    crowds = settle(triples.groupBy("t").count().where(f"count >= {CROWD}"), folder, "crowds")
-    crowded = settle(triples.join(crowds, "t").select("cid", "t", "count"), folder, "crowded")
+    # a class counts for its least and its greatest triple; near copies share one of them often enough
+    ends = triples.selectExpr("explode(array(array_min(ts), array_max(ts))) AS t").where("t IS NOT NULL")
+    crowds = settle(ends.groupBy("t").count().where(f"count >= {CROWD}"), folder, "crowds")
+    crowded = settle(triples.selectExpr("cid", "explode(ts) AS t").join(crowds, "t").select("cid", "t", "count"), folder, "crowded")
     home = crowded.groupBy("cid").agg(F.max(F.struct("count", "t")).alias("h")).select("cid", F.col("h.t").alias("t"))
     wanted = classes.select("cid", "copies", *ID).join(home, "cid")
     sets = settle(tokenised(_fetch(texts, wanted, folder, "crowd-lines", "cid", "copies", "t"), levels, "cid", "copies", "t", *ID), folder, "crowd-sets")
@@ -138,7 +146,7 @@ def clusters(classes: DataFrame, texts: DataFrame, levels, percent: int, folder:
     centres = votes.join(sizes, "t").where("2 * c > size").groupBy("t").agg(F.sort_array(F.collect_list("tok")).alias("centre"), F.first("size").alias("size"))
     centres = settle(centres.groupBy(F.xxhash64("centre").alias("kid")).agg(F.sum("size").alias("size"), F.min("centre").alias("centre")), folder, "centres")
     # a class goes to the largest centre that has one of its triples
-    of = centres.selectExpr("kid", "size", _triples("centre", "1", f"least(size(centre) - 2, cast({_prefix('size(centre)', percent)} AS int) + {TRIPLES})"))
+    of = centres.selectExpr("kid", "size", _triples("centre", "1", f"least(size(centre) - 2, cast({_prefix('size(centre)', percent)} AS int) + {TRIPLES})")).selectExpr("kid", "size", "explode(ts) AS t")
     best = of.groupBy("t").agg(F.max(F.struct("size", "kid")).alias("best"))
     chosen = crowded.join(best, "t").groupBy("cid").agg(F.max("best").alias("best")).select("cid", F.col("best.kid").alias("kid"))
     near = sets.drop("t").join(chosen, "cid").join(centres.select("kid", "centre"), "kid")
@@ -166,27 +174,37 @@ def links_within(members: DataFrame, percent: int, folder: str) -> list[DataFram
 
 def candidates(loose: DataFrame, members: DataFrame, percent: int, folder: str) -> DataFrame:
     """a, b: distinct pairs of classes, not of one cluster, that pass the filters of the prefix index."""
-    # the smaller set (of equal ones either) is found by its index prefix, the other probes with its whole prefix
+    # the smaller set (of equal ones that of the lesser cid) is found by its index prefix, the other probes with its whole prefix
     reach = lambda s: f"({s}.n - ({2 * percent} * {s}.n + {99 + percent}) div {100 + percent} + 1)"
     need = _needed("x.n", "y.n", percent)
+    smaller = "(y.n < x.n OR (y.n = x.n AND y.cid < x.cid))"
+    wide = "bit_count(x.b1 ^ y.b1) + bit_count(x.b0 ^ x.b1 ^ y.b0 ^ y.b1)"
     fits = [
         f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}",
-        f"bit_count(x.b0 ^ y.b0) + bit_count(x.b1 ^ y.b1) <= x.n + y.n - 2 * ({need})",
+        f"CASE WHEN least(x.n, y.n) > {NARROW} THEN {wide} ELSE bit_count(x.b0 ^ y.b0) END <= x.n + y.n - 2 * ({need})",
         f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {need}",
-        f"(CASE WHEN y.n < x.n OR (y.n = x.n AND y.cid < x.cid) THEN y.pos < {reach('y')} ELSE x.pos < {reach('x')} END)",
     ]
-    entries = [df.where("size(prefix) > 0").select("cid", "n", *BITS, *(c for c in df.columns if c == "kid"), F.posexplode("prefix").alias("pos", "tok")) for df in (loose, members)]
+    either = f"CASE WHEN {smaller} THEN y.pos < {reach('y')} ELSE x.pos < {reach('x')} END"
+    # one long holds size and place, to move fewer bytes
+    u, c = (df.select("cid", *BITS, *(c for c in df.columns if c == "kid"), F.shiftleft(F.col("n").cast("long"), 32).alias("at"), F.posexplode("prefix").alias("pos", "tok")).withColumn("at", F.col("at") + F.col("pos")).drop("pos") for df in (loose, members))
+
+    def met(x: DataFrame, y: DataFrame, *more: str) -> DataFrame:
+        on = " AND ".join(["x.tok = y.tok", *more, *fits])
+        for s in "xy":
+            on = on.replace(f"{s}.n", f"cast({s}.at >> 32 AS int)").replace(f"{s}.pos", f"cast({s}.at & {PLACES}L AS int)")
+        return x.alias("x").join(y.alias("y"), F.expr(on)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+
     parts = []
     for k in range(TURNS):
-        u, c = (e.where(F.pmod("tok", F.lit(TURNS)) == k) for e in entries)
-        # tokens of one cluster only bring no pair of members
-        mixed = c.groupBy("tok").agg(F.min("kid").alias("low"), F.max("kid").alias("high")).where("low <> high").select("tok")
-        cc = c.join(mixed, "tok", "left_semi")
-        for x, y, once in ((u, u, "x.cid < y.cid"), (u, c, "true"), (cc, cc, "x.cid < y.cid AND x.kid <> y.kid")):
-            met = x.alias("x").join(y.alias("y"), F.expr(" AND ".join(["x.tok = y.tok", once, *fits])))
-            parts.append(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
-        parts[-3:] = [settle(functools.reduce(DataFrame.union, parts[-3:]).distinct(), folder, f"met-{k}")]
+        own = u.where(F.pmod("tok", F.lit(TURNS)) == k)
+        found = F.expr(f"cast(at & {PLACES}L AS int) < {reach('own')}".replace("own.n", "cast(at >> 32 AS int)"))
+        parts.append(settle(met(own, own.where(found), smaller).distinct(), folder, f"met-{k}"))
         release(loose.sparkSession)
+    # members of clusters meet what is in none, and members of other clusters where a token is in several
+    mixed = c.groupBy("tok").agg(F.min("kid").alias("low"), F.max("kid").alias("high")).where("low <> high").select("tok")
+    several = c.join(mixed, "tok", "left_semi")
+    parts.append(met(u, c, either))
+    parts.append(met(several, several, "x.cid < y.cid", "x.kid <> y.kid", either))
     out = settle(functools.reduce(DataFrame.union, parts).distinct(), folder, "candidates")
     release(loose.sparkSession, folder, *(f"met-{k}" for k in range(TURNS)))
     return out
@@ -228,8 +246,9 @@ def linked_lines(documents: DataFrame, percent: int = 80, folder: str | None = N
     members = clusters(classes, texts, levels, percent, folder)
     links = [settle(df, folder, f"within-{k}") for k, df in enumerate(links_within(members, percent, folder))]
     wide = classes.where("size(prefix) > 0").select("cid", "n", *BITS, "prefix")
-    loose = wide.join(members.select("cid"), "cid", "left_anti")
-    pairs = candidates(loose, wide.join(members.select("cid", "kid"), "cid"), percent, folder)
+    loose = settle(wide.join(members.select("cid"), "cid", "left_anti"), folder, "loose")
+    pairs = candidates(loose, settle(wide.join(members.select("cid", "kid"), "cid"), folder, "clustered"), percent, folder)
+    release(spark, folder, "loose", "clustered")
     links.append(verified(pairs, classes, texts, percent, folder))
     linked = settle(_summed(functools.reduce(DataFrame.unionByName, links)), folder, "linked")
 
