@@ -62,14 +62,13 @@ def numbers(text: Column) -> Column:
 
 def line_type(line: Column) -> Column:
     """Type of one Markdown line, first rule wins."""
-    listed = line.rlike(r"^\s{0,3}(?:[-*+]\s+|[0-9]{1,3}[.)]\s+)")
+    listed = line.rlike(r"^\s*(?:[-+*]|\d+[.)]|\[\d{1,4}\])\s+")
     return (
-        F.when(line.rlike(r"^ {0,3}#{1,6}(?:\s|$)"), "heading")
+        F.when(line.rlike(r"^ {0,3}#{1,6}(?:[ \t]+|$)"), "heading")
         .when(line.rlike(r"^\s*(?:\$\$|\\\[)"), "equation")
         .when(line.rlike(r"^\s*\|") | ((F.regexp_count(line, F.lit(r"\|")) >= 2) & ~listed), "table")
-        .when(line.rlike(r"(?i)^\s*(?:\*\*)?(?:figure|fig\.|table)\s+[0-9]+"), "figure_caption")
-        .when(line.rlike(r"^\s*\[\^[^\]]+\]:"), "list")
-        .when(listed, "list")
+        .when(line.rlike(r"(?i)^\s*(?:\*{1,2})?(?:(?:supplementary|extended\s+data)\s+)?(?:figure|fig\.)\s*[A-Za-z0-9]+"), "figure_caption")
+        .when(listed | line.rlike(r"^\s*\[\^\d+\]:\s+"), "list")
         .otherwise("paragraph")
     )
 
