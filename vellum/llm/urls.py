@@ -2,8 +2,9 @@
 
 A rule (host, path prefix) fits its host and all subdomains; the longest that fits decides. Where none
 fits, an Aho-Corasick automaton finds the terms of a URL in one pass; a find counts where the characters
-on both sides are no letters or digits. One strict term, or as many distinct soft terms as `soft_limit`,
-blocks.
+on both sides are no letters or digits. One strict term blocks, and so do several distinct soft terms whose
+weights come to `soft_limit`. The vocabulary is a table of terms with weights; a weight of `STRICT_WEIGHT` or
+more makes a term strict. It travels to every task, so it is bounded by `MOST_TERMS`.
 
 A null URL, or one without ://, has an empty host and path, no rule and no terms, and is allowed.
 Repeated rows each come out; ids are only carried.
@@ -21,9 +22,22 @@ from vellum.llm.common import ascii_lower, table
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-STRICT = ("casino", "porn", "xxx", "viagra", "escort", "jackpot")
-SOFT = ("ads", "bet", "cheap", "click", "deal", "free", "loan", "pills", "poker", "prize", "track", "tracker", "win")
-SOFT_LIMIT = 2
+STRICT_WEIGHT, SOFT_LIMIT, MOST_TERMS = 10, 2.0, 1_000_000
+#: term -> weight, in ASCII lower case; the terms of one weight stand together
+VOCABULARY = {
+    **dict.fromkeys(("casino", "porn", "xxx", "viagra", "escort", "jackpot", "cialis", "camgirl", "hentai", "milf", "sexcam", "warez", "keygen"), 10.0),
+    **dict.fromkeys(("betting", "gambling", "slots", "roulette", "payday", "replica", "torrent", "cracked", "nude", "adult", "dating"), 1.5),
+    **dict.fromkeys(("ads", "bet", "cheap", "click", "deal", "free", "loan", "pills", "poker", "prize", "track", "tracker", "win"), 1.0),
+    **dict.fromkeys(("banner", "bonus", "coupon", "discount", "download", "promo", "sale", "sponsor", "affiliate", "popup"), 0.5),
+}
+
+
+def vocabulary_of(terms: DataFrame) -> dict[str, float]:
+    """A vocabulary from a table (term, weight): lower-cased, the greatest weight of a term; nulls and empty terms are left out."""
+    rows = terms.where("term <> '' AND weight IS NOT NULL").groupBy(ascii_lower(F.col("term")).alias("term")).agg(F.max(F.col("weight").cast("double")).alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return {r.term: r.weight for r in rows}
 
 
 def split_url(url):
@@ -45,47 +59,47 @@ def rule_columns(rules=RULES):
     return named, said
 
 
-def automaton(strict=STRICT, soft=SOFT):
+def automaton(vocabulary: dict[str, float] = VOCABULARY):
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, terms in ((1, strict), (0, soft)):
-        for term in terms:
-            found.add_word(term, (kind, term))
+    for term in vocabulary:
+        found.add_word(term, term)
     found.make_automaton()
     return found
 
 
-def count_terms(machine, url: str) -> tuple[int, int]:
-    """(strict finds, distinct soft terms) of a lower-cased URL, whole terms only."""
+def count_terms(machine, vocabulary: dict[str, float], url: str) -> tuple[int, int, float]:
+    """(strict finds, distinct soft terms, their weight) of a lower-cased URL, whole terms only."""
     strict, soft = 0, set()
-    for end, (kind, term) in machine.iter(url):
-        start = end - len(term)
-        if (start >= 0 and url[start].isascii() and url[start].isalnum()) or (end + 1 < len(url) and url[end + 1].isascii() and url[end + 1].isalnum()):
+    for end, term in machine.iter(url) if len(machine) else ():
+        before = end - len(term)
+        if (before >= 0 and url[before].isascii() and url[before].isalnum()) or (end + 1 < len(url) and url[end + 1].isascii() and url[end + 1].isalnum()):
             continue
-        if kind:
+        if vocabulary[term] >= STRICT_WEIGHT:
             strict += 1
         else:
             soft.add(term)
-    return strict, len(soft)
+    return strict, len(soft), float(sum(sorted(vocabulary[t] for t in soft)))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """page_id, host, path, rule, verdict, strict_hits, soft_hits of every row."""
+def filter_urls(pages: DataFrame, rules=RULES, vocabulary: dict[str, float] = VOCABULARY, soft_limit: float = SOFT_LIMIT) -> DataFrame:
+    """page_id, host, path, rule, verdict, strict_hits, soft_hits, soft_weight of every row."""
 
     def kernel(batches):
-        machine = automaton(strict, soft)
+        machine = automaton(vocabulary)
         for batch in batches:
-            found = [count_terms(machine, u or "") for u in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], ["page_id", "host", "path", "strict_hits", "soft_hits"])
+            found = [count_terms(machine, vocabulary, u or "") for u in batch.column(3).to_pylist()]
+            columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["page_id", "host", "path", "strict_hits", "soft_hits", "soft_weight"])
 
     url = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"))
     host, path = split_url(F.col("url"))
     parts = url.select("page_id", host.alias("host"), path.alias("path"), F.when(F.instr("url", "://") > 0, ascii_lower(F.col("url"))).alias("low"))
-    counted = parts.mapInArrow(kernel, "page_id long, host string, path string, strict_hits long, soft_hits long")
+    counted = parts.mapInArrow(kernel, "page_id long, host string, path string, strict_hits long, soft_hits long, soft_weight double")
     named, said = rule_columns(rules)
-    method = F.when((F.col("strict_hits") > 0) | (F.col("soft_hits") >= soft_limit), F.lit("block")).otherwise(F.lit("allow"))
-    return counted.select("page_id", "host", "path", named.alias("rule"), F.coalesce(said, method).alias("verdict"), "strict_hits", "soft_hits")
+    method = F.when((F.col("strict_hits") > 0) | ((F.col("soft_hits") > 1) & (F.col("soft_weight") >= soft_limit)), F.lit("block")).otherwise(F.lit("allow"))
+    return counted.select("page_id", "host", "path", named.alias("rule"), F.coalesce(said, method).alias("verdict"), "strict_hits", "soft_hits", "soft_weight")
 
 
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -103,6 +117,8 @@ def oracle() -> str:
         # finds of one term: a boundary character serves two neighbours, so boundaries are doubled first
         return f"len(regexp_extract_all(regexp_replace(low, '([^a-z0-9])', '\\1\\1', 'g'), '(^|[^a-z0-9]){re.escape(term)}($|[^a-z0-9])'))"
 
+    strict = [t for t, w in VOCABULARY.items() if w >= STRICT_WEIGHT]
+    soft = {t: w for t, w in VOCABULARY.items() if w < STRICT_WEIGHT}
     cases = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = {h + p: f"((host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}'))" for _, h, p in cases}
     rule = "CASE " + " ".join(f"WHEN {fits[h + p]} THEN '{h + p}'" for _, h, p in cases) + " END"
@@ -111,6 +127,7 @@ def oracle() -> str:
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN url END AS url FROM pages),
 b AS (SELECT page_id, coalesce(substr(url, strpos(url, '://') + 3), '') AS rest, coalesce(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS low FROM a),
 c AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM b),
-d AS (SELECT page_id, host, path, CAST({" + ".join(map(many, STRICT))} AS BIGINT) AS strict_hits, CAST({" + ".join(map(hit, SOFT))} AS BIGINT) AS soft_hits FROM c)
-SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN strict_hits > 0 OR soft_hits >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits FROM d
+d AS (SELECT page_id, host, path, CAST({" + ".join(map(many, strict))} AS BIGINT) AS strict_hits, CAST({" + ".join(map(hit, soft))} AS BIGINT) AS soft_hits,
+CAST({" + ".join(f"{w!r} * {hit(t)}" for t, w in soft.items())} AS DOUBLE) AS soft_weight FROM c)
+SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN strict_hits > 0 OR (soft_hits > 1 AND soft_weight >= {SOFT_LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits, soft_weight FROM d
 """
