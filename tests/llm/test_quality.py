@@ -62,3 +62,12 @@ def test_no_labels(spark):
     kept = q.keep_good(docs.selectExpr("doc_id", "text || repeat(' w', 3)  text"), labels, ["doc_id", "text"])
     assert kept.count() == 0 and kept.columns == ["doc_id", "text"]
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_repeated_labelled_ids_and_clashing_names(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, text, k, 1) for k in range(50)] + [(2, "x y", 0, 1)], "doc_id long, text string, __n_words int, row int")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert q.labelled_sample(docs, labels, 10)["doc_id"].tolist() == [1, 2]
+    kept = q.keep_good(docs, labels, docs.columns)
+    assert kept.columns == docs.columns and sorted(r["__n_words"] for r in kept.collect()) == list(range(50))

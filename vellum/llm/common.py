@@ -71,6 +71,14 @@ def release(spark: SparkSession, folder: str = "", *names: str) -> None:
     jvm.System.gc()
 
 
+def free_name(columns, name: str) -> str:
+    """The name, with as many underscores before it as none of the columns bears (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(column):
     """A-Z to a-z, every other character as it is."""
     return F.translate(column, UPPER, LOWER)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SPACE, blocks, byte_texts, table
+from vellum.llm.common import SPACE, blocks, byte_texts, free_name, table
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct")
@@ -239,13 +239,17 @@ def as_expression(rules: list[list[Test]]) -> tuple[Column, Column]:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most_rows: int) -> pd.DataFrame:
-    """At most most_rows labelled rows with their counts; the rows with the least hash of their id."""
+    """At most most_rows labelled documents with their counts; those with the least hash of their id.
+
+    An id that several rows bear counts once, with the least counts among them.
+    """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality").limit(most_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = F.broadcast(chosen.groupBy("doc_id").agg(F.sum("quality").alias("good"), F.count("*").alias("n")))  # most_rows bounds it
     picked = with_counts(texts.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi"))
-    return picked.join(wanted, "doc_id").orderBy("doc_id", *COUNTS).toPandas()
+    one = picked.groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "c.*")
+    return one.join(wanted, "doc_id").toPandas().sort_values("doc_id", ignore_index=True)
 
 
 def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 10_000) -> list[list[Test]]:
@@ -277,7 +281,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, columns: list[str]) -> Da
     """The documents that the base rule and the decision list keep, with the given columns."""
     rules = fit(documents, labels)
     number, _ = as_expression(rules)
-    names = [f"__{k}" for k in COUNTS]
+    names = [free_name(columns, f"_{k}") for k in COUNTS]
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
 
     def kernel(batches):
@@ -289,9 +293,9 @@ def keep_good(documents: DataFrame, labels: DataFrame, columns: list[str]) -> Da
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *(f"{n} long" for n in names)])
     counted = documents.select(*columns).mapInArrow(kernel, schema)
-    inner = counted.select(F.struct(*columns).alias("__row"), *(F.col(n).alias(k) for n, k in zip(names, COUNTS, strict=True)))
+    inner = counted.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), *(F.col(f"`{n}`").alias(k) for n, k in zip(names, COUNTS, strict=True)))
     good = inner.where((F.col("n_words") >= LEAST_WORDS) & (F.lit(100) * F.col("n_repeat_words") <= F.lit(MOST_REPEATED) * F.col("n_words")) & number.isNull())
-    return good.select("__row.*")
+    return good.select("row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
