@@ -108,3 +108,13 @@ def test_number_heavy_items(spark):
     ]
     rows = d.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r.doc_id: r.item_id for r in rows if r.contaminated} == {1: 1, 3: 2, 4: 2, 5: 3}
+
+
+def test_short_items(spark):
+    """An item of a word or two is no leak in running text, but it is where it is all of a document."""
+    items = spark.createDataFrame([(1, "hello"), (2, "Thank you 5"), (3, "one two three four")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "well hello there, hello"), (2, "Hello!"), (3, "thank you 5"), (4, "thank you 6"), (5, "and one two three four come"), (6, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.find_leaks(docs, items).collect()}
+    assert got == {(2, 1), (3, 2), (5, 3)}
+    named = docs.selectExpr("doc_id", "text", "1 AS leaked", "2 AS __id")
+    assert sorted(r.doc_id for r in d.drop_leaks(named, items, named.columns).collect()) == [1, 4, 6]

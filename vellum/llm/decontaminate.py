@@ -10,7 +10,11 @@ An alignment counts with `least` matched windows, or all of an item that has few
 than a window match as a whole. Windows of which less than half are words are not used as templates, where
 they would meet anything: the windows of an item that has any of them are searched by their values as well, and
 such an alignment counts when it holds all of them, so that a verbatim copy is always found. Only items without
-any word (bare rows of numbers) are not searched.
+any word (bare rows of numbers) are not searched. Items of fewer than `SHORTEST` tokens would meet common
+speech: they count where they are the whole of a document, values and all.
+
+Slot consistency goes one way: equal values of the item must stand for equal values of the document, but a
+question with new values may well have one value where the item has two.
 
 Nulls and empty texts match nothing. Rows with one id are judged together, null ids too. Items without
 tokens are not searched; repeated items count once each. Extra columns are not read.
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import settle, shared_folder, table
+from vellum.llm.common import free_name, settle, shared_folder, table
 
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 #: Words that are units where a number stands before them.
@@ -32,7 +36,7 @@ UNITS = (
 #: A capital and a small letter inside a sentence; words all in capitals are words.
 NAME = r"(?<=[\p{L}\p{N},;:\x03]\x20)\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 TOKEN = "\x02[^\x03]*\x03|[\\p{L}\\p{M}]+"
-WINDOW, LEAST = 8, 3
+WINDOW, LEAST, SHORTEST = 8, 3, 4
 
 
 def marked(text: Column, values: bool) -> Column:
@@ -89,7 +93,14 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text"), True).alias("raw"))
     # values are cut off again for the template: \x02k...\x03 to \x02k\x03
     items = settle(items.select("*", F.transform("raw", lambda t: F.regexp_replace(t, "^(\x02.)[^\x03]*", "$1")).alias("tokens")), folder, "items")
-    known = settle(item_windows(items, window), folder, "item-windows")
+    known = settle(item_windows(items.where(F.size("tokens") >= SHORTEST), window), folder, "item-windows")
+    brief = items.where(F.size("tokens").between(1, SHORTEST - 1)).select("item_id", F.xxhash64("raw").alias("hash"))
+    n_brief = brief.count()
+    whole = documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long")
+    if n_brief:
+        spoken = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text"), True).alias("raw")).where(F.size("raw").between(1, SHORTEST - 1))
+        spoken = spoken.select("doc_id", F.xxhash64("raw").alias("hash")).distinct()
+        whole = spoken.join(F.broadcast(brief) if n_brief <= broadcast_rows else brief, "hash").select("doc_id", "item_id", F.lit(1).cast("long").alias("n_windows"))
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most `window` numbers
     by_value = sorted(r[0] for r in known.where("exact").select("length").distinct().collect())
     side = known.select("item", "ipos", "length", "hash", "slots", "of", "exact")
@@ -97,7 +108,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         side = F.broadcast(side)
 
     if not lengths:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long")
+        return whole
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens"))
     # one explode for all lengths: every length's hashes end to end, with their length beside them
     if len(lengths) == 1:
@@ -129,7 +140,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     # places inside the span that no matched window holds may not even be slots of the document
     both = F.array_distinct(F.filter(both, lambda s: F.substring(s["theirs"], 1, 2) == F.substring(s["ours"], 1, 2)))
     consistent = F.size(both) == F.size(F.array_distinct(F.transform(both, lambda s: s["theirs"])))
-    return plain.unionByName(pairs.where(consistent).select("doc_id", "item_id", "n_windows"))
+    found = plain.unionByName(pairs.where(consistent).select("doc_id", "item_id", "n_windows"))
+    return found.unionByName(whole) if n_brief else found
 
 
 def judge(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
@@ -147,8 +159,9 @@ def judge(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
     """The documents without a benchmark item, whole rows."""
     folder = shared_folder(documents.sparkSession)
-    bad = settle(find_leaks(documents, benchmark, folder=folder).select(F.col("doc_id").alias("__id")).distinct(), folder, "leaked")
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*columns)
+    name = free_name(documents.columns, "leaked")
+    bad = settle(find_leaks(documents, benchmark, folder=folder).select(F.col("doc_id").alias(name)).distinct(), folder, "leaked")
+    return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
