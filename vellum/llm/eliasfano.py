@@ -104,6 +104,30 @@ class EliasFano:
         return np.where(hit, lo, -1)
 
 
+    def find_within(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Place of each value among the places [low, high), or -1: a successor search bounded by the range and the high bits."""
+        values = np.asarray(values, np.uint64)
+        out = np.full(len(values), -1, np.int64)
+        live = np.flatnonzero(low < high)
+        if not self.n or not len(live):
+            return out
+        top, target = (values[live] >> np.uint64(self.width)).astype(np.int64), values[live] & np.uint64((1 << self.width) - 1)
+        end = np.minimum(self._select(top, False) - top, high[live])
+        first = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) - np.maximum(top - 1, 0), 0)
+        lo, hi = np.maximum(first, low[live]), end.copy()
+        active = np.flatnonzero(lo < hi)
+        while len(active):
+            mid = (lo[active] + hi[active]) >> 1
+            less = self._lows(mid) < target[active]
+            lo[active] = np.where(less, mid + 1, lo[active])
+            hi[active] = np.where(less, hi[active], mid)
+            active = active[lo[active] < hi[active]]
+        hit = np.flatnonzero(lo < end)
+        hit = hit[self._lows(lo[hit]) == target[hit]]
+        out[live[hit]] = lo[hit]
+        return out
+
+
 def pack(parts: dict[str, np.ndarray]) -> bytes:
     """Named arrays as one file, each at a multiple of 64 bytes."""
     head, at, body = {}, 0, []
