@@ -67,7 +67,7 @@ def rarity_levels(texts: DataFrame):
     """The sketch as a column: for each counter three times the logarithm of its words' count."""
     words = texts.selectExpr(f"explode(split(replace({BLANKS.format('text')}, '\n', ' '), ' ')) AS w").where("w <> ''")
     counts = words.selectExpr(f"shiftrightunsigned(xxhash64(w), {64 - COUNTER_BITS}) AS id").groupBy("id").count()
-    level = F.shiftleft(F.least(F.lit(126), F.round(3 * F.log2("count"))).cast("long"), 56)
+    level = F.least(F.lit(126), F.round(3 * F.log2("count"))).cast("int")
     every = texts.sparkSession.range(0, 1 << COUNTER_BITS, 1, 4).join(counts, "id", "left").select("id", F.coalesce(level, F.lit(0)).alias("level"))
     # 2 ** COUNTER_BITS numbers, whatever the input
     held = every.agg(F.expr("array_join(transform(array_sort(collect_list(struct(id, level))), x -> x.level), ',')")).first()[0]
@@ -78,7 +78,7 @@ def tokenised(lines: DataFrame, levels, *carried: str) -> DataFrame:
     """`carried` and toks, the ordered distinct tokens of the column own: the level of the counter, then 56 bits of the hash."""
     hashed = "array_remove(array_distinct(transform(split(own, ' '), w -> xxhash64(w))), xxhash64(''))"
     lines = lines.withColumn("levels", levels).selectExpr(*carried, "levels", f"{hashed} AS hs")
-    return lines.selectExpr(*carried, f"sort_array(transform(hs, h -> coalesce(get(levels, cast(shiftrightunsigned(h, {64 - COUNTER_BITS}) AS int)), 0L) | shiftrightunsigned(h, 8))) AS toks")
+    return lines.selectExpr(*carried, f"sort_array(transform(hs, h -> shiftleft(coalesce(get(levels, cast(shiftrightunsigned(h, {64 - COUNTER_BITS}) AS int)), 0L), 56) | shiftrightunsigned(h, 8))) AS toks")
 
 
 def _prefix(n: str, percent: int) -> str:

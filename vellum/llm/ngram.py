@@ -218,24 +218,40 @@ def _lookup(model: Model, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[place], counts[place]
 
 
+def dealt(rows: DataFrame, shards: int) -> tuple[DataFrame, bool]:
+    """Rows by shard; whether they come in order. Only where a task has many shards are they sorted, to be taken one after the other."""
+    if shards <= MOST_PARTS:
+        return rows.repartition(shards, "shard"), False
+    return rows.repartition(MOST_PARTS, "shard").sortWithinPartitions("shard"), True
+
+
+def by_shard(items, in_order: bool):
+    """(shard, values) from (shard, value) items: as soon as the next shard begins if they come in order, else at the end."""
+    held: dict[int, list] = {}
+    for shard, value in items:
+        if in_order and held and shard not in held:
+            yield from held.items()
+            held = {}
+        held.setdefault(shard, []).append(value)
+    for shard in sorted(held):
+        yield shard, held.pop(shard)
+
+
 def _by_shard(rows: DataFrame, shards: int, build_shard, schema: str) -> DataFrame:
     """One call of build_shard(shard, keys, counts) for each shard, on all its blobs."""
+    parted, in_order = dealt(rows, shards)
 
     def kernel(batches):
-        now, parts = None, []
-        for batch in batches:
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if shard != now:
-                    if parts:
-                        yield build_shard(now, *merged(parts))
-                    now, parts = shard, []
-                parts.append(unsqueeze(blob))
+        blobs = ((s, x) for batch in batches for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for shard, own in by_shard(blobs, in_order):
+            parts = []
+            while own:
+                parts.append(unsqueeze(own.pop()))
                 if len(parts) > 24:  # bounds what waits to be merged
                     parts = [merged(parts)]
-        if parts:
-            yield build_shard(now, *merged(parts))
+            yield build_shard(shard, *merged(parts))
 
-    return rows.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard").mapInArrow(kernel, schema)
+    return parted.mapInArrow(kernel, schema)
 
 
 def _counted(context_shard: np.ndarray, keys: np.ndarray, parts: dict[int, list]) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import RangeHash, blocks, byte_texts, input_bytes, release, settle, shared_folder, table
 from vellum.llm.eliasfano import EliasFano, build, map_file, pack, write_file
-from vellum.llm.ngram import MOST_PARTS, _blobs, _by_shard, _runs, merged
+from vellum.llm.ngram import _blobs, _by_shard, _runs, by_shard, dealt, merged
 
 SPAN, GRAM = 50, 20
 RUN = SPAN - GRAM + 1
@@ -232,7 +232,6 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
     # a shard is for some 2 MB of text, whatever the size of the input; a task takes shards one after the other
     bits = max(4, (input_bytes(texts) // (2 << 20)).bit_length()) if shards is None else shards.bit_length() - 1
     n_shards = 1 << bits
-    n_parts = min(n_shards, MOST_PARTS)
 
     def collect_anchors(batches):
         parts, held = [], 0
@@ -363,37 +362,40 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
                     yield docs[0][row], ties[0][row], start, start + SPAN
 
     def settle_shards(batches):
-        def done(shard, blobs):
+        passed = []
+
+        def items():
+            for batch in batches:
+                for shard, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    if kind:
+                        passed.append((shard, blob))
+                    else:
+                        yield shard, blob
+
+        def through():
+            rows, passed[:] = list(passed), []
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "kind", "blob"])
+
+        for shard, blobs in by_shard(items(), in_order):
+            yield through()
             for found in compare(blobs):
                 yield _span_blobs(1, n_shards, *found)
-
-        now, blobs = None, []
-        for batch in batches:
-            for shard, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if kind:
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], ["shard", "kind", "blob"])
-                    continue
-                if shard != now:
-                    yield from done(now, blobs)
-                    now, blobs = shard, []
-                blobs.append(blob)
-        yield from done(now, blobs)
+        yield through()
 
     segments = texts.mapInArrow(collect_segments, _ROW)
     # ranges that a task has settled go round the comparison; only their shard of documents matters
-    spans = segments.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(settle_shards, _ROW)
+    parted, in_order = dealt(segments, n_shards)
+    spans = parted.mapInArrow(settle_shards, _ROW)
 
     def by_document(batches):
-        now, held = None, []
-        for batch in batches:
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if shard != now:
-                    yield from ranges(held)
-                    now, held = shard, []
-                held.append(_unpack_columns(blob, *[np.int64] * 4)[:4])
+        blobs = ((s, x) for batch in batches for s, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        for _, own in by_shard(blobs, in_order):
+            held = []
+            while own:
+                held.append(_unpack_columns(own.pop(), *[np.int64] * 4)[:4])
                 if len(held) > 64:
                     held = [_merge_spans(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-        yield from ranges(held)
+            yield from ranges(held)
 
     def ranges(held):
         if held:
@@ -404,7 +406,7 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
                 [pa.array(docs[cut[:-1]]), pa.array(ties[cut[:-1]]), pa.array([both[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc", "tie", "spans"]
             )
 
-    merged_ = spans.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(by_document, "doc long, tie long, spans binary")
+    merged_ = dealt(spans, n_shards)[0].mapInArrow(by_document, "doc long, tie long, spans binary")
     out = settle(merged_, folder, "spans")
     release(texts.sparkSession)
     return out
