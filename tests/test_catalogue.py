@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from vellum.plans import service  # noqa: F401  registers its queries
+from vellum.plans import documents, service  # noqa: F401  they register their queries
 from vellum.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -571,12 +571,26 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.array_join(shaped, "\n").alias("text"))
 
 
-@query()
+#: The lines of `_marked` texts, in SQL.
+MARKDOWN = """md AS (SELECT doc_id, line_no, CASE WHEN line_no = 0 THEN '# ' || line WHEN line_no % 5 = 4 THEN '| ' || line || ' | 1 |' WHEN line_no % 7 = 6 THEN '- ' || line ELSE line END AS line FROM lines)"""
+
+
+@query(
+    f"""WITH {LINES}, {MARKDOWN}, t AS (SELECT doc_id, line_no, {LINE_TYPE} AS unit_type, trim(line) = '' AS blank, CAST(strlen(line) AS BIGINT) AS n FROM md),
+p AS (SELECT *, sum(n + 1) OVER w - n - 1 AS s, lag(unit_type) OVER w AS pt, lag(blank) OVER w AS pb FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+i AS (SELECT *, sum(CASE WHEN unit_type IN ('heading', 'table', 'list') OR pt IS NULL OR pt <> unit_type OR pb THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM p),
+u AS (SELECT doc_id, unit_type, island, min(s) AS byte_start, max(s + n) AS byte_end FROM i WHERE NOT blank GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY byte_start) - 1 AS INTEGER) AS ord, unit_type, CAST(byte_start AS BIGINT) AS byte_start, CAST(byte_end AS BIGINT) AS byte_end FROM u"""
+)
 def structural_units(spark, sf):
     return alignment.structural_units(_marked(table(spark, sf, "documents")))
 
 
-@query()
+@query(
+    f"""WITH {LINES}, {MARKDOWN}, c AS (SELECT doc_id, line_no, string_split(line, '|') AS c FROM md WHERE starts_with(line, '|')),
+d AS (SELECT doc_id, line_no, list_slice(c, CASE WHEN trim(c[1]) = '' THEN 2 ELSE 1 END, CASE WHEN trim(c[-1]) = '' THEN len(c) - 1 ELSE len(c) END) AS c FROM c)
+SELECT doc_id, CAST(line_no AS BIGINT) AS row_no, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS cell_no, trim(unnest(c)) AS cell FROM d WHERE len(c) <= 256"""
+)
 def table_cells(spark, sf):
     own = lexing.lines(_marked(table(spark, sf, "documents"))).where(F.col("line").startswith("|"))
     return alignment.cells(own.select("doc_id", F.col("line_no").cast("long").alias("row_no"), "line"))
@@ -589,7 +603,14 @@ def aligned_units(spark, sf):
     return alignment.aligned_units(own, own.where("no % 7 <> 6").withColumn("raw", F.regexp_replace("raw", "th", "h")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINES}, r AS (SELECT doc_id, CAST(line_no AS BIGINT) AS region, length(line) % 5 + 1 AS c, CAST(strlen(line) * 200 AS BIGINT) AS b FROM lines),
+o AS (SELECT *, c > 128 OR b > 131072 AS over FROM r),
+s AS (SELECT doc_id, region, CASE WHEN over THEN -1 ELSE 0 END AS batch, 0 AS open, CASE WHEN over THEN 0 ELSE 1 END AS n, CASE WHEN over THEN 0 ELSE c END AS tc, CASE WHEN over THEN 0 ELSE b END AS tb FROM o WHERE region = 0
+UNION ALL SELECT o.doc_id, o.region, CASE WHEN over THEN -1 ELSE open + f END, CASE WHEN over THEN open ELSE open + f END, CASE WHEN over THEN n WHEN f = 1 THEN 1 ELSE n + 1 END, CASE WHEN over THEN tc WHEN f = 1 THEN o.c ELSE tc + o.c END, CASE WHEN over THEN tb WHEN f = 1 THEN o.b ELSE tb + o.b END
+FROM (SELECT s.*, o2.c AS nc, o2.b AS nb, CASE WHEN n > 0 AND (n + 1 > 8 OR tc + o2.c > 128 OR tb + o2.b > 131072) THEN 1 ELSE 0 END AS f FROM s JOIN o o2 ON o2.doc_id = s.doc_id AND o2.region = s.region + 1) s JOIN o ON o.doc_id = s.doc_id AND o.region = s.region + 1)
+SELECT doc_id, region, CAST(batch AS INTEGER) AS batch FROM s"""
+)
 def selection_batches(spark, sf):
     sized = lexing.lines(table(spark, sf, "documents")).select("doc_id", F.col("line_no").cast("long").alias("region"), (F.length("line") % 5 + 1).cast("long").alias("candidates"), (F.octet_length("line") * 200).cast("long").alias("bytes"))
     return alignment.batches(sized)
