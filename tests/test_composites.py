@@ -101,3 +101,20 @@ def test_risk(spark):
     rows = [(1, 0, "prose", "some *x*", "some x", "e1"), (1, 0, "prose", "some x", "some x", ""), (1, 1, "prose", "a 5", "a 5", ""), (1, 1, "prose", "a b", "a b", ""), (1, 2, "citation", "q", "q", ""), (1, 3, "prose", "q", "q", ""), (1, 3, "prose", "r", "r", "")]
     got = fronts.risk_reasons(spark.createDataFrame(rows, "doc_id long, region int, candidate_type string, raw string, visible string, emphasis string")).collect()
     assert {r.region: r.reason for r in got} == {0: "protected_format_conflict", 1: "protected_payload_conflict", 2: "protected_payload_conflict", 3: None}
+
+
+def test_alignment_by_anchor_tokens_and_slots():
+    from vellum.operators.alignment import align_units, candidate_pairs
+
+    # far off the diagonal: found by rare anchor tokens, not by short words
+    base = [(P, f"alpha{k} is of it") for k in range(200)]
+    other = [*base[150:], *base[:150]]
+    assert (160, 10) in candidate_pairs(base, other) and (160, 110) not in candidate_pairs(base, other)
+    short = [(P, f"is of it {chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(200)]
+    assert all(j == (i + 50) % 200 or abs(i - j) <= 48 for i, j in candidate_pairs(short, [*short[150:], *short[:150]]))
+    # slots that differ are not aligned, a missing slot fits any
+    one = [("heading", "Results", "a"), ("heading", "Results", "b")]
+    assert [(i, j) for i, j, *_ in align_units(one, [("heading", "Results", "b")])] == [(1, 0)]
+    assert [(i, j) for i, j, *_ in align_units(one, [("heading", "Results", "c"), ("heading", "Results", None)])] == [(1, 1)]
+    found = align_units([(P, "some words here")], [(P, "some words here!"), (P, "some words here"), (P, "nothing alike")])
+    assert found == [(0, 1, 100.0, True, [0])]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.config import ALIGNMENT, BATCH_BYTES, BATCH_CANDIDATES, BATCH_REGIONS, FLOORS
-from vellum.functions.kernels import best_monotone, folded_key, indel_ratio, pack, scan_units, table_cells
+from vellum.functions.kernels import anchor_tokens, best_monotone, folded_key, indel_ratio, pack, scan_units, table_cells
 
 
 def structural_units(documents: DataFrame) -> DataFrame:
@@ -37,78 +37,98 @@ def cells(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_no", "line").mapInPandas(kernel, "doc_id long, row_no long, cell_no int, cell string")
 
 
+def _middle(i: int, n: int, m: int) -> int:
+    """Where unit i of n would stand among m."""
+    return round(i * (m - 1) / (n - 1)) if n > 1 else 0
+
+
 def candidate_pairs(base: list[tuple[str, str]], other: list[tuple[str, str]]) -> set[tuple[int, int]]:
-    """Pairs worth scoring: near the diagonal, equal keys that are few, and the most rare tokens in common."""
-    pairs: set[tuple[int, int]] = set()
-    keys: dict[str, list[int]] = defaultdict(list)
-    tokens_of = [set(k.split()) for _, k in other]
-    for j, (_, key) in enumerate(other):
-        keys[key].append(j)
-    own = Counter(t for _, k in base for t in set(k.split()))
+    """Pairs of (type, key) units worth scoring.
+
+    Near the diagonal; equal units of which the other side has few; and the units that share most rare anchor tokens,
+    tokens of four characters or with a digit that few units of either side have.
+    """
+    equal: dict[tuple[str, str], list[int]] = defaultdict(list)
     theirs: dict[str, list[int]] = defaultdict(list)
-    for j, ts in enumerate(tokens_of):
-        for t in ts:
+    for j, unit in enumerate(other):
+        equal[unit].append(j)
+        for t in anchor_tokens(unit[1]):
             theirs[t].append(j)
-    for i, (_, key) in enumerate(base):
-        middle = round(i * (len(other) - 1) / (len(base) - 1)) if len(base) > 1 else 0
-        pairs |= {(i, j) for j in range(max(0, middle - ALIGNMENT.window), min(len(other), middle + ALIGNMENT.window + 1))}
-        if len(keys[key]) <= ALIGNMENT.max_exact:
-            pairs |= {(i, j) for j in keys[key]}
-        votes: Counter = Counter()
-        for t in set(key.split()):
-            if own[t] <= ALIGNMENT.rare_frequency and len(theirs[t]) <= ALIGNMENT.rare_frequency:
-                votes.update(theirs[t])
+    mine = [anchor_tokens(key) for _, key in base]
+    own = Counter(t for ts in mine for t in ts)
+    rare = {t for t, n in own.items() if n <= ALIGNMENT.rare_frequency and 0 < len(theirs.get(t, ())) <= ALIGNMENT.rare_frequency}
+    pairs: set[tuple[int, int]] = set()
+    for i, unit in enumerate(base):
+        middle = _middle(i, len(base), len(other))
+        near = range(max(0, middle - ALIGNMENT.window), min(len(other), middle + ALIGNMENT.window + 1))
+        same = equal.get(unit, [])
+        votes = Counter(j for t in mine[i] & rare for j in theirs[t])
         best = sorted(votes, key=lambda j: (-votes[j], abs(j - middle), j))[: ALIGNMENT.rare_votes]
-        pairs |= {(i, j) for j in best}
+        pairs.update((i, j) for js in (near, same if len(same) <= ALIGNMENT.max_exact else (), best) for j in js)
     return pairs
 
 
-def align_units(base: list[tuple[str, str]], other: list[tuple[str, str]]) -> list[tuple[int, int, float, bool]]:
-    """(base, other, similarity, ambiguous) of the best order-preserving alignment of (type, raw) units."""
-    left, right = [(t, folded_key(r)) for t, r in base], [(t, folded_key(r)) for t, r in other]
+def align_units(base: list[tuple], other: list[tuple]) -> list[tuple[int, int, float, bool, list[int]]]:
+    """(base, other, similarity, ambiguous, competing) of the best order-preserving alignment of (type, raw[, slot]) units.
+
+    Units of different types, or of different slots where both have one, are not aligned. competing: other units that
+    are nearly as similar to the base unit, the most similar first.
+    """
+    left, right = [(u[0], folded_key(u[1])) for u in base], [(u[0], folded_key(u[1])) for u in other]
+    slots = [[u[2] if len(u) > 2 else None for u in side] for side in (base, other)]
     edges, scores = [], {}
     for i, j in sorted(candidate_pairs(left, right)):
         kind, a, b = left[i][0], left[i][1], right[j][1]
         if kind != right[j][0] or max(len(a), len(b)) > ALIGNMENT.max_chars:
             continue
+        if slots[0][i] is not None and slots[1][j] is not None and slots[0][i] != slots[1][j]:
+            continue
         if 200 * min(len(a), len(b)) < FLOORS.get(kind, 42) * (len(a) + len(b)):  # lengths alone rule the pair out
             continue
         s = 100.0 if a == b else indel_ratio(a, b)
         if s >= FLOORS.get(kind, 42):
-            middle = round(i * (len(right) - 1) / (len(left) - 1)) if len(left) > 1 else 0
             scores[i, j] = s
-            edges.append((i, j, 2 * round(1000 * s) + ALIGNMENT.bonus, abs(j - middle)))
+            edges.append((i, j, 2 * round(1000 * s) + ALIGNMENT.bonus, abs(j - _middle(i, len(left), len(right)))))
     by_left, by_right = defaultdict(list), defaultdict(list)
     for (i, j), s in scores.items():
-        by_left[i].append(s)
-        by_right[j].append(s)
+        by_left[i].append((-s, j))
+        by_right[j].append((-s, i))
     out = []
     for k in best_monotone(edges):
         i, j = edges[k][:2]
         s = scores[i, j]
-        close = sum(x >= s - ALIGNMENT.ambiguity for x in by_left[i]) > 1 or sum(x >= s - ALIGNMENT.ambiguity for x in by_right[j]) > 1
-        out.append((i, j, round(s, 6), close))
+        close = [y for x, y in sorted(by_left[i]) if -x >= s - ALIGNMENT.ambiguity and y != j]
+        also = any(-x >= s - ALIGNMENT.ambiguity and y != i for x, y in by_right[j])
+        out.append((i, j, round(s, 6), bool(close) or also, close))
     return out
 
 
+def _packed(units: DataFrame, name: str) -> DataFrame:
+    """doc_id and its units in order as one array."""
+    slot = F.col("slot") if "slot" in units.columns else F.lit(None)
+    unit = F.struct(F.col("no").cast("long").alias("no"), F.col("unit_type").alias("unit_type"), F.coalesce("raw", F.lit("")).alias("raw"), slot.cast("string").alias("slot"))
+    return units.groupBy("doc_id").agg(F.array_sort(F.collect_list(unit)).alias(name))
+
+
 def aligned_units(base: DataFrame, other: DataFrame) -> DataFrame:
-    """doc_id, base_no, other_no, similarity, ambiguous for units (doc_id, no, unit_type, raw) of two versions.
+    """doc_id, base_no, other_no, similarity, ambiguous, competing for units (doc_id, no, unit_type, raw[, slot]) of two versions.
 
-    Units of one document meet in one task; a document is the largest group there is.
+    The units of a document are one array on either side and meet in one row; a kernel sees many documents at a time.
     """
+    columns = ["doc_id", "base_no", "other_no", "similarity", "ambiguous", "competing"]
 
-    def kernel(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=["doc_id", "base_no", "other_no", "similarity", "ambiguous"])
-        left, right = left.sort_values("no"), right.sort_values("other_no")
-        found = align_units(list(zip(left["unit_type"], left["raw"], strict=True)), list(zip(right["other_type"], right["other_raw"], strict=True)))
-        a, b = left["no"].to_numpy(), right["other_no"].to_numpy()
-        return pd.DataFrame([(key[0], a[i], b[j], s, c) for i, j, s, c in found], columns=["doc_id", "base_no", "other_no", "similarity", "ambiguous"])
-
-    # own names on the right side: both may come from one frame
-    named = other.select(F.col("doc_id").alias("other_id"), F.col("no").alias("other_no"), F.col("unit_type").alias("other_type"), F.col("raw").alias("other_raw"))
-    pair = base.select("doc_id", "no", "unit_type", "raw").groupBy("doc_id").cogroup(named.groupBy("other_id"))
-    return pair.applyInPandas(kernel, "doc_id long, base_no long, other_no long, similarity double, ambiguous boolean")
+    def kernel(batches):
+        for batch in batches:
+            rows = []
+            for doc, mine, theirs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                sides = [[(u["unit_type"], u["raw"], u["slot"]) for u in side] for side in (mine, theirs)]
+                rows += [(doc, mine[i]["no"], theirs[j]["no"], s, c, [theirs[k]["no"] for k in more]) for i, j, s, c, more in align_units(*sides)]
+            made = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, kinds, strict=True)], columns)
+
+    met = _packed(base, "mine").join(_packed(other, "theirs"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "mine", "theirs")
+    return met.mapInArrow(kernel, "doc_id long, base_no long, other_no long, similarity double, ambiguous boolean, competing array<long>")
 
 
 def batches(regions: DataFrame) -> DataFrame:
