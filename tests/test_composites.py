@@ -116,5 +116,6 @@ def test_alignment_by_anchor_tokens_and_slots():
     one = [("heading", "Results", "a"), ("heading", "Results", "b")]
     assert [(i, j) for i, j, *_ in align_units(one, [("heading", "Results", "b")])] == [(1, 0)]
     assert [(i, j) for i, j, *_ in align_units(one, [("heading", "Results", "c"), ("heading", "Results", None)])] == [(1, 1)]
-    found = align_units([(P, "some words here")], [(P, "some words here!"), (P, "some words here"), (P, "nothing alike")])
+    line = "some words here and there in the field"
+    found = align_units([(P, line)], [(P, line + "!"), (P, line), (P, "nothing alike")])
     assert found == [(0, 1, 100.0, True, [0])]

@@ -306,3 +306,48 @@ def receipt_rules() -> dict[str, Column]:
         "direct_within_retained": c("direct_retained") <= c("retained"),
         "claims_digest": F.length("claims_digest") == 64,
     }
+
+
+def typed_value(payload: Column, name: str) -> Column:
+    """A member of a JSON object as JSON text, so that true, 1 and "1" are three values; null where there is none."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(payload), f"$.{name}", "variant"))
+
+
+def missing_options(payload: Column, required: dict[str, object]) -> Column:
+    """Names of required options that an object lacks or has with another value or type, joined by commas."""
+    # the parsed value tells texts from numbers, the text as written tells 1.0 from 1
+    same = lambda n, v: (typed_value(payload, n) == json.dumps(v)) & (F.get_json_object(payload, f"$.{n}") == (v if isinstance(v, str) else json.dumps(v)))
+    wrong = (F.when(~F.coalesce(same(n, v), F.lit(False)), F.lit(n)) for n, v in sorted(required.items()))
+    return F.array_join(F.array_compact(F.array(*wrong)), ",")
+
+
+def unavailable_style(source: Column, schema: str, version: int) -> Column:
+    """A valid style record that claims nothing, as JSON."""
+    none = F.array().cast("array<string>")
+    return F.to_json(F.struct(F.lit(schema).alias("schema"), F.lit(version).alias("contract_version"), source.alias("source"), F.lit("unavailable").alias("status"), none.alias("pages")))
+
+
+def model_calls(usage: Column) -> Column:
+    """The sum of whole, non-negative counts of calls in a usage breakdown; true, texts and fractions count nothing."""
+    entries = F.from_json(F.get_json_object(usage, "$.breakdown"), "map<string,string>")
+    calls = lambda v: F.regexp_extract(F.coalesce(typed_value(v, "calls"), F.lit("")), "^([0-9]+)$", 1)
+    return F.coalesce(F.aggregate(F.map_values(entries), F.lit(0).cast("long"), lambda a, v: a + F.coalesce(F.nullif(calls(v), F.lit("")).try_cast("long"), F.lit(0))), F.lit(0).cast("long"))
+
+
+def review_faults(label: Column, confidence: Column, names: tuple[str, ...]) -> Column:
+    """What is wrong with an image review: a label outside of the closed list, a confidence outside of [0, 1]."""
+    return F.concat_ws(",", F.when(~F.coalesce(label.isin(*names), F.lit(False)), F.lit("label")), F.when(~F.coalesce(confidence.between(0, 1), F.lit(False)), F.lit("confidence")))
+
+
+def url_rows(runs: DataFrame, base: str) -> DataFrame:
+    """process_id, kind, url, error: one row for each artifact of a map (process_id, artifacts); an empty key is an error row."""
+    rows = runs.select("process_id", F.explode("artifacts").alias("kind", "key"))
+    has = F.coalesce(F.col("key") != "", F.lit(False))
+    return rows.select("process_id", "kind", F.when(has, F.concat(F.lit(base), "key")).alias("url"), F.when(~has, F.lit("missing_key")).alias("error"))
+
+
+def trackers(events: DataFrame) -> DataFrame:
+    """process_id, status, first_seen, new_work of events (process_id, seq, status): the last status; a run that begins at its end is no new work."""
+    last, first = F.max(F.struct("seq", "status")), F.min(F.struct("seq", "status"))
+    per = events.groupBy("process_id").agg(last.alias("l"), first.alias("f"))
+    return per.select("process_id", F.col("l.status").alias("status"), F.col("f.seq").alias("first_seen"), terminal_event(F.col("f.status")).isNull().alias("new_work"))

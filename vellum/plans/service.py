@@ -339,3 +339,58 @@ SELECT role, model, effort, fault, count(*) AS n FROM f GROUP BY ALL"""
 def model_faults(spark, sf):
     r = table(spark, sf, "events").selectExpr(f"{_pick(['select', 'review', 'other'], 'event_id')} AS role", f"{_pick(['medium', 'large', 'tiny', None], 'event_id')} AS model", f"{_pick(['low', 'high', 'max'], '(event_id div 3)')} AS effort")
     return service.model_faults(r, _POLICY, ("low", "medium", "high")).groupBy("role", "model", "effort", "fault").agg(F.count("*").alias("n"))
+
+
+_OPTIONS = ['{"ocr": true, "pages": 1, "mode": "fast"}', '{"ocr": 1, "pages": 1, "mode": "fast"}', '{"ocr": true, "pages": "1"}', '{"ocr": true, "pages": 1.0, "mode": null}', "[]", None, "broken"]
+
+
+@query(
+    f"""WITH o AS (SELECT event_id, {_pick(_OPTIONS, "event_id")} AS o FROM events), j AS (SELECT event_id, CASE WHEN json_valid(o) THEN CAST(o AS JSON) END AS o FROM o)
+SELECT event_id, array_to_string(list_filter([CASE WHEN coalesce(CAST(json_extract(o, '$.mode') AS VARCHAR) = '"fast"', false) THEN NULL ELSE 'mode' END, CASE WHEN coalesce(CAST(json_extract(o, '$.ocr') AS VARCHAR) = 'true', false) THEN NULL ELSE 'ocr' END,
+CASE WHEN coalesce(CAST(json_extract(o, '$.pages') AS VARCHAR) = '1', false) THEN NULL ELSE 'pages' END], lambda x: x IS NOT NULL), ',') AS missing FROM j"""
+)
+def option_checks(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.expr(_pick(_OPTIONS, "event_id")).alias("o"))
+    return e.select("event_id", service.missing_options(F.col("o"), {"ocr": True, "pages": 1, "mode": "fast"}).alias("missing"))
+
+
+@query("""SELECT event_id, '{"schema":"native-style","contract_version":1,"source":"s' || event_id % 3 || '","status":"unavailable","pages":[]}' AS record FROM events""")
+def unavailable_styles(spark, sf):
+    return table(spark, sf, "events").select("event_id", service.unavailable_style(F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")), "native-style", 1).alias("record"))
+
+
+_USAGE = ['{"breakdown": {"a": {"calls": 3}, "b": {"calls": true}, "c": {"calls": 4}}}', '{"breakdown": {"a": {"calls": -2}, "b": {"calls": "5"}, "c": {"calls": 1.5}, "d": {}}}', '{"breakdown": []}', "{}", None, '{"breakdown": {"x": {"calls": 0}, "y": {"calls": 12}}}']
+
+
+@query(f"SELECT event_id, CAST(CASE event_id % {len(_USAGE)} WHEN 0 THEN 7 WHEN 5 THEN 12 ELSE 0 END AS BIGINT) AS calls FROM events")
+def model_call_counts(spark, sf):
+    return table(spark, sf, "events").select("event_id", service.model_calls(F.expr(_pick(_USAGE, "event_id"))).alias("calls"))
+
+
+_LABELS = ["scientific_figure", "logo", None, "unknown", "cover_art"]
+
+
+@query(
+    f"""WITH r AS (SELECT event_id, {_pick(_LABELS, "event_id")} AS label, CASE WHEN event_id % 7 < 6 THEN (event_id % 7 - 1) / 4 END AS c FROM events)
+SELECT event_id, array_to_string(list_filter([CASE WHEN label IN ('scientific_figure', 'table_or_equation', 'publisher_logo', 'badge_or_ui', 'cover_art', 'decorative', 'unknown') THEN NULL ELSE 'label' END, CASE WHEN c BETWEEN 0 AND 1 THEN NULL ELSE 'confidence' END], lambda x: x IS NOT NULL), ',') AS faults FROM r"""
+)
+def review_faults(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.expr(_pick(_LABELS, "event_id")).alias("label"), F.expr("CASE WHEN event_id % 7 < 6 THEN (event_id % 7 - 1) / 4 END").alias("c"))
+    return e.select("event_id", service.review_faults(F.col("label"), F.col("c"), sc.IMAGE_CLASSES).alias("faults"))
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey AS process_id, unnest(['merged', 'audit']) AS kind, unnest(['m/' || o_custkey, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'a/' || o_custkey END]) AS key FROM orders)
+SELECT process_id, kind, CASE WHEN key <> '' THEN 'store://' || key END AS url, CASE WHEN key = '' THEN 'missing_key' END AS error FROM a"""
+)
+def artifact_urls(spark, sf):
+    o = table(spark, sf, "orders").selectExpr("o_orderkey AS process_id", "map('merged', concat('m/', o_custkey), 'audit', CASE WHEN o_custkey % 3 = 0 THEN '' ELSE concat('a/', o_custkey) END) AS artifacts")
+    return service.url_rows(o, "store://")
+
+
+@query(
+    """WITH e AS (SELECT user_id AS process_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events)
+SELECT process_id, max_by(status, seq) AS status, min(seq) AS first_seen, min_by(status, seq) = 'running' AS new_work FROM e GROUP BY process_id"""
+)
+def run_trackers(spark, sf):
+    return service.trackers(table(spark, sf, "events").selectExpr("user_id AS process_id", "event_id AS seq", "CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' ELSE 'running' END AS status"))
