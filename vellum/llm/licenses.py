@@ -72,6 +72,12 @@ TITLES += tuple((name, f"SPDX License Identifier {name}{suffix}") for name in ID
 SLACK = 2
 #: Notices of fewer terms have to stand whole in a window.
 SHORT = 5
+#: Words of running text in several languages: an anchor only where no other term is left.
+COMMON = set(
+    "the of and to in a is for be on with this that by at from or an as it you are may not any all use will no if can was has have had which who but they their its our your we he she "
+    "i do does did been were would there these those than then so such into out up only more most other some mit der die das und ein eine ist den dem des zu von auf nicht für als auch "
+    "le la les de du des un une et en est que qui dans pour par sur au aux ne pas ce se el los las y que del por con para su al lo como pero sus mas o si".split()
+)
 TERM = r"[a-z0-9]+"
 LICENSE_FILE = r"(?i)^(?:licen[cs]e|copying|copyright|notice|unlicense)(?:[.\-_][^/]*)?$"
 
@@ -102,8 +108,8 @@ def anchors(units: list[dict[str, float]], threshold: float) -> list[str]:
     """Terms of which every line at the threshold with a template has at least one."""
     chosen: set[str] = set()
     for unit in units:
-        # long terms first: short ones are words of some language or other
-        for term in sorted(unit, key=lambda t: (min(len(t), 6), unit[t], t), reverse=True):
+        # long terms first and words of running text last: the fewer lines have an anchor, the better
+        for term in sorted(unit, key=lambda t: (t not in COMMON, min(len(t), 6), unit[t], t), reverse=True):
             if math.sqrt(sum(w * w for t, w in unit.items() if t not in chosen)) < threshold - 1e-9:
                 break
             chosen.add(term)
@@ -157,14 +163,16 @@ def scan_windows(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
                 if (term, k, j + shift) not in seen:
                     seen.add((term, k, j + shift))
                     laid.append((term, k, j + shift, len(own)))
-    for k, (_, text) in enumerate(titles, len(templates)):
+    # a title is looked for at its most telling term
+    telling = [max(terms(text), key=lambda t: (t not in COMMON and not t.isdigit(), len(t), t)) for _, text in titles]
+    for k, ((_, text), term) in enumerate(zip(titles, telling, strict=True), len(templates)):
         own = terms(text)
-        laid.append((own[0], k, 0, len(own)))
+        laid += [(term, k, j, len(own)) for j, t in enumerate(own) if t == term]
     by: dict[str, list[str]] = {}
     for term, k, back, size in laid:
         by.setdefault(term, []).append(f"struct({k} AS template, {back} AS back, {size} AS size)")
-    # a file is looked at if it has an anchor or the last term of a title
-    some = sorted({t for t, k, *_ in laid if k < len(templates)} | {terms(text)[-1] for _, text in titles if not terms(text)[-1].isdigit()} | {"apache", "mozilla", "gnu", "creative", "bsd", "mit", "spdx", "isc", "zlib", "eclipse", "boost", "unlicense"})
+    # a file is looked at if it has an anchor of a notice or the most telling term of a title
+    some = sorted(by)
     held = files.where(F.col("text").rlike(rf"(?i)(?<![a-z0-9])(?:{'|'.join(some)})(?![a-z0-9])"))
     own = F.regexp_extract_all(ascii_lower(F.col("x")), F.lit(TERM), F.lit(0))
     lines = held.select("path", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "x")).select("path", "tie", "line_no", own.alias("ts")).where(F.size("ts") > 0)
