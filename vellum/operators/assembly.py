@@ -39,7 +39,8 @@ def provenance(baselines: DataFrame, picks: DataFrame) -> DataFrame:
 def assembled(lineage: DataFrame) -> DataFrame:
     """doc_id, text of a lineage, its pieces in order."""
     per = lineage.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "piece"))).alias("p"))
-    joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["piece"]))
+    # a byte-wise join in linear time: pieces may end inside a character
+    joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["piece"])), ""))
     return per.select("doc_id", joined.cast("string").alias("text"))
 
 

@@ -64,9 +64,19 @@ def phases(records: DataFrame, queued: DataFrame, claims: DataFrame) -> DataFram
 
 
 def oldest_first(jobs: DataFrame, capacity: int) -> DataFrame:
-    """job_id, place, accepted: first in, first out by (queued_at, job_id); beyond capacity a job is refused."""
-    order = Window.orderBy("queued_at", "job_id")
-    return jobs.withColumn("place", F.row_number().over(order)).select("job_id", "place", (F.col("place") <= capacity).alias("accepted"))
+    """job_id, place, accepted: first in, first out by (queued_at, job_id); beyond capacity a job is refused.
+
+    queued_at is a time or seconds; without one a job comes first. Places are counted within days, and the days' own
+    counts are added up, so that no task sorts more than a day.
+    """
+    timed = "timestamp" in jobs.schema["queued_at"].dataType.simpleString()
+    day = F.unix_date(F.to_date("queued_at")) if timed else F.floor(F.col("queued_at") / 86_400)
+    dated = jobs.select("job_id", "queued_at", F.coalesce(day.cast("long"), F.lit(-(1 << 62))).alias("day"))
+    # a row for each day
+    days = dated.groupBy("day").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+    own = F.row_number().over(Window.partitionBy("day").orderBy("queued_at", "job_id"))
+    placed = dated.withColumn("own", own).join(days, "day").withColumn("place", F.col("own") + F.coalesce("before", F.lit(0)))
+    return placed.select("job_id", "place", (F.col("place") <= capacity).alias("accepted"))
 
 
 def expired(records: DataFrame, now: int, retention: int) -> DataFrame:

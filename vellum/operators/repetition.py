@@ -39,16 +39,25 @@ def excess_repetition(output: DataFrame, sources: DataFrame) -> DataFrame:
     return both.where("output_count > source_count")
 
 
-def reference_overlap(documents: DataFrame, references: DataFrame) -> DataFrame:
-    """doc_id, item_id, shared: distinct shingles that a text shares with a reference text."""
-    own = shingles(documents, "doc_id")
+def reference_overlap(documents: DataFrame, references: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """doc_id, item_id, shared: distinct shingles that a text shares with a reference text.
+
+    Up to a counted number of reference shingles they go to the texts, and only hits are shuffled.
+    """
     theirs = shingles(references, "item_id")
-    return own.join(theirs, "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    if theirs.count() <= broadcast_rows:
+        hits = shingles(documents, "doc_id").join(F.broadcast(theirs), "shingle")
+    else:
+        hits = shingles(documents, "doc_id").join(theirs, "shingle")
+    return hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 def token_recall(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """key, reference_tokens, found, recall_ppm: multiset overlap of the tokens of two views of one text."""
-    a = left.select(key, F.explode("tokens").alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
-    b = right.select(key, F.explode("tokens").alias("t")).groupBy(key, "t").agg(F.count("*").alias("m"))
-    both = a.join(b, [key, "t"], "left").groupBy(key).agg(F.sum("n").alias("reference_tokens"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("found"))
+    """key, reference_tokens, found, recall_ppm: multiset overlap of the tokens of two views of one text.
+
+    Both views are counted in one aggregation by (key, token).
+    """
+    side = lambda df, n, m: df.select(key, F.explode("tokens").alias("t"), F.lit(n).cast("long").alias("n"), F.lit(m).cast("long").alias("m"))
+    counts = side(left, 1, 0).union(side(right, 0, 1)).groupBy(key, "t").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 0")
+    both = counts.groupBy(key).agg(F.sum("n").alias("reference_tokens"), F.sum(F.least("n", "m")).alias("found"))
     return both.withColumn("recall_ppm", ppm(F.col("found"), F.col("reference_tokens")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import SOURCE_RANK
 from vellum.functions import text as tx
-from vellum.operators import alignment, consensus, lexing, markup, repetition, rules, runs, spans, usage
+from vellum.operators import alignment, consensus, lexing, markup, queue, repetition, rules, runs, spans, usage
 from vellum.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,10 +444,11 @@ def stage_durations(spark, sf):
     return own.groupBy("status").agg(F.count("d").alias("steps"), F.sum("d").alias("total_us"), F.round(F.sum("d") / 1_000_000.0 / F.count("d"), 3).alias("mean_s"))
 
 
-@query("""SELECT o_orderkey, o_orderdate, k FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O') WHERE k <= 10""")
+@query("SELECT o_orderkey AS job_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place, row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= 10 AS accepted FROM orders WHERE o_orderstatus = 'O'")
 def fifo_queue(spark, sf):
-    order = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf, "orders").where("o_orderstatus = 'O'").withColumn("k", F.row_number().over(order).cast("long")).where("k <= 10").select("o_orderkey", "o_orderdate", "k")
+    """All open orders as queued jobs; ten are accepted."""
+    jobs = table(spark, sf, "orders").where("o_orderstatus = 'O'").selectExpr("o_orderkey AS job_id", "o_orderdate AS queued_at")
+    return queue.oldest_first(jobs, 10)
 
 
 @query(
