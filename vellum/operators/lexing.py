@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import REPETITION
 from vellum.functions.text import tokens
 
+#: What stands between paragraphs.
+BLANK_LINES = r"(?:\r?\n){2,}"
+
 
 def line_spans(documents: DataFrame) -> DataFrame:
     """doc_id, line_no, line, byte_start, byte_end: half-open UTF-8 ranges without the line feed.
@@ -25,6 +33,43 @@ def lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def paragraphs(documents: DataFrame) -> DataFrame:
+    """doc_id, block_no, block, byte_start, byte_end: what stands between runs of two or more line ends.
+
+    Offsets are summed inside of a row, from the blocks and their separators; nothing is shuffled.
+    """
+    parts = documents.select("doc_id", F.split("text", BLANK_LINES).alias("b"), F.regexp_extract_all("text", F.lit(BLANK_LINES), F.lit(0)).alias("s"))
+    sizes = parts.withColumn("n", F.transform("b", lambda x: F.octet_length(x).cast("long"))).withColumn("m", F.transform("s", lambda x: F.octet_length(x).cast("long")))
+    # (blocks, end of the last separator) so far
+    step = "(a, i) -> struct(concat(a.o, array(a.at)) AS o, a.at + n[i] + coalesce(get(m, i), 0L) AS at)"
+    offsets = F.expr(f"aggregate(sequence(0, size(n) - 1), struct(cast(array() AS array<bigint>) AS o, 0L AS at), {step}).o")
+    rows = sizes.select("doc_id", F.posexplode(F.arrays_zip(F.col("b").alias("block"), offsets.alias("byte_start"), F.col("n").alias("size"))).alias("block_no", "x"))
+    return rows.select("doc_id", "block_no", "x.block", "x.byte_start", (F.col("x.byte_start") + F.col("x.size")).alias("byte_end"))
+
+
+def shingle_spans(documents: DataFrame, size: int = REPETITION.shingle_tokens, least_chars: int = REPETITION.shingle_chars) -> DataFrame:
+    """doc_id, digest, byte_start, byte_end of every run of `size` tokens (case-folded) with `least_chars` characters in all."""
+
+    def kernel(batches):
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text, found, char, byte = text or "", [], 0, 0
+                for m in re.finditer(r"[^\W_]+", text):
+                    byte += len(text[char : m.start()].encode())
+                    end = byte + len(m[0].encode())
+                    found.append((unicodedata.normalize("NFKC", m[0]).casefold(), byte, end))
+                    char, byte = m.end(), end
+                for k in range(len(found) - size + 1):
+                    words = [w for w, _, _ in found[k : k + size]]
+                    if sum(map(len, words)) >= least_chars:
+                        rows.append((doc, hashlib.sha256(" ".join(words).encode()).hexdigest(), found[k][1], found[k + size - 1][2]))
+            made = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "digest", "byte_start", "byte_end"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, "doc_id long, digest string, byte_start long, byte_end long")
+
+
 def shingles(rows: DataFrame, key: str, size: int = REPETITION.shingle_tokens, least_chars: int = REPETITION.shingle_chars) -> DataFrame:
     """key, shingle: distinct runs of tokens, joined by a space."""
     own = rows.select(key, tokens(F.col("text")).alias("t"))

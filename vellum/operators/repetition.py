@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from vellum.config import REPETITION
 from vellum.functions.text import comparison_key, ppm, word_count
-from vellum.operators.lexing import lines, shingles
+from vellum.operators.lexing import BLANK_LINES, shingles
 
 
 def eligible_blocks(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint of every line that is long enough to tell repetition from chance."""
-    own = lines(documents).select("doc_id", comparison_key(F.col("line")).alias("key"))
+    """doc_id, fingerprint of every paragraph that is long enough to tell repetition from chance."""
+    own = documents.select("doc_id", F.explode(F.split("text", BLANK_LINES)).alias("block")).select("doc_id", comparison_key(F.col("block")).alias("key"))
     own = own.where((F.length("key") >= REPETITION.min_chars) & (word_count(F.col("key")) >= REPETITION.min_tokens))
     return own.select("doc_id", F.sha2("key", 256).alias("fingerprint"))
 

@@ -56,7 +56,12 @@ SELECT doc_id, blocks, unique_blocks, excess, CAST(excess * 1000000 // blocks AS
 blocks >= 20 AND excess >= 8 AND excess * 1000000 // blocks >= 300000 AS repeated FROM p"""
 )
 def repetition_profile(spark, sf):
-    return repetition.repetition_profile(table(spark, sf, "documents"))
+    """Lines as paragraphs: a blank line goes between them."""
+    return repetition.repetition_profile(_spaced(table(spark, sf, "documents")))
+
+
+def _spaced(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
 
 
 @query(
@@ -98,7 +103,7 @@ def excess_repetition(spark, sf):
     docs = table(spark, sf, "documents")
     once = docs.select("doc_id", F.lit("docling").alias("source"), F.array_join(F.array_distinct(F.split("text", "\n")), "\n").alias("text"))
     keyed = once.select("doc_id", "source", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: tx.comparison_key(x)))).alias("text"))
-    return repetition.excess_repetition(docs, keyed.groupBy("doc_id", "source").agg(F.array_join(F.collect_set("text"), "\n").alias("text")))
+    return repetition.excess_repetition(_spaced(docs), _spaced(keyed.groupBy("doc_id", "source").agg(F.array_join(F.collect_set("text"), "\n").alias("text"))))
 
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"

@@ -17,6 +17,13 @@ def exact_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "raw", F.when(valid, F.decode("raw", "UTF-8")).alias("text"), F.sha2("raw", 256).alias("digest"), valid.alias("valid"))
 
 
+def case_folders(spark: SparkSession, root: str, marks: tuple[str, ...] = ("run.json", "status.json")) -> DataFrame:
+    """folder and the names of its marks, of every folder right below the root that has any of them, by name."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{{{','.join(marks)}}}").load(f"{root.rstrip('/')}/*").select("path")
+    parts = files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("mark"))
+    return parts.groupBy("folder").agg(F.array_sort(F.collect_set("mark")).alias("marks")).orderBy("folder")
+
+
 def tolerant_json(rows: DataFrame, column: str, schema: str, name: str) -> DataFrame:
     """Adds the parsed record; what does not parse is a record of nulls."""
     return rows.withColumn(name, F.from_json(column, schema, {"mode": "PERMISSIVE"}))
