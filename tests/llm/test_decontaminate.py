@@ -27,26 +27,35 @@ def template(text):
 def brute(rows, items):
     found = defaultdict(set)
     key = lambda part: tuple(k or v for k, v in part)
+    own_tokens, places = [template(own) for _, own in rows], {}
+
+    def at(n, k):
+        """window -> its places in document n"""
+        if (n, k) not in places:
+            held = places[n, k] = defaultdict(list)
+            for j in range(len(own_tokens[n]) - k + 1):
+                held[key(own_tokens[n][j : j + k])].append(j)
+        return places[n, k]
+
     for item, text in items:
         b = template(text)
         k = min(len(b), d.WINDOW)
         if not k:
             continue
-        for doc, own in rows:
-            t = template(own)
+        for n, (doc, _) in enumerate(rows):
+            t = own_tokens[n]
             lines = defaultdict(list)
             for i in range(len(b) - k + 1):
                 part = b[i : i + k]
                 if sum(bool(x) for x, _ in part) * 2 > k:
                     continue
-                for j in range(len(t) - k + 1):
-                    if key(part) == key(t[j : j + k]):
-                        lines[j - i].append(i)
-            for shift, at in lines.items():
-                if len(at) < min(d.LEAST, len(b) - k + 1):
+                for j in at(n, k).get(key(part), ()):
+                    lines[j - i].append(i)
+            for shift, met in lines.items():
+                if len(met) < min(d.LEAST, len(b) - k + 1):
                     continue
                 seen = defaultdict(set)
-                for p in range(min(at), max(at) + k):
+                for p in range(min(met), max(met) + k):
                     if b[p][0] and t[p + shift][0] == b[p][0]:
                         seen[b[p]].add(t[p + shift][1])
                 if all(len(v) == 1 for v in seen.values()):
