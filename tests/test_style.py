@@ -69,3 +69,50 @@ def test_case_folders(spark, tmp_path):
         for n in names:
             (tmp_path / folder / n).write_text("{}")
     assert [(r.folder, r.marks) for r in case_folders(spark, str(tmp_path)).collect()] == [("a", ["run.json", "status.json"]), ("b", ["run.json"])]
+
+
+def test_targets(spark):
+    text = "# A *big* title\n\nSome _plain_ text\nin two lines\n\n| a |\n\n- item *x*\n\nwith `code`"
+    got = [(r.no, r.unit_type, r.visible, [tuple(e) for e in r.emphasis]) for r in style.targets(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()]
+    assert got == [(0, "heading", "A big title", [(2, 5)]), (1, P, "Some plain text in two lines", [(5, 10)]), (3, "list", "item x", [(5, 6)])]
+
+
+def test_claims(spark):
+    feed = lambda *rows: spark.createDataFrame([(1, *r) for r in rows], "doc_id long, source string, unit_no int, start int, end int, text string")
+    a, b = ("grobid", 0, 1, 2, "x"), ("marker", 0, 4, 5, "y")
+    got = style.claims(feed(a), feed(a, b), feed(b), feed(("marker", 1, 0, 3, "z"))).collect()
+    assert sorted((r.text, r.evidence, r.protected) for r in got) == [("x", "native_document", True), ("y", "native_style", True), ("z", "markdown", False)]
+    assert len({r.claim_id for r in got}) == 3
+
+
+def test_pairing():
+    donors = [(P, "alpha beta gamma delta", True), (P, "the second text of them", False), (P, "same", True), (P, "same", True), ("list", "- only item here", False), (P, "zebra yak xylophone", True)]
+    finals = [(P, "alpha beta gamma delta"), (P, "the second text of these"), ("list", "- only one item"), (P, "zebra yak and xylophones")]
+    got = {(a, b): how for a, b, how in style.paired_units(donors, finals)}
+    assert got[0, 0] == "exact" and got[1, 1] == "aligned" and got[5, 3] == "aligned" and all(a not in (2, 3) for a, _ in got)
+    # the order keeps the second from being aligned; a protected donor still finds its unit
+    swapped = style.paired_units([(P, "first of all the texts", True), (P, "zebra yak xylophone", True)], [(P, "zebra yak xylophones"), (P, "first of all these texts")])
+    assert sorted((a, b) for a, b, _ in swapped) == [(0, 1), (1, 0)] and {how for *_, how in swapped} == {"aligned", "single"}
+
+
+def test_fallback_hints():
+    hints = [("body", P, "one two three four", None, True), ("body", P, "not emphasised at all", None, False), ("back", P, "five six seven eight", None, True), ("body", P, "taken", 1, True)]
+    units = [("body", P, "one two three four five"), ("body", P, "taken"), ("body", P, "five six seven eight"), ("back", P, "five six seven eight nine")]
+    assert style.fallback_hints(hints, units) == [(0, 0), (2, 3)]
+
+
+def test_reference_marks(spark):
+    from vellum.operators import fronts
+
+    text = "[4] Smith\n- Doe\n3. Roe\nBare"
+    units = [(1, k, "reference", raw, text.index(raw)) for k, raw in enumerate(text.split("\n"))]
+    edits = style.reference_marks(spark.createDataFrame(units, "doc_id long, no int, unit_type string, raw string, char_start int"))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert edits.count() == 3 and fronts.edited(docs, edits).first().text == "1. Smith\n2. Doe\n3. Roe\n4. Bare"
+
+
+def test_receipts(spark):
+    schema = "doc_id long, region string, request string, choice int, candidates array<string>"
+    receipts = spark.createDataFrame([(1, "r0", "q", 1, ["a"]), (1, "r1", "q", 2, ["b"]), (1, "r2", "q", 0, [])], schema)
+    traces = spark.createDataFrame([(1, "r0", "q", 1, ["a"]), (1, "r1", "q", 2, ["b"]), (1, "r1", "q", 2, ["b"]), (1, "r2", "p", 0, [])], schema)
+    assert sorted(map(tuple, style.unmatched_receipts(receipts, traces).collect())) == [(1, "r1", 2), (1, "r2", 0)]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.kernels import _HEADING, folded_key, strip_emphasis
+from vellum.config import FLOORS
+from vellum.functions.kernels import _HEADING, folded_key, indel_ratio, scan_units, strip_emphasis
+from vellum.functions.scalars import CONTENT_MARKS
 from vellum.functions.sequences import projection_tokens
+from vellum.operators.alignment import align_units
 from vellum.operators.composites import visible
 
 #: Types of units that a styled line may be mapped to (fixed values).
@@ -110,3 +114,99 @@ def with_title(text: str, first: int, last: int) -> str | None:
     while rest and not rest[0].strip():
         rest.pop(0)
     return "\n".join([title, "", *rest]) if rest else title
+
+
+def targets(documents: DataFrame) -> DataFrame:
+    """doc_id, no, unit_type, raw, visible, emphasis (character ranges of the visible text) of the units that may bear style."""
+
+    def kernel(batches):
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = (text or "").encode()
+                for no, (kind, a, b) in enumerate(scan_units(text or "")):
+                    raw = data[a:b].decode()
+                    body = raw[len(re.match(CONTENT_MARKS.get(kind, ""), raw)[0]) :] if re.match(CONTENT_MARKS.get(kind, ""), raw) else raw
+                    if kind in MAPPED and visible(body) is not None:
+                        shown, spans = strip_emphasis(" ".join(body.split()))
+                        rows.append((doc, no, kind, raw, shown, [{"start": x, "end": y} for x, y in spans]))
+            made = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], ["doc_id", "no", "unit_type", "raw", "visible", "emphasis"])
+
+    schema = "doc_id long, no long, unit_type string, raw string, visible string, emphasis array<struct<start:int,end:int>>"
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, schema)
+
+
+def claims(hints: DataFrame, styled: DataFrame, other_styled: DataFrame, markdown: DataFrame) -> DataFrame:
+    """claim_id, doc_id, source, evidence, protected, unit_no, start, end, text: what asks for emphasis, from four feeds.
+
+    Each feed has doc_id, source, unit_no, start, end, text. Native documents and native style are protected, styles
+    and Markdown of other sources are auxiliary; a claim of two feeds is that of the stronger one.
+    """
+    feeds = (("native_document", True, hints), ("native_style", True, styled), ("style", False, other_styled), ("markdown", False, markdown))
+    columns = ["doc_id", "source", "unit_no", "start", "end", "text"]
+    every = [df.select(*columns, F.lit(k).alias("rank"), F.lit(name).alias("evidence"), F.lit(kept).alias("protected")) for k, (name, kept, df) in enumerate(feeds)]
+    rows = functools.reduce(DataFrame.union, every).groupBy(*columns).agg(F.min(F.struct("rank", "evidence", "protected")).alias("best"))
+    name = F.sha2(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    return rows.select(name.alias("claim_id"), *columns, "best.evidence", "best.protected")
+
+
+def paired_units(donors: list[tuple], finals: list[tuple]) -> list[tuple[int, int, str]]:
+    """(donor, final, how) of donors (type, raw, protected) and final units (type, raw), each at most once.
+
+    Keys that come once on either side first, then the order-preserving alignment where it is not ambiguous, then a
+    last pair of one type, then for protected donors the one most similar unit that is left.
+    """
+    mine, theirs = [(d[0], folded_key(d[1])) for d in donors], [(f[0], folded_key(f[1])) for f in finals]
+    once = lambda keys: {k: n for n, k in enumerate(keys) if keys.count(k) == 1}
+    left, right = once(mine), once(theirs)
+    out = [(n, right[k], "exact") for k, n in left.items() if k in right]
+
+    def rest() -> tuple[list[int], list[int]]:
+        return [n for n in range(len(donors)) if n not in {x[0] for x in out}], [n for n in range(len(finals)) if n not in {x[1] for x in out}]
+
+    a, b = rest()
+    out += [(a[i], b[j], "aligned") for i, j, _, doubt, _ in align_units([donors[n][:2] for n in a], [finals[n] for n in b]) if not doubt]
+    a, b = rest()
+    if len(a) == len(b) == 1 and donors[a[0]][0] == finals[b[0]][0]:
+        out.append((a[0], b[0], "single"))
+        a, b = rest()
+    for n in (n for n in a if donors[n][2]):
+        scores = sorted(((indel_ratio(mine[n][1], theirs[m][1]), -m) for m in rest()[1] if finals[m][0] == donors[n][0]), reverse=True)
+        if scores and scores[0][0] >= FLOORS.get(donors[n][0], 42) and (len(scores) == 1 or scores[1][0] < scores[0][0]):
+            out.append((n, -scores[0][1], "fuzzy"))
+    return sorted(out)
+
+
+def fallback_hints(hints: list[tuple], units: list[tuple]) -> list[tuple[int, int]]:
+    """(hint, unit) for emphasised hints (region, type, text, unit or None, emphasised) that met no unit (region, type, raw), region by region."""
+    taken = {h[3] for h in hints if h[3] is not None}
+    out = []
+    for region in dict.fromkeys(h[0] for h in hints):
+        a = [n for n, h in enumerate(hints) if h[0] == region and h[3] is None and h[4]]
+        b = [n for n, u in enumerate(units) if u[0] == region and n not in taken]
+        out += [(a[i], b[j]) for i, j, _, doubt, _ in align_units([hints[n][1:3] for n in a], [units[n][1:3] for n in b]) if not doubt]
+    return sorted(out)
+
+
+def reference_marks(units: DataFrame) -> DataFrame:
+    """doc_id, start, end, new: edits that number the references of each document from 1 on, for `fronts.edited`.
+
+    units: doc_id, no, unit_type, raw, char_start. A mark of any kind (bullet, number, bracket, footnote) is replaced;
+    an entry that is numbered right already needs no edit.
+    """
+    own = units.where("unit_type = 'reference'")
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))
+    mark = F.regexp_extract("raw", r"^(\s*(?:[-+*]|\[\^?\d{1,4}\]:?|\d{1,4}[.)])[ \t]+)", 1)
+    new = F.concat(k.cast("string"), F.lit(". "))
+    rows = own.select("doc_id", F.col("char_start").cast("int").alias("start"), (F.col("char_start") + F.length(mark)).cast("int").alias("end"), new.alias("new"), mark.alias("mark"))
+    return rows.where("mark <> new").drop("mark")
+
+
+def unmatched_receipts(receipts: DataFrame, traces: DataFrame) -> DataFrame:
+    """doc_id, region, traces of selections (doc_id, region, request, choice, candidates) that do not have exactly one equal trace."""
+    keys = ["doc_id", "region", "request", "choice", "candidates"]
+    counted = traces.groupBy(*keys).agg(F.count("*").alias("traces"))
+    both = receipts.select(*keys).join(counted, keys, "left").withColumn("traces", F.coalesce("traces", F.lit(0).cast("long")))
+    return both.where("traces <> 1").select("doc_id", "region", "traces")
