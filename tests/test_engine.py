@@ -1,17 +1,67 @@
+import hashlib
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from vellum import sources, streaming
 from vellum.functions import kernels, text
-from vellum.operators import alignment, markup, rules, runs, usage
-from vellum.plans.catalogue import ORACLES, QUERIES
+from vellum.operators import alignment, baseline, composites, markup, rules, runs, usage
+from vellum.plans import documents, service  # noqa: F401  they register their queries
+from vellum.plans.catalogue import ORACLES, QUERIES, versions
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_queries_without_sql_run(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def lines_of(spark):
+    return {r.doc_id: r.text.split("\n") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_aligned_units_query(spark):
+    """Every document against the kernel on its own lines."""
+    got = {}
+    for r in QUERIES["aligned_units"](spark, SF).collect():
+        got.setdefault(r.doc_id, []).append((r.base_no, r.other_no, r.similarity, r.ambiguous, r.competing))
+    for doc, lines in lines_of(spark).items():
+        base = [(k, x) for k, x in enumerate(lines) if x]
+        other = [(k, x.replace("th", "h")) for k, x in base if k % 7 != 6]
+        want = alignment.align_units([("paragraph", x) for _, x in base], [("paragraph", x) for _, x in other])
+        assert sorted(got.get(doc, [])) == sorted((base[i][0], other[j][0], s, c, [other[k][0] for k in more]) for i, j, s, c, more in want)
+
+
+def test_composite_and_clipped_queries(spark):
+    base, other = documents._units(spark.read.parquet(f"{SF}/documents.parquet"))
+    sides = []
+    for df in (base, other):
+        held = {}
+        for r in df.orderBy("doc_id", "no").collect():
+            held.setdefault(r.doc_id, []).append((r.no, (r.unit_type, r.raw)))
+        sides.append(held)
+    want = {(d, u[a][0], u[b][0], sides[1][d][c][0], sides[1][d][e][0]) for d, u in sides[0].items() for a, b, c, e in composites.composite_matches([x for _, x in u], [x for _, x in sides[1][d]])}
+    assert {tuple(r) for r in QUERIES["composite_runs"](spark, SF).collect()} == want and len(want) > 50
+    # lines that begin with the three last words of the line before lose them, where these say enough
+    got = {(r.doc_id, r.no): (r.start, r.fault) for r in QUERIES["clipped_units"](spark, SF).collect()}
+    assert sum(start > 0 for start, _ in got.values()) > len(got) / 2 and {f for _, f in got.values()} <= {"", "unsafe", "empty"}
+
+
+def test_baseline_and_shingle_queries(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = {}
+    for r in versions(docs).collect():
+        held.setdefault(r.doc_id, {})[r.source] = (r.text, False)
+    want = {(d, s, *v) for d, own in held.items() for s, v in baseline.judge_versions(own, ()).items()}
+    assert {tuple(r) for r in QUERIES["baseline_choices"](spark, SF).collect()} == want
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = QUERIES["shingle_spans"](spark, SF).collect()
+    assert len(rows) > 1000
+    for r in rows[::97]:
+        words = re.findall(r"[^\W_]+", texts[r.doc_id][r.byte_start : r.byte_end].decode())
+        assert hashlib.sha256(" ".join(unicodedata.normalize("NFKC", w).casefold() for w in words).encode()).hexdigest() == r.digest and len(words) == 12
+
+
+def test_every_query_without_sql_is_held_by_a_test():
+    assert set(QUERIES) - set(ORACLES) == {"aligned_units", "composite_runs", "clipped_units", "baseline_choices", "shingle_spans"}
 
 
 def test_units_and_alignment(spark):
@@ -27,7 +77,7 @@ def test_units_and_alignment(spark):
 
 def test_repeated_document_is_flagged(spark):
     line = "word " * 30
-    docs = spark.createDataFrame([(1, "\n".join([line] * 25)), (2, "\n".join(f"{line}{i}" for i in range(25)))], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "\n\n".join([line] * 25)), (2, "\n\n".join(f"{line}{i}" for i in range(25)))], "doc_id long, text string")
     from vellum.operators.repetition import repetition_profile
 
     got = {r.doc_id: (r.excess, r.repeated) for r in repetition_profile(docs).collect()}
