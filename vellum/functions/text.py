@@ -33,11 +33,11 @@ def anchor_tokens(text: Column) -> Column:
 
 
 def non_space_bytes(text: Column) -> Column:
-    return F.octet_length(F.regexp_replace(text, r"[ \t\n\x0B\f\r]", "")).cast("long")
+    return F.octet_length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))).cast("long")
+    return F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
 
 
 def ppm(part: Column, whole: Column, empty: int = 1_000_000) -> Column:
