@@ -8,7 +8,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 
-_BLOCK = 512
+_BLOCK = 256
 _SELECT = np.full((256, 8), 8, np.uint8)  # place of the k-th one of a byte
 for _byte in range(256):
     for _k, _place in enumerate([i for i in range(8) if _byte >> i & 1]):
@@ -52,23 +52,31 @@ class EliasFano:
         block = np.searchsorted(directory, k, side="right") - 1
         left = k - directory[block]
         word = block * (_BLOCK // 64)
-        for _ in range(_BLOCK // 64 - 1):
-            count = np.bitwise_count(self.upper[word]).astype(np.int64)
-            count = count if ones else 64 - count
-            go = left >= count
-            left -= np.where(go, count, 0)
-            # once a word holds the place, later steps see the same word again and stay
-            word += go
         bits = self.upper[word] if ones else ~self.upper[word]
+        for _ in range(_BLOCK // 64 - 1):
+            count = np.bitwise_count(bits).astype(np.int64)
+            go = np.flatnonzero(left >= count)
+            # once a word holds the place it is left alone
+            left[go] -= count[go]
+            word[go] += 1
+            bits[go] = self.upper[word[go]] if ones else ~self.upper[word[go]]
         place = word * 64
         for half in (32, 16, 8):
             count = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
             go = left >= count
-            left -= np.where(go, count, 0)
-            bits = np.where(go, bits >> np.uint64(half), bits)
-            place += np.where(go, half, 0)
+            left -= count * go
+            shift = go * half
+            bits >>= shift.astype(np.uint64)
+            place += shift
         return place + _SELECT[(bits & np.uint64(255)).astype(np.int64), left]
 
+    def _run(self, place: np.ndarray, ones: bool) -> np.ndarray:
+        """How many ones, or zeros, stand in a row from each place on; -1 where they reach the end of a word."""
+        bits = self.upper[place >> 6]
+        bits = (~bits if ones else bits) >> (place & 63).astype(np.uint64)
+        low = np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        return np.where(bits == 0, -1, low)
+
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.uint64)
@@ -82,6 +90,25 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.width)) | self._lows(i)
 
+    def get_both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th value and the one after it."""
+        place = self._select(i, True)
+        gap = self._run(place + 1, False)
+        far = np.flatnonzero(gap < 0)
+        after = place + 1 + gap
+        after[far] = self._select(i[far] + 1, True)
+        width = np.uint64(self.width)
+        return ((place - i).astype(np.uint64) << width) | self._lows(i), ((after - i - 1).astype(np.uint64) << width) | self._lows(i + 1)
+
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end) places of the values with these high bits."""
+        # the bucket lies behind the zero that ends the one before it
+        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
+        size = self._run(start, True)
+        far = np.flatnonzero(size < 0)
+        size[far] = self._select(high[far], False) - start[far]
+        return start - high, start - high + size
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, or -1; by successor search among those with the same high bits."""
         values = np.asarray(values, np.uint64)
@@ -89,9 +116,8 @@ class EliasFano:
             return np.full(len(values), -1, np.int64)
         high = (values >> np.uint64(self.width)).astype(np.int64)
         target = values & np.uint64((1 << self.width) - 1)
-        end = self._select(high, False) - high
-        first = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
-        lo, hi = first.copy(), end.copy()
+        first, end = self._bucket(high)
+        lo, hi = first, end.copy()
         active = np.flatnonzero(lo < hi)
         while len(active):
             mid = (lo[active] + hi[active]) >> 1
@@ -112,8 +138,8 @@ class EliasFano:
         if not self.n or not len(live):
             return out
         top, target = (values[live] >> np.uint64(self.width)).astype(np.int64), values[live] & np.uint64((1 << self.width) - 1)
-        end = np.minimum(self._select(top, False) - top, high[live])
-        first = np.where(top > 0, self._select(np.maximum(top - 1, 0), False) - np.maximum(top - 1, 0), 0)
+        first, end = self._bucket(top)
+        end = np.minimum(end, high[live])
         lo, hi = np.maximum(first, low[live]), end.copy()
         active = np.flatnonzero(lo < hi)
         while len(active):

@@ -186,7 +186,7 @@ class Model:
             left[at] = value_of(held["left"][own])
             ask = np.flatnonzero(rank[at] >= 0)
             own = own[ask]
-            ranges = held["pointers"].get(own).astype(np.int64), held["pointers"].get(own + 1).astype(np.int64)
+            ranges = [x.astype(np.int64) for x in held["pointers"].get_both(own)]
             stride = held["stride"][0]
             fits = rank[at[ask]] < int(stride)
             found = held["ids"].find_within(own.astype(np.uint64) * stride + rank[at[ask]].astype(np.uint64), ranges[0], np.where(fits, ranges[1], 0))
@@ -203,7 +203,7 @@ def _runs(sorted_ids: np.ndarray):
             yield int(sorted_ids[a]), a, b
 
 
-def _streams(batches, column: int, block_bytes: int = 8 << 20):
+def _streams(batches, column: int, block_bytes: int = 4 << 20):
     """(rows from, rows to, batch, fingerprints, owners) of each block of texts."""
     for batch in batches:
         raw, offsets = byte_texts(batch.column(column))
@@ -281,7 +281,7 @@ def _successors(context: np.ndarray, ids: np.ndarray, stride: int, own_counts: n
     return parts | {f"pointer_{k}": v for k, v in build(pointers, int(pointers[-1]) + 1).items()} | {"quanta": quanta, "left": quantised(left)}
 
 
-def _id_blocks(batches, column: int, limit: int = 8 << 20):
+def _id_blocks(batches, column: int, limit: int = 4 << 20):
     """(batch, rows from, rows to, ids, ends of rows) of blocks of id blobs; ids are -1 for unknown words."""
     for batch in batches:
         raw, offsets = byte_texts(batch.column(column))
