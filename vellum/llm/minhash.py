@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import LOWERED, blocks, byte_texts, mix, settle, shared_folder, table, word_hashes, word_ranges
+from vellum.llm.common import LOWERED, blocks, byte_texts, mix, release, settle, shared_folder, table, word_hashes, word_ranges
 from vellum.llm.graph import components
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -185,7 +185,9 @@ def confirm(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: i
             np.add.at(found[x:y], owners, mix(hashes))
         return found == prints.to_numpy().view(np.uint64)
 
-    return settle(both.mapInArrow(kernel, "a long, b long").distinct(), folder, f"{name}-links")
+    found = settle(both.mapInArrow(kernel, "a long, b long").distinct(), folder, f"{name}-links")
+    release(documents.sparkSession, folder, f"{name}-pairs", f"{name}-wanted", f"{name}-texts")
+    return found
 
 
 def grouped(documents: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
@@ -197,6 +199,8 @@ def grouped(documents: DataFrame, width: int, percent: int, folder: str) -> Data
 
     sketches = real.join(classes.select("node", "rep").hint("merge"), "node").where("doc_id = rep").drop("rep", "doc_id", "tie").dropDuplicates(["node"])
     sketches = settle(sketches, folder, "class-sketches")
+    slim = settle(rows.select("doc_id", "tie", "n_shingles", "f1", "f2"), folder, "rows")
+    release(documents.sparkSession, folder, "sketch")
     bits = [f"s{k}" for k in range(LONGS)]
     entries = sketches.select("node", F.posexplode("bands").alias("no", "band"))
     leaders = settle(entries.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader"), folder, "leaders")
@@ -222,11 +226,12 @@ def grouped(documents: DataFrame, width: int, percent: int, folder: str) -> Data
     more = confirm(crossed, documents, classes, width, percent, once, folder, "crossed")
     groups = settle(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), folder, "second"), folder, "second-components")
 
+    release(documents.sparkSession, folder, "class-sketches", "leaders", "shared", "held", "mixed", "open")
     member = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     member = settle(member, folder, "members")
     least = settle(member.groupBy("component").agg(F.min("rep").alias("component_id")), folder, "least")
     named = settle(member.join(least, "component").select("node", "component", "component_id"), folder, "named")
-    rows = rows.select("doc_id", "tie", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("f1", "f2", "n_shingles")).alias("node"))
+    rows = slim.select("doc_id", "tie", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("f1", "f2", "n_shingles")).alias("node"))
     return rows.join(named, "node", "left").select("doc_id", "tie", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
