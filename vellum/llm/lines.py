@@ -38,6 +38,8 @@ COUNTER_BITS = 16
 LAST = 9223372036854775807
 #: The prefix index and the verification are joined in so many turns, each of which lets go of its shuffle files.
 TURNS = 4
+#: Index entries of cluster members that are sent to every task; more are joined in turns like the others.
+MOST_BROADCAST = 500_000
 #: Classes that share three neighbouring prefix tokens vote for a centre from this number on.
 CROWD = 32
 #: Neighbouring triples of a class, from the common end of its prefix.
@@ -203,10 +205,16 @@ def candidates(loose: DataFrame, members: DataFrame, percent: int, folder: str)
     # members of clusters meet what is in none, and members of other clusters where a token is in several
     mixed = c.groupBy("tok").agg(F.min("kid").alias("low"), F.max("kid").alias("high")).where("low <> high").select("tok")
     several = c.join(mixed, "tok", "left_semi")
-    parts.append(met(u, c, either))
+    if c.count() <= MOST_BROADCAST:
+        parts.append(met(u, F.broadcast(c), either))
+    else:
+        for k in range(TURNS):
+            turn = F.pmod("tok", F.lit(TURNS)) == k
+            parts.append(settle(met(u.where(turn), c.where(turn), either).distinct(), folder, f"mixed-{k}"))
+            release(loose.sparkSession)
     parts.append(met(several, several, "x.cid < y.cid", "x.kid <> y.kid", either))
     out = settle(functools.reduce(DataFrame.union, parts).distinct(), folder, "candidates")
-    release(loose.sparkSession, folder, *(f"met-{k}" for k in range(TURNS)))
+    release(loose.sparkSession, folder, *(f"{name}-{k}" for name in ("met", "mixed") for k in range(TURNS)))
     return out
 
 
@@ -222,7 +230,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
     parts = []
     for k in range(TURNS):
         some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(TURNS)) == k)
-        both = some.join(left, "a").join(right, "b")
+        both = some.join(left.hint("merge"), "a").join(right.hint("merge"), "b")  # one strategy at all sizes
         shared = "size(array_intersect(xwords, ywords))"
         both = both.where(f"{100 + percent} * {shared} >= {percent} * (size(xwords) + size(ywords))").select("x", "y")
         parts.append(settle(_both_ways(both), folder, f"verified-{k}"))
@@ -238,8 +246,14 @@ def linked_lines(documents: DataFrame, percent: int = 80, folder: str | None = N
     texts = _keyed(documents, once=True)
     levels = rarity_levels(texts)
     every = settle(line_sets(texts, levels, percent), folder, "sets")
-    first = every.groupBy("key", "key2").agg(F.min(F.struct(*ID, "n", *BITS, "prefix")).alias("first"), F.count("*").alias("copies"))
-    classes = settle(first.select(F.monotonically_increasing_id().alias("cid"), "key", "key2", "copies", "first.*"), folder, "classes")
+    # in halves of the keys: what one shuffles is let go of before the other
+    halves = []
+    for k in range(2):
+        first = every.where(F.pmod("key", F.lit(2)) == k).groupBy("key", "key2").agg(F.min(F.struct(*ID, "n", *BITS, "prefix")).alias("first"), F.count("*").alias("copies"))
+        cid = F.monotonically_increasing_id() * 2 + k
+        halves.append(settle(first.select(cid.alias("cid"), "key", "key2", "copies", "first.*"), folder, f"classes-{k}"))
+        release(spark)
+    classes = halves[0].union(halves[1])
     lines = settle(every.select(*ID, "key", "key2"), folder, "lines")
     release(spark, folder, "sets")
 
@@ -247,15 +261,18 @@ def linked_lines(documents: DataFrame, percent: int = 80, folder: str | None = N
     links = [settle(df, folder, f"within-{k}") for k, df in enumerate(links_within(members, percent, folder))]
     wide = classes.where("size(prefix) > 0").select("cid", "n", *BITS, "prefix")
     loose = settle(wide.join(members.select("cid"), "cid", "left_anti"), folder, "loose")
-    pairs = candidates(loose, settle(wide.join(members.select("cid", "kid"), "cid"), folder, "clustered"), percent, folder)
+    clustered = settle(wide.join(members.select("cid", "kid"), "cid"), folder, "clustered")
+    classes = settle(classes.drop("prefix", "n", *BITS), folder, "heads")
+    release(spark, folder, "classes-0", "classes-1", "crowded", "crowd-lines", "crowd-sets")
+    pairs = candidates(loose, clustered, percent, folder)
     release(spark, folder, "loose", "clustered")
     links.append(verified(pairs, classes, texts, percent, folder))
     linked = settle(_summed(functools.reduce(DataFrame.unionByName, links)), folder, "linked")
 
     known = classes.select("cid", "key", "key2", "copies", F.struct(*ID).alias("first")).join(linked, "cid", "left").where("copies > 1 OR links > 0").drop("cid")
     known = settle(known, folder, "known")
-    release(spark, folder, "classes")
-    out = lines.join(known, ["key", "key2"], "left")
+    release(spark, folder, "heads")
+    out = lines.join(known.hint("merge"), ["key", "key2"], "left")
     return out.select(*ID, "key", "key2", F.expr("coalesce(copies - 1, 0L) + coalesce(links, 0L)").alias("links"), F.expr("coalesce(behind, false) OR coalesce(first <> struct(doc, tie, line), false)").alias("gone"))
 
 
