@@ -93,3 +93,30 @@ def test_largest_id(spark):
     text = "".join(chr(97 + i % 23) for i in range(150))
     df = spark.createDataFrame([(2**63 - 1, text), (5, text)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in m.remove_spans(df).collect()) == [(5, 0), (2**63 - 1, 150)]
+
+
+def test_blobs_do_not_multiply():
+    """What a task finds in many small parts goes out as one blob for each shard, not as one for each part and shard."""
+    rng = np.random.default_rng(4)
+    found = [(rng.integers(0, 5000, 200), np.zeros(200, np.int64), at := rng.integers(0, 4000, 200), at + 50) for _ in range(300)]
+    batches = list(m._gathered(iter(found), 16))
+    assert sum(b.num_rows for b in batches) == 16
+    parts = [(rng.integers(0, 64, 100).astype(np.int32), rng.integers(0, 99, 100), np.zeros(100, np.int64), np.arange(100), np.ones(100, np.uint8), np.full(100, 60), np.zeros(6000, np.uint8)) for _ in range(50)]
+    assert m._segment_blobs(parts).num_rows == 64
+
+
+def test_shards_of_a_wide_one(spark):
+    """A task that takes several shards one after the other loses none."""
+    rng = random.Random(3)
+    pieces = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([49, 50, 60, 300]))) for _ in range(30)]
+    rows = [(k, "".join(rng.choice(pieces) if rng.random() < 0.6 else str(rng.random()) for _ in range(6))) for k in range(60)]
+    for shards in (1, 4, 128):
+        assert sum(r[2] for r in check(spark, rows, shards=shards)) > 1000
+
+
+def test_shards_are_even():
+    """Anchors are least hashes; the shards that they go to take equal shares of them none the less."""
+    raw = np.random.default_rng(6).integers(0, 256, 200_000).astype(np.uint8)
+    grams, places = m.anchors(raw, np.array([0, len(raw)]))
+    n = np.bincount((m.keys_of(grams, places) >> np.uint64(63 - 5)).astype(np.int64), minlength=32)
+    assert len(places) > 10_000 and n.max() < 1.5 * n.mean()

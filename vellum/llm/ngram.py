@@ -218,11 +218,11 @@ def _lookup(model: Model, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[place], counts[place]
 
 
-def dealt(rows: DataFrame, shards: int) -> tuple[DataFrame, bool]:
+def dealt(rows: DataFrame, shards: int, parts: int = MOST_PARTS) -> tuple[DataFrame, bool]:
     """Rows by shard; whether they come in order. Only where a task has many shards are they sorted, to be taken one after the other."""
-    if shards <= MOST_PARTS:
+    if shards <= (parts := min(parts, MOST_PARTS)):
         return rows.repartition(shards, "shard"), False
-    return rows.repartition(MOST_PARTS, "shard").sortWithinPartitions("shard"), True
+    return rows.repartition(parts, "shard").sortWithinPartitions("shard"), True
 
 
 def by_shard(items, in_order: bool):

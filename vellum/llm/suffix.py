@@ -4,8 +4,8 @@ Anchors. A text's 20-byte grams are hashed; the least hash of each run of 31 gra
 an anchor. Equal strings have equal anchors at equal places, so comparing strings under one anchor is exact,
 and only every sixteenth byte or so is an anchor.
 
-1. Anchor hashes travel as sorted delta blobs to shards of the hash range; a shard keeps those of two or more
-   documents as an Elias-Fano file in the shared folder.
+1. Anchor hashes travel as sorted delta blobs to wide shards of the hash range; a wide shard keeps those of two
+   or more documents as an Elias-Fano file in the shared folder.
 2. Texts are read again. For every anchor that repeats, the segment of all strings it stands for (at most 80
    bytes) goes to the shard. Equal segments within a task are settled there: all but those of the least
    document are covered, and only the least goes on, so a passage in any share of all documents costs a task
@@ -13,7 +13,10 @@ and only every sixteenth byte or so is an anchor.
 3. A shard settles equal segments of all tasks alike. Anchors with different segments left are compared string
    by string in a logarithmic index family: batches get suffix arrays (sorted strings with their least
    document), equal-sized levels merge geometrically, and every batch is scanned against the levels.
-4. Covered ranges go to shards of documents, are merged, and joined to the texts.
+4. Covered ranges go to wide shards of documents, are merged, and joined to the texts.
+
+A task holds what it sends until it is worth a blob for each shard, and a task takes the shards of a wide one: blobs
+for each pair of a block of text and a shard would grow with the square of the input.
 
 Null and empty texts have no bytes. Rows with one id do not cover each other; they are told apart by a hash of
 the text, identical rows being one document. Null ids come last (they cover nothing but other texts' copies in
@@ -29,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import RangeHash, blocks, byte_texts, input_bytes, release, settle, shared_folder, table
+from vellum.llm.common import RangeHash, blocks, byte_texts, input_bytes, mix, release, settle, shared_folder, table
 from vellum.llm.eliasfano import EliasFano, build, map_file, pack, write_file
-from vellum.llm.ngram import _blobs, _by_shard, _runs, by_shard, dealt, merged
+from vellum.llm.ngram import MOST_PARTS, _blobs, _by_shard, _runs, by_shard, dealt, merged
 
 SPAN, GRAM = 50, 20
 RUN = SPAN - GRAM + 1
 #: Bytes of segments that are compared at a time.
 PORTION = 3 << 20
+#: Bytes of segments and number of covered ranges that a task holds before it sends them.
+HELD_BYTES, HELD_SPANS = 8 << 20, 250_000
+#: A wide shard is as large as so many shards, as a power of two.
+WIDE = 2
 #: Bytes of the longest segment: the strings whose leftmost least gram is at one place.
 WIDEST = 2 * SPAN - GRAM
 #: Records that make a batch of an index family.
@@ -64,8 +71,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if n < SPAN:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     grams = np.full(n, _FAR, np.uint64)
-    at = np.arange(n - GRAM + 1)
-    grams[: n - GRAM + 1] = RangeHash(raw)(at, at + GRAM) >> np.uint64(1)
+    grams[: n - GRAM + 1] = RangeHash(raw).every(GRAM) >> np.uint64(1)
     # the last GRAM - 1 bytes of each text start no gram
     for k in range(1, GRAM):
         ends = offsets[1:] - k
@@ -82,6 +88,11 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grams, np.flatnonzero((chosen == grams[: len(chosen)]) & (grams[: len(chosen)] != _FAR))
 
 
+def keys_of(grams: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """63 bits for each anchor, mixed anew: least hashes are small ones, and shards of them would be uneven."""
+    return mix(grams[places]) >> np.uint64(1)
+
+
 def strings_of(grams: np.ndarray, places: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) start of the strings whose leftmost least gram is at each place; begin, end: of its text."""
     own = grams[places]
@@ -180,8 +191,23 @@ def _unpack_columns(blob: bytes, *kinds) -> list[np.ndarray]:
 
 def _gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes of many ranges, end to end."""
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    return raw[np.repeat(starts - first, sizes) + np.arange(int(sizes.sum()))]
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for a in range(0, len(sizes), 4096):  # the places of a few ranges at a time
+        b = min(a + 4096, len(sizes))
+        low, high = int(ends[a] - sizes[a]), int(ends[b - 1])
+        out[low:high] = raw[np.repeat(starts[a:b] - ends[a:b] + sizes[a:b], sizes[a:b]) + np.arange(low, high)]
+    return out
+
+
+def _prints(records: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hashes of the anchor's gram in each segment (a row of bytes), some of them at a time."""
+    out = np.empty(len(begin), np.uint64)
+    for a in range(0, len(begin), 8192):
+        some = begin[a : a + 8192]
+        at = np.arange(len(some)) * records.shape[1] + some
+        out[a : a + 8192] = RangeHash(records[a : a + 8192].ravel())(at, at + GRAM)
+    return out
 
 
 def _settled(prints: np.ndarray, records: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -224,14 +250,42 @@ def _span_blobs(kind: int, shards: int, docs, ties, starts, ends):
     )
 
 
+def _gathered(found, shards: int):
+    """Covered ranges (docs, ties, starts, ends) as they are found, in as few batches of blobs as memory allows."""
+    parts, held = [], 0
+    for spans in found:
+        parts.append(spans)
+        held += len(spans[0])
+        if held >= HELD_SPANS:
+            yield _span_blobs(1, shards, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+            parts, held = [], 0
+    if held:
+        yield _span_blobs(1, shards, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _segment_blobs(parts: list[tuple]) -> pa.RecordBatch:
+    """Rows (shard, kind 0, blob) of segments: parts of (shards, docs, ties, places in the text and of the anchor, sizes, bytes end to end)."""
+    shard, docs, ties, at, delta, sizes, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(shard, kind="stable")
+    shards, blobs = [], []
+    for number, x, y in _runs(shard[order]):
+        p = order[x:y]
+        head = _pack_columns(docs[p], ties[p], at[p], delta[p].astype(np.uint8), sizes[p].astype(np.uint8))
+        shards.append(number)
+        blobs.append(len(head).to_bytes(8, "little") + head + _pack_columns(_gather(raw, starts[p], sizes[p])))
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([0] * len(shards), pa.int32()), pa.array(blobs, pa.binary())], ["shard", "kind", "blob"])
+
+
 _ROW = "shard int, kind int, blob binary"
 
 
 def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> DataFrame:
     """doc, tie, spans (start and end of each covered range as 64-bit integers) of each document with any."""
-    # a shard is for some 2 MB of text, whatever the size of the input; a task takes shards one after the other
-    bits = max(4, (input_bytes(texts) // (2 << 20)).bit_length()) if shards is None else shards.bit_length() - 1
-    n_shards = 1 << bits
+    # a shard is for some 4 MB of text, whatever the size of the input; a task takes those of a wide one after the other
+    bits = max(4 + WIDE, (input_bytes(texts) // (4 << 20)).bit_length()) if shards is None else shards.bit_length() - 1
+    wide = max(0, bits - WIDE)
+    n_shards, n_wide = 1 << bits, 1 << wide
 
     def collect_anchors(batches):
         parts, held = [], 0
@@ -240,7 +294,7 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
             for a, b in blocks(np.diff(offsets)):
                 cut = offsets[a : b + 1] - offsets[a]
                 grams, places = anchors(raw[offsets[a] : offsets[b]], cut)
-                keys, owner = grams[places], np.searchsorted(cut, places, side="right")
+                keys, owner = keys_of(grams, places), np.searchsorted(cut, places, side="right")
                 order = np.lexsort((owner, keys))
                 keys, owner = keys[order], owner[order]
                 once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))) if len(keys) else np.zeros(0, bool)
@@ -249,22 +303,37 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
                 held += len(own)
                 if held > 1_500_000:
                     keys, n = merged(parts)
-                    yield _blobs((keys >> np.uint64(63 - bits)).astype(np.int64), keys, np.minimum(n, 2))
+                    yield _blobs((keys >> np.uint64(63 - wide)).astype(np.int64), keys, np.minimum(n, 2))
                     parts, held = [], 0
         if parts:
             keys, n = merged(parts)
-            yield _blobs((keys >> np.uint64(63 - bits)).astype(np.int64), keys, np.minimum(n, 2))
+            yield _blobs((keys >> np.uint64(63 - wide)).astype(np.int64), keys, np.minimum(n, 2))
 
     def write_repeated(shard, keys, counts):
-        keys = keys[counts > 1] & np.uint64((1 << (63 - bits)) - 1)
-        write_file(folder, f"grams-{shard}", pack(build(keys, 1 << (63 - bits))))
+        keys = keys[counts > 1] & np.uint64((1 << (63 - wide)) - 1)
+        write_file(folder, f"grams-{shard}", pack(build(keys, 1 << (63 - wide))))
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64())], ["shard", "n"])
 
-    known = settle(_by_shard(texts.mapInArrow(collect_anchors, "shard int, blob binary"), n_shards, write_repeated, "shard int, n long"), folder, "repeated")
-    held = {r.shard for r in known.where("n > 0").collect()}  # shard numbers
+    known = settle(_by_shard(texts.mapInArrow(collect_anchors, "shard int, blob binary"), n_wide, write_repeated, "shard int, n long"), folder, "repeated")
+    held_shards = {r.shard for r in known.where("n > 0").collect()}  # shard numbers
     release(texts.sparkSession)
 
     def collect_segments(batches):
+        parts, spans, held, n_spans = [], [], 0, 0
+        for own, covered in block_segments(batches):
+            parts.append(own)
+            spans.append(covered)
+            held, n_spans = held + len(own[-1]), n_spans + len(covered[0])
+            if held >= HELD_BYTES or n_spans >= HELD_SPANS:
+                yield _segment_blobs(parts)
+                yield from _gathered(spans, n_wide)
+                parts, spans, held, n_spans = [], [], 0, 0
+        if parts:
+            yield _segment_blobs(parts)
+            yield from _gathered(spans, n_wide)
+
+    def block_segments(batches):
+        """(segments that go on, ranges that are settled) of each block of texts."""
         files: dict[int, EliasFano] = {}
         for batch in batches:
             raw_all, offsets = byte_texts(batch.column(2))
@@ -272,14 +341,15 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
             for a, b in blocks(np.diff(offsets)):
                 cut, raw = offsets[a : b + 1] - offsets[a], raw_all[offsets[a] : offsets[b]]
                 grams, places = anchors(raw, cut)
-                places = places[np.argsort(grams[places], kind="stable")]
-                keys = grams[places]
+                keys = keys_of(grams, places)
+                order = np.argsort(keys, kind="stable")
+                places, keys = places[order], keys[order]
                 hit = np.zeros(len(keys), bool)
-                for shard, x, y in _runs((keys >> np.uint64(63 - bits)).astype(np.int64)):
-                    if shard in held:
+                for shard, x, y in _runs((keys >> np.uint64(63 - wide)).astype(np.int64)):
+                    if shard in held_shards:
                         if shard not in files:
                             files[shard] = EliasFano(map_file(folder, f"grams-{shard}"))
-                        hit[x:y] = files[shard].find(keys[x:y] & np.uint64((1 << (63 - bits)) - 1)) >= 0
+                        hit[x:y] = files[shard].find(keys[x:y] & np.uint64((1 << (63 - wide)) - 1)) >= 0
                 places, keys = places[hit], keys[hit]
                 owner = np.searchsorted(cut, places, side="right") - 1
                 first, last = strings_of(grams, places, cut[owner], cut[owner + 1])
@@ -290,18 +360,10 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
                 docs, tie = ids[a:b][owner], ties[a:b][owner]
                 prints = RangeHash(raw)(first, last + SPAN) + (places - first).astype(np.uint64)
                 covered = _settled(prints, _segments(raw, first, last - first + SPAN, places - first), docs)
-                at = first - cut[owner]
-                yield _span_blobs(1, n_shards, docs[covered], tie[covered], at[covered], (at + last - first + SPAN)[covered])
-                on = np.flatnonzero(~covered)
-                sizes = (last - first + SPAN)[on]
-                shard_of = (keys[on] >> np.uint64(63 - bits)).astype(np.int64)
-                rows = []
-                for shard, x, y in _runs(shard_of):
-                    p = on[x:y]
-                    head = _pack_columns(docs[p], tie[p], at[p], (places - first)[p].astype(np.uint8), sizes[x:y].astype(np.uint8))
-                    body = _gather(raw, first[p], sizes[x:y])
-                    rows.append((shard, len(head).to_bytes(8, "little") + head + _pack_columns(body)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "kind", "blob"])
+                at, sizes, on = first - cut[owner], last - first + SPAN, ~covered
+                shard_of = (keys[on] >> np.uint64(63 - bits)).astype(np.int32)
+                own = (shard_of, docs[on], tie[on], at[on], (places - first)[on].astype(np.uint8), sizes[on], _gather(raw, first[on], sizes[on]))
+                yield own, _merge_spans(docs[covered], tie[covered], at[covered], (at + sizes)[covered])
 
     def compare(blobs):
         """Covered ranges from all segments of a shard: batches of segments go into one family, then strings into another."""
@@ -331,10 +393,9 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
         docs, ties, at, delta, sizes = ([np.concatenate(x)] for x in (docs, ties, at, delta, sizes))
         strings = [k for k, _, _ in family.levels]
         rows = family.rows()
-        records = np.concatenate(strings).view(np.uint8).reshape(-1, WIDEST + 2)[:, 2:]
+        records = np.ascontiguousarray(np.concatenate(strings).view(np.uint8).reshape(-1, WIDEST + 2)[:, 2:])
         del family, strings
-        begin = delta[0][rows]
-        prints = RangeHash(records.ravel())(np.arange(len(rows)) * WIDEST + begin, np.arange(len(rows)) * WIDEST + begin + GRAM)
+        prints = _prints(records, delta[0][rows])
         order = np.lexsort((docs[0][rows], prints))
         new = np.concatenate(([True], prints[order][1:] != prints[order][:-1]))
         several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
@@ -376,20 +437,23 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
             rows, passed[:] = list(passed), []
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "kind", "blob"])
 
-        for shard, blobs in by_shard(items(), in_order):
+        def found():
+            for _, blobs in by_shard(items(), in_order):
+                yield from compare(blobs)
+
+        for batch in _gathered(found(), n_wide):
+            yield batch
             yield through()
-            for found in compare(blobs):
-                yield _span_blobs(1, n_shards, *found)
         yield through()
 
     segments = texts.mapInArrow(collect_segments, _ROW)
     # ranges that a task has settled go round the comparison; only their shard of documents matters
-    parted, in_order = dealt(segments, n_shards)
+    parted, in_order = dealt(segments, n_shards, n_wide)
     spans = parted.mapInArrow(settle_shards, _ROW)
 
     def by_document(batches):
         blobs = ((s, x) for batch in batches for s, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
-        for _, own in by_shard(blobs, in_order):
+        for _, own in by_shard(blobs, n_wide > MOST_PARTS):
             held = []
             while own:
                 held.append(_unpack_columns(own.pop(), *[np.int64] * 4)[:4])
@@ -406,7 +470,7 @@ def covered_spans(texts: DataFrame, folder: str, shards: int | None = None) -> D
                 [pa.array(docs[cut[:-1]]), pa.array(ties[cut[:-1]]), pa.array([both[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc", "tie", "spans"]
             )
 
-    merged_ = dealt(spans, n_shards)[0].mapInArrow(by_document, "doc long, tie long, spans binary")
+    merged_ = dealt(spans, n_wide)[0].mapInArrow(by_document, "doc long, tie long, spans binary")
     out = settle(merged_, folder, "spans")
     release(texts.sparkSession)
     return out
