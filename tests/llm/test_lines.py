@@ -136,3 +136,18 @@ def test_clashing_names_and_largest_id(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in m.judge(df).collect()) == [(False, 3, 0), (False, 2**63 - 1, 1), (True, 0, 0)]
     kept = m.drop_lines(df, df.columns).collect()
     assert sorted((r["__doc"], r.tie, r.row, r.text) for r in kept) == [("q", 5, 6, "z z y"), ("y", 3, 4, "a b c d e f\nown words")]
+
+
+def test_texts_that_are_not_wanted_are_not_moved(spark):
+    """A filter of bounded size stands before the join that fetches lines; it loses no wanted text."""
+    texts = spark.range(3000).selectExpr("id AS doc", "id % 3 AS tie", "concat('line ', id) AS text")
+    wanted = texts.where("doc % 10 = 0").select("doc", "tie")
+    passed = {r.doc for r in m.maybe_wanted(texts, wanted).collect()}
+    assert passed >= set(range(0, 3000, 10)) and len(passed) < 310
+    assert m.maybe_wanted(texts, wanted.limit(0)).count() == 0
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(m, "FILTER_BITS", 6)
+    texts = spark.range(3000).selectExpr("id AS doc", "0L AS tie", "'x' AS text")
+    assert m.maybe_wanted(texts, texts.select("doc", "tie")).count() == 3000

@@ -38,8 +38,11 @@ COUNTER_BITS = 16
 LAST = 9223372036854775807
 #: The prefix index and the verification are joined in so many turns, each of which lets go of its shuffle files.
 TURNS = 4
+VERIFY_TURNS = 2
 #: Index entries of cluster members that are sent to every task; more are joined in turns like the others.
 MOST_BROADCAST = 500_000
+#: Bits of the bitmap that tells which texts may be wanted: 262,144 rows of 64 are broadcast at most.
+FILTER_BITS = 24
 #: Classes that share three neighbouring prefix tokens vote for a centre from this number on.
 CROWD = 32
 #: Neighbouring triples of a class, from the common end of its prefix.
@@ -109,10 +112,22 @@ def _earlier(y: str, x: str) -> str:
     return f"({y}.doc < {x}.doc OR ({y}.doc = {x}.doc AND ({y}.tie < {x}.tie OR ({y}.tie = {x}.tie AND {y}.line < {x}.line))))"
 
 
+def maybe_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts that `wanted` (doc, tie) names, and few others: those whose bit of a broadcast bitmap is set.
+
+    The bitmap has 2 ** FILTER_BITS bits, whatever the input; in a full one all texts pass, and none is ever lost.
+    """
+    place = f"shiftrightunsigned(xxhash64(doc, tie), {64 - FILTER_BITS})"
+    bits = wanted.selectExpr(f"{place} AS place").groupBy(F.expr("shiftrightunsigned(place, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63L AS int)))").alias("held"))
+    on = F.expr(f"shiftrightunsigned({place}, 6) = word AND (shiftrightunsigned(held, cast({place} & 63L AS int)) & 1L) = 1L")
+    return texts.join(F.broadcast(bits), on, "left_semi")
+
+
 def _fetch(texts: DataFrame, wanted: DataFrame, folder: str, name: str, *carried: str) -> DataFrame:
     """`carried`, doc, tie, line and own (the line itself) of the wanted lines (which have doc, tie, line)."""
     per = settle(wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("line", *carried)).alias("lines")), folder, name)  # lines of one text
-    found = texts.join(per, ["doc", "tie"]).selectExpr("doc", "tie", "split(text, '\\n') AS every", "lines")
+    # one strategy at all sizes; of the texts only those that may be wanted are moved
+    found = maybe_wanted(texts, per).join(per.hint("shuffle_hash"), ["doc", "tie"]).selectExpr("doc", "tie", "split(text, '\\n') AS every", "lines")
     found = found.selectExpr("doc", "tie", "explode(transform(lines, l -> struct(l AS l, element_at(every, l.line + 1) AS own))) AS e")
     return found.selectExpr(*(f"e.l.{c} AS {c}" for c in carried), "doc", "tie", "e.l.line AS line", f"{BLANKS.format('e.own')} AS own")
 
@@ -184,7 +199,8 @@ def candidates(loose: DataFrame, members: DataFrame, percent: int, folder: str)
     fits = [
         f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}",
         f"CASE WHEN least(x.n, y.n) > {NARROW} THEN {wide} ELSE bit_count(x.b0 ^ y.b0) END <= x.n + y.n - 2 * ({need})",
-        f"least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {need}",
+        # a pair is found at its first common token, before which nothing is shared
+        f"least(x.n - x.pos, y.n - y.pos) >= {need}",
     ]
     either = f"CASE WHEN {smaller} THEN y.pos < {reach('y')} ELSE x.pos < {reach('x')} END"
     # one long holds size and place, to move fewer bytes
@@ -223,16 +239,18 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
     spark = texts.sparkSession
     cids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     wanted = classes.select("cid", "copies", *ID).join(cids, "cid")
-    words = _fetch(texts, wanted, folder, "candidate-lines", "cid", "copies").selectExpr("cid", "copies", *ID, f"array_distinct({WORDS.format('own')}) AS words")
+    # a set of words is moved as one text
+    words = _fetch(texts, wanted, folder, "candidate-lines", "cid", "copies").selectExpr("cid", "copies", *ID, f"array_join(array_distinct({WORDS.format('own')}), ' ') AS words")
     words = settle(words, folder, "candidate-words")
     release(spark)
     left, right = (words.select(F.col("cid").alias(c), F.struct("cid", "copies", *ID).alias(s), F.col("words").alias(f"{s}words")) for c, s in (("a", "x"), ("b", "y")))
     parts = []
-    for k in range(TURNS):
-        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(TURNS)) == k)
-        both = some.join(left.hint("merge"), "a").join(right.hint("merge"), "b")  # one strategy at all sizes
-        shared = "size(array_intersect(xwords, ywords))"
-        both = both.where(f"{100 + percent} * {shared} >= {percent} * (size(xwords) + size(ywords))").select("x", "y")
+    for k in range(VERIFY_TURNS):
+        turn = F.pmod(F.xxhash64("a"), F.lit(VERIFY_TURNS)) == k
+        # one strategy at all sizes; a class is one row of the side that is held, however many pairs it has
+        both = pairs.where(turn).join(left.where(turn).hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b")
+        both = both.select("x", "y", F.split("xwords", " ").alias("xw"), F.split("ywords", " ").alias("yw"))
+        both = both.where(f"{100 + percent} * size(array_intersect(xw, yw)) >= {percent} * (size(xw) + size(yw))").select("x", "y")
         parts.append(settle(_both_ways(both), folder, f"verified-{k}"))
         release(spark)
     release(spark, folder, "candidate-words", "candidate-lines", "candidates")
