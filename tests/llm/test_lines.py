@@ -151,3 +151,30 @@ def test_a_full_filter_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(m, "FILTER_BITS", 6)
     texts = spark.range(3000).selectExpr("id AS doc", "0L AS tie", "'x' AS text")
     assert m.maybe_wanted(texts, texts.select("doc", "tie")).count() == 3000
+
+
+def test_triples_without_lambda(spark):
+    """The triples that vote for crowds are columns: a lambda would be interpreted for every token."""
+    df = spark.createDataFrame([(i, [7 * i + k for k in range(i)]) for i in range(16)], "cid long, prefix array<long>")
+    found = m.last_triples(df)
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {r.cid: set(r.ts or []) for r in df.selectExpr("cid", m._triples("prefix", f"greatest(1, size(prefix) - {m.TRIPLES + 1})", "size(prefix) - 2")).collect()}
+    assert {r.cid: {t for t in r[1:] if t is not None} for r in found.collect()} == want
+    assert [len(want[i]) for i in (0, 2, 3, 9, 10, 15)] == [0, 0, 1, 7, 8, 8]
+
+
+def test_members_are_taken_out_while_reading_or_before(spark, monkeypatch, tmp_path):
+    classes, members = spark.range(50).selectExpr("id AS cid"), spark.range(0, 50, 7).selectExpr("id AS cid")
+    want = [(k,) for k in range(50) if k % 7]
+    assert sorted(map(tuple, m.outside(classes, members, f"file://{tmp_path}/few").collect())) == want
+    assert not (tmp_path / "few/loose").exists()
+    monkeypatch.setattr(m, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, m.outside(classes, members, f"file://{tmp_path}/many").collect())) == want
+    assert (tmp_path / "many/loose").exists()
+
+
+def test_each_white_space_character_separates(spark):
+    """Texts are rewritten only where they have such a character, and then all of them."""
+    texts = ["a b", "a\tb", "a\x0bb", "a\fb", "a\rb", "a\t\x0b\f\r b", "a\xa0b", None]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr(f"{m.BLANKS.format('text')} AS t").collect()
+    assert [r.t and words(r.t) for r in got] == [t and words(t) for t in texts] and all(not set("\t\x0b\f\r") & set(r.t or "") for r in got)
