@@ -90,3 +90,44 @@ def test_long_unlike_words_and_texts_of_one_id(spark):
     df = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, tie int")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in keep_first(df, df.columns).collect())
     assert got == [(False, 1, "a b c d e f"), (False, 1, "q w e r t y"), (False, 3, ""), (False, 3, ""), (True, 0, "z")]
+
+
+def test_few_edges_are_joined_at_once_and_many_by_stars(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)] + [(1000 - i, 999 - i) for i in range(200)]
+    least = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    for at_once in (len(pairs), 0):
+        assert {r.node: r.component for r in components(edges, shared_folder(spark), at_once=at_once).collect()} == least
+    assert components(edges.limit(0), shared_folder(spark)).count() == 0
+
+
+def test_a_family_in_many_components(spark):
+    """Near copies about the threshold: links between the first components come from classes outside of the largest."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        new = list(base)
+        for _ in range(rng.randrange(0, 8)):
+            new[rng.randrange(len(new))] = f"v{rng.randrange(50)}"
+        rows.append((i * 7 % 160, " ".join(new)))
+    assert run(spark, rows, 4) == brute(rows, 4)
+
+
+def test_stages_for_a_small_table(spark):
+    """What a query costs beside its rows: stages of a table of any size (119 before, when few edges went through stars)."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    context = spark.sparkContext
+    context.setJobGroup("op10-stages", "op10")
+    try:
+        near_duplicates(df, 4).count()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("op10-stages") for s in tracker.getJobInfo(job).stageIds}
+    assert sum(i.numCompletedTasks > 0 for i in map(tracker.getStageInfo, stages) if i) < 90

@@ -7,7 +7,8 @@
    similarity (corrected for chance agreement), and what can pass is confirmed on the full sets.
    Components of those links make most of a group of copies one component.
 4. Classes of one band that are not yet in one component are compared pair by pair under the same
-   estimate, so that no link between components is missed; components are taken again.
+   estimate, so that no link between components is missed; components are taken again. Of such a pair one
+   class at least is outside of the band's largest component: only those look for others.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 32 < 5e-8, and the estimate
 lets pairs pass down to 4.5 standard errors (of 0.0105) below the threshold.
@@ -152,7 +153,7 @@ def confirm(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: i
     """The pairs (a, b) of classes whose full sets of shingles, word by word, are similar enough; once: no id is repeated."""
     pairs = settle(pairs, folder, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    lead = settle(classes.join(wanted, "node").select("node", "rep", "f1", "f2"), folder, f"{name}-wanted")
+    lead = classes.join(wanted, "node").select("node", "rep", "f1", "f2")
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
     texts = settle(lead.hint("merge").join(texts, "rep").select("node", "f1", "f2", "text"), folder, f"{name}-texts")
     left = texts.select(F.col("node").alias("a"), F.col("f1").alias("af"), F.col("text").alias("at"))
@@ -185,8 +186,8 @@ def confirm(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: i
             np.add.at(found[x:y], owners, mix(hashes))
         return found == prints.to_numpy().view(np.uint64)
 
-    found = settle(both.mapInArrow(kernel, "a long, b long").distinct(), folder, f"{name}-links")
-    release(documents.sparkSession, folder, f"{name}-pairs", f"{name}-wanted", f"{name}-texts")
+    found = settle(both.mapInArrow(kernel, "a long, b long"), folder, f"{name}-links")
+    release(documents.sparkSession, folder, f"{name}-pairs", f"{name}-texts")
     return found
 
 
@@ -195,40 +196,44 @@ def grouped(documents: DataFrame, width: int, percent: int, folder: str) -> Data
     once = not documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     rows = settle(sketch(documents, width), folder, "sketch")
     real = rows.where("n_shingles > 0 and doc_id is not null").withColumn("node", F.xxhash64("f1", "f2", "n_shingles"))
-    classes = settle(real.groupBy("node", "f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), folder, "classes")
-
-    sketches = real.join(classes.select("node", "rep").hint("merge"), "node").where("doc_id = rep").drop("rep", "doc_id", "tie").dropDuplicates(["node"])
-    sketches = settle(sketches, folder, "class-sketches")
+    bits = [f"s{k}" for k in range(LONGS)]
+    # texts of one set have one sketch: any of them stands for the class
+    sketches = real.groupBy("node", "f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", *bits)).alias("s"))
+    sketches = settle(sketches.select("node", "f1", "f2", "n_shingles", "rep", "s.*"), folder, "classes")
+    classes = sketches.select("node", "f1", "f2", "n_shingles", "rep")
     slim = settle(rows.select("doc_id", "tie", "n_shingles", "f1", "f2"), folder, "rows")
     release(documents.sparkSession, folder, "sketch")
-    bits = [f"s{k}" for k in range(LONGS)]
     entries = sketches.select("node", F.posexplode("bands").alias("no", "band"))
     leaders = settle(entries.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader"), folder, "leaders")
     shared = settle(entries.join(leaders, "band"), folder, "shared")  # classes with company in a band
 
-    stars = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     light = sketches.select("node", "n_shingles", "bands", *bits)
-    stars = stars.join(light.alias("x"), F.col("a") == F.col("x.node")).join(light.alias("y"), F.col("b") == F.col("y.node"))
-    stars = stars.where(may_pass("x", "y", percent) & _size_fits("x", "y", percent)).select("a", "b")
-    links = confirm(stars, documents, classes, width, percent, once, folder, "stars")
+    # a class has at most BANDS leaders
+    led = shared.where("node <> leader").groupBy("node").agg(F.collect_set("leader").alias("leaders"))
+    stars = led.join(light, "node").select(F.struct("node", "n_shingles", *bits).alias("x"), F.explode("leaders").alias("b"))
+    stars = stars.join(light.alias("y"), F.col("b") == F.col("y.node")).where(may_pass("x", "y", percent) & _size_fits("x", "y", percent))
+    links = confirm(stars.select(F.col("x.node").alias("a"), "b"), documents, classes, width, percent, once, folder, "stars")
     groups = settle(components(links, folder, "first"), folder, "first-components")
 
     # bands whose classes are not all in one component yet
     held = shared.select("no", "band", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    held = settle(held.join(light, "node"), folder, "held")
-    mixed = settle(held.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band"), folder, "mixed")
-    open_ = settle(held.join(mixed, "band"), folder, "open")
-    # each pair in the first band that it shares, once
+    held = settle(held, folder, "held")
+    parts = held.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
+    mixed = settle(parts.where("parts > 1").select("band", F.col("largest.component").alias("major")), folder, "mixed")
+    open_ = settle(held.join(mixed, "band").withColumn("minor", F.expr("component <> major")).drop("major").join(light, "node"), folder, "open")
+    # Of two components in a band one at least is not its largest: only classes outside of that look for others, so that
+    # a large group of near copies is not joined with itself. Each pair in the first band that it shares, once.
     first = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.no") + 1
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    crossed = open_.alias("x").join(open_.alias("y"), met & _size_fits("x", "y", percent) & may_pass("x", "y", percent) & first)
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.minor") | (F.col("x.node") < F.col("y.node")))
+    crossed = open_.where("minor").alias("x").join(open_.alias("y"), met & _size_fits("x", "y", percent) & may_pass("x", "y", percent) & first)
     crossed = crossed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = confirm(crossed, documents, classes, width, percent, once, folder, "crossed")
+    release(documents.sparkSession, folder, "leaders", "shared", "held", "mixed", "open")
     groups = settle(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), folder, "second"), folder, "second-components")
 
-    release(documents.sparkSession, folder, "class-sketches", "leaders", "shared", "held", "mixed", "open")
     member = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     member = settle(member, folder, "members")
+    release(documents.sparkSession, folder, "classes")
     least = settle(member.groupBy("component").agg(F.min("rep").alias("component_id")), folder, "least")
     named = settle(member.join(least, "component").select("node", "component", "component_id"), folder, "named")
     rows = slim.select("doc_id", "tie", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("f1", "f2", "n_shingles")).alias("node"))
