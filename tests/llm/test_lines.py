@@ -178,3 +178,40 @@ def test_each_white_space_character_separates(spark):
     texts = ["a b", "a\tb", "a\x0bb", "a\fb", "a\rb", "a\t\x0b\f\r b", "a\xa0b", None]
     got = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr(f"{m.BLANKS.format('text')} AS t").collect()
     assert [r.t and words(r.t) for r in got] == [t and words(t) for t in texts] and all(not set("\t\x0b\f\r") & set(r.t or "") for r in got)
+
+
+def test_words_are_counted_only_where_prefixes_meet_too_often(spark, monkeypatch, tmp_path):
+    """Lines are ordered by the length of their words without a pass that counts them; a long word of many lines brings the counts."""
+    counted = []
+    levels = m.rarity_levels
+    monkeypatch.setattr(m, "rarity_levels", lambda texts: counted.append(1) or levels(texts))
+    rng = random.Random(3)
+    long_ = "boilerplate" * 3
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(12))) for i in range(400)]
+    rows += [(i + 400, " ".join([*(w := t.split(" "))[:11], "x"])) for i, t in rows[:50]]
+    hot = [(i, f"{long_} {t}") for i, t in rows]
+    want = {k: {(i, 0): [(j, 0) for j, v in f if j != i and 100 * len(w & v) >= 80 * len(w | v)] for i, w in f} for k, f in enumerate([(i, words(t)) for i, t in r] for r in (rows, hot))}
+
+    def links(k, r, bound):
+        monkeypatch.setattr(m, "MOST_MEETINGS", bound)
+        folder = f"file://{tmp_path}/{k}-{bound}"
+        got = {(x.doc, x.line): (x.links, x.gone) for x in m.linked_lines(spark.createDataFrame(r, "doc_id long, text string"), 80, folder).collect()}
+        assert got == {x: (len(v), any(y < x for y in v)) for x, v in want[k].items()}
+        return folder
+
+    links(0, rows, 100)
+    assert not counted
+    folder = links(1, hot, 100)
+    token = spark.createDataFrame([(long_,)], "w string").selectExpr("shiftrightunsigned(xxhash64(w), 8) AS t").first().t
+    low = f"tok & {(1 << 56) - 1}L"
+    sets = spark.read.parquet(f"{folder}/sets-counted").selectExpr("explode(prefix) AS tok").selectExpr(f"{low} AS t")
+    assert counted == [1] and sets.count() > 0 and not sets.where(f"t = {token}").count()
+
+
+def test_octaves_meet(spark):
+    """The octave of every size that a larger similar set may have is among those of the smaller one."""
+    for percent in (30, 80, 100):
+        sizes = spark.range(1, 700).selectExpr("cast(id AS int) AS n").selectExpr("n", f"{m.octave('n')} AS o", f"{m.octaves_above('n', percent)} AS os").collect()
+        own = {r.n: r.o for r in sizes}
+        assert all(own[k] in r.os for r in sizes for k in range(r.n, min(699, r.n * 100 // percent) + 1))
+        assert percent < 80 or max(len(r.os) for r in sizes) <= 2
